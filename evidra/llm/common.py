@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Text handled at once inside a task; longer documents are handled alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _STAGED: dict[str, list[str]] = {}
 
 
@@ -237,7 +237,7 @@ class PieceEncoder:
     remembered: beyond it, pieces that were seen once are forgotten.
     """
 
-    def __init__(self, path: str, keeps_space: bool, keep: int = 500_000):
+    def __init__(self, path: str, keeps_space: bool, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
