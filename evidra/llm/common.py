@@ -237,7 +237,7 @@ class PieceEncoder:
     remembered: beyond it, pieces that were seen once are forgotten.
     """
 
-    def __init__(self, path: str, keeps_space: bool, keep: int = 600_000):
+    def __init__(self, path: str, keeps_space: bool, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -272,14 +272,12 @@ class PieceEncoder:
         self.flat = self.flat[np.repeat(self.base[kept] - end + size, size) + np.arange(size.sum())]
         self.base, self.size, self.times = end - size, size, np.ones(len(kept), np.int32)
 
-    def encode_column(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of a text column, each text followed by ``end``; null is empty."""
+    def encode_column(self, col: pa.Array, end: int):
+        """(i, j, ids, offsets) for runs of rows i to j of a text column, each text followed by ``end``; null is empty."""
         data, off = column_bytes(col)
-        got = [self._block(data[off[i] : off[j]], off[i : j + 1] - off[i], end) for i, j in blocks(off)]
-        if not got:
-            return np.zeros(0, self.kind), np.zeros(1, np.int64)
-        counts = np.concatenate([c for _, c in got])
-        return np.concatenate([x for x, _ in got]), np.concatenate([[0], np.cumsum(counts)])
+        for i, j in blocks(off):
+            ids, size = self._block(data[off[i] : off[j]], off[i : j + 1] - off[i], end)
+            yield i, j, ids, np.concatenate([[0], np.cumsum(size)])
 
     def _pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)

@@ -36,13 +36,10 @@ def encoded(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int, scope:
 
         enc, part, at = c.encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), 0
         for b in batches:
-            ids, off = enc.encode_column(b.column("text"), end)
-            width, n = ids.dtype.itemsize, np.diff(off)
-            if not len(n):
-                continue
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((off * width).astype(np.int64)), pa.py_buffer(ids.tobytes())])
-            yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(at + off[:-1]), pa.array(n), b.column("doc_id").cast(pa.int64()), raw.cast(pa.binary())], names=["part", "at", "n", "doc_id", "ids"])
-            at += int(off[-1])
+            for i, j, ids, off in enc.encode_column(b.column("text"), end):
+                raw = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((off * ids.dtype.itemsize).astype(np.int32)), pa.py_buffer(ids.tobytes())])
+                yield pa.record_batch([pa.array(np.full(j - i, part, np.int32)), pa.array(at + off[:-1]), pa.array(np.diff(off)), b.column("doc_id").slice(i, j - i).cast(pa.int64()), raw], names=["part", "at", "n", "doc_id", "ids"])
+                at += int(off[-1])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "part int, at long, n long, doc_id long, ids binary")
     return common.staged(out, "ids", scope)

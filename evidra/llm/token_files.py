@@ -109,14 +109,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
 
         enc = c.encoder(tokenizer, keeps_space)
         for b in batches:
-            got, off = enc.encode_column(b.column("text"), end)
-            n, width = np.diff(off), got.dtype.itemsize
-            key = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            raw = got.tobytes()
-            pieces = [raw[a:z] for a, z in zip((off[:-1] * width).tolist(), (off[1:] * width).tolist(), strict=True)]
-            tie = np.array([zlib.crc32(p) for p in pieces], np.int64)
-            lo, hi = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
-            yield pa.record_batch([pa.array((lo + tie % (hi - lo + 1)).astype(np.int32)), pa.array(key), pa.array(tie), pa.array(n), pa.array(pieces, pa.binary())], names=["shard", "doc_id", "tie", "n", "ids"])
+            keys = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            for i, j, got, off in enc.encode_column(b.column("text"), end):
+                key, raw, cuts = keys[i:j], got.tobytes(), off * got.dtype.itemsize
+                tie = np.array([zlib.crc32(raw[a:z]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], np.int64)
+                lo, hi = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+                pieces = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.record_batch([pa.array((lo + tie % (hi - lo + 1)).astype(np.int32)), pa.array(key), pa.array(tie), pa.array(np.diff(off)), pieces], names=["shard", "doc_id", "tie", "n", "ids"])
 
     def write(batches):
         from evidra.llm import token_files as t
