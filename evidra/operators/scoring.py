@@ -71,7 +71,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     n = F.nullif(n, F.lit(0))
     p = k / n
     mid, half, size = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
-    clip = lambda c: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), F.lit(0.0))
+    clip = lambda c: F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
     return clip((mid - half) / size), clip((mid + half) / size)
 
 
