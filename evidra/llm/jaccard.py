@@ -9,8 +9,8 @@ its one-deletion neighbourhood is indexed too and it may differ by a member.
 Budgets that sum to more than D leave no similar pair without an agreement.
 Which budget a band uses is chosen by cost: keys written, and agreements that
 are expected by chance among the sets of the band.  Each plan has a few
-segments to spare, so segments with hardly any members, which agree by chance,
-are skipped by every set that has no more of them than can be spared; a pair
+segments to spare, so segments with fewer members than their budget, which agree by
+chance, are skipped by every set that has no more of them than can be spared; a pair
 still agrees elsewhere.
 
 A set is indexed in its own band, and in the band below when it is small
@@ -120,10 +120,10 @@ class Plan:
         exact = math.ceil((self.most + 1) * 1.08) + 2
         loose = (self.most + 2) // 2 + (self.most > 1)
         mean = lo / exact
-        thin = exact * math.exp(-mean) * (1 + mean)  # expected number of segments with at most one member
+        thin = exact * math.exp(-mean)  # expected number of empty segments
         spare = exact - self.most - 1
         over = 1 - sum(math.exp(k * math.log(thin) - thin - math.lgamma(k + 1)) for k in range(spare + 1))
-        by_chance = sets * over * exact * math.exp(-2 * mean)  # agreements of a set that cannot skip all thin segments
+        by_chance = sets * over * exact * math.exp(-2 * mean)  # agreements of a set that cannot skip all empty segments
         self.budget = 1 if exact + by_chance < hi + loose else 2
         self.n = exact if self.budget == 1 else loose
         # After skipping s segments the budgets left must exceed ``most``.
@@ -141,7 +141,7 @@ class Plan:
         sums[seg[first]] = np.add.reduceat(m, first)
         count[seg[first]] = np.diff(np.append(first, len(s)))
         salt = common.mix(np.arange(self.n, dtype=np.uint64) + np.uint64(self.band << 32))
-        thin = count <= self.budget
+        thin = count < self.budget
         keep = ~thin if thin.sum() <= self.spare else np.ones(self.n, bool)
         out = common.mix(sums[keep] + salt[keep])
         if self.budget == 2:
