@@ -16,14 +16,15 @@ still agrees elsewhere.
 A set is indexed in its own band, and in the band below when it is small
 enough to be similar to one of its sets.  Keys meet in buckets of bounded
 size; sets that agree on a key are candidates, linked as stars, and connected
-candidates form clusters.  Clusters are verified in pairs of blocks of about
-BLOCK sets: each task compares two blocks exactly and returns only a spanning
-forest of the links it found, so no list of pairs is ever written.  Equal sets
-are one class from the start; copies cost one row each.
+candidates form clusters.  Clusters are cut into size classes and blocks of
+bounded size, and verified in pairs of blocks whose sizes allow a link: each
+task compares two blocks exactly and returns only a spanning forest of the
+links it found, so no list of pairs is ever written.  Equal sets are one class
+from the start; copies cost one row each.
 
 Limits: a bucket needs 20 bytes for each distinct set that shares its key, and
-the verification of a cluster of k distinct sets that share keys reads
-k / BLOCK times its sets.
+the verification of a cluster with k sets in one size class reads
+k / MOST_IN_BLOCK times its sets.
 
 Nulls: a null or empty text, or one without words, has an empty set and is
 linked with nothing; a null doc_id takes part, but is no component's name.
@@ -44,7 +45,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RATIO = 1.5
-BLOCK = 140
+CLASS_RATIO = 1.1
+LEAST_IN_BLOCK, MOST_IN_BLOCK = 140, 1000
 KEYS_PER_BUCKET = 400_000
 
 
@@ -239,6 +241,8 @@ def forest(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     side = rows.column("side").to_numpy()
     order = np.lexsort((rows.column("sid").to_numpy(), side))
     sid, side = rows.column("sid").to_numpy()[order], side[order]
+    order = order[new := np.append(True, (sid[1:] != sid[:-1]) | (side[1:] != side[:-1]))]  # a repeated row counts once
+    sid, side = sid[new], side[new]
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members").combine_chunks().take(pa.array(order))]
     size = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(len(sets)), size)
@@ -282,12 +286,17 @@ def forest(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, scope: str = "") -> DataFrame:
     """(a, b): verified links between names of sets that connect all linked sets."""
-    clusters = components(candidates(docs, sets, words_in_gram, percent, scope), scope)
-    blocks = common.staged(clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "clusters", scope)
-    members = clusters.withColumnRenamed("node", "sid").join(blocks, "label")
+    clusters = common.staged(components(candidates(docs, sets, words_in_gram, percent, scope), scope), "clusters", scope)
+    # A block is a 150th of the candidates, within bounds: its sets fit a task, and tasks are even.
+    block = min(MOST_IN_BLOCK, max(LEAST_IN_BLOCK, clusters.count() // 150))
     # One document of each set that is a candidate; its text is read again.
-    first = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"))
-    wanted = common.staged(members.join(first, "sid"), "members", scope)
+    first = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"), F.min("n").alias("n"))
+    members = clusters.withColumnRenamed("node", "sid").join(first, "sid")
+    # Clusters of more than a block are cut by size: only classes at most ``reach`` apart hold similar sets.
+    large = common.staged(clusters.groupBy("label").agg(F.count("*").alias("k")), "large", scope)
+    size_class = F.when(F.col("k") <= block, 0).otherwise(F.floor(F.log("n") / math.log(CLASS_RATIO) + 1e-9).cast("int"))
+    wanted = common.staged(members.join(large, "label").select("sid", "doc_id", "label", size_class.alias("class")), "members", scope)
+    blocks = common.staged(wanted.groupBy("label", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks", scope)
     if wanted.count() <= 1_000_000:  # 40 bytes each
         wanted = F.broadcast(wanted)
 
@@ -299,11 +308,20 @@ def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, sc
             sets = j.sets_of(b.column("text"), words_in_gram, powers)
             mine = [k for k, (s, sid) in enumerate(zip(sets, b.column("sid").to_pylist(), strict=True)) if len(s) and j.set_id(s) == sid]
             if mine:
-                yield pa.record_batch([b.column("label").take(pa.array(mine)), b.column("blocks").take(pa.array(mine)), b.column("sid").take(pa.array(mine)), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["label", "blocks", "sid", "members"])
-
-    held = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "label", "blocks", "sid").mapInArrow(again, "label long, blocks int, sid long, members binary")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = held.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 0).otherwise(1).alias("side"), "sid", "members")
+                yield pa.record_batch([b.column("label").take(pa.array(mine)), b.column("class").take(pa.array(mine)), b.column("sid").take(pa.array(mine)), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["label", "class", "sid", "members"])
+
+    held = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "label", "class", "sid").mapInArrow(again, "label long, class int, sid long, members binary")
+    reach = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO) - 1e-9)
+    # Which pairs of blocks a block takes part in: (class, block) with every (class, block) in reach.
+    near = blocks.select("label", "class", F.col("blocks").alias("own_blocks"), F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)).alias("other"))
+    near = near.join(blocks.select("label", F.col("class").alias("other"), "blocks"), ["label", "other"]).groupBy("label", "class").agg(F.first("own_blocks").alias("own_blocks"), F.collect_list(F.struct("other", "blocks")).alias("near"))
+    near = common.staged(near, "near", scope)
+    mine, theirs = F.struct(F.col("class").alias("c"), F.col("own").alias("b")), F.struct(F.col("x.other").alias("c"), F.col("with").alias("b"))
+    dealt = (
+        held.join(near, ["label", "class"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("own_blocks")).cast("int"))
+        .select("label", "class", "own", "sid", "members", F.explode("near").alias("x")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)))
+        .select("label", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), F.when(mine <= theirs, 0).otherwise(1).alias("side"), "sid", "members")
+    )
 
     def verify(rows: pa.Table) -> pa.Table:
         from evidra.llm import jaccard as j
@@ -311,7 +329,7 @@ def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, sc
         a, b = j.forest(rows, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return common.staged(dealt.dropDuplicates(["label", "i", "j", "sid"]).groupBy("label", "i", "j").applyInArrow(verify, "a long, b long"), "links", scope)
+    return common.staged(dealt.groupBy("label", "i", "j").applyInArrow(verify, "a long, b long"), "links", scope)
 
 
 def join(docs: DataFrame, words_in_gram: int = 5, percent: int = 80, scope: str = "") -> DataFrame:
