@@ -43,7 +43,7 @@ PATTERNS = {
     "name": r"\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 #: Most texts hold nothing that could start an entity; this is all that is tried on them.
-HINT = r"\d{3}|[=:][^\s]{6}|\d\.\d|@|\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\b|[A-Z0-9a-z_-]{20}"
+HINT = r"\d{3}|[=:][^\s]{6}|\d\.\d|@|\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\b|\d[A-Fa-f]|[A-Fa-f]\d|AKIA|gh[po][-_]|xoxb|sk[-_]"
 #: Fixed lists of names, by gender and script.
 MALE, FEMALE = "Adam Bruno Carl David Emil Felix Georg Henry Ivan Jonas Karim Louis Marco Nils Oscar Paul", "Alice Berta Clara Diana Emma Fiona Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula"
 FAMILY = "Abel Bauer Costa Dubois Ebner Fischer Garcia Hansen Ivers Jansen Keller Lopez Moreau Novak Olsen Perrin"
@@ -57,8 +57,8 @@ def _any(patterns: dict[str, str]) -> str:
 
 
 def kind(e: Column, patterns: dict[str, str]) -> Column:
-    """The type of a match."""
-    out = F.lit(None).cast("string")
+    """The type of a match. What matches no pattern on its own was found by its context: a secret."""
+    out = F.lit("secret")
     for name, p in reversed(patterns.items()):
         out = F.when(e.rlike(f"^(?:{p})$"), F.lit(name)).otherwise(out)
     return out
@@ -161,9 +161,9 @@ def replace(docs: DataFrame, key: str, patterns: dict[str, str] = PATTERNS, hint
     some = docs.where(has).withColumn("_pii_sha", F.sha2("text", 256))
     each = some.select("_pii_sha", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("e")).distinct()
     maps = each.join(known.select("e", "made", "type"), "e").groupBy("_pii_sha").agg(F.map_from_entries(F.collect_list(F.struct("e", "made"))).alias("_pii_made"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("pii_types"))
-    some = some.join(maps, "_pii_sha").withColumn("_pii", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    joined = F.array_join(F.zip_with(F.split("text", pattern, -1), F.transform("_pii", lambda e: F.col("_pii_made")[e]), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
-    some = some.select(*[joined.alias("text") if c == "text" else F.col(c) for c in names], F.size("_pii").alias("n_pii"), "pii_types")
+    some = some.join(maps, "_pii_sha", "left").withColumn("_pii", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    joined = F.array_join(F.zip_with(F.split("text", pattern, -1), F.transform("_pii", lambda e: F.coalesce(F.col("_pii_made")[e], e)), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    some = some.select(*[joined.alias("text") if c == "text" else F.col(c) for c in names], F.size("_pii").alias("n_pii"), F.coalesce("pii_types", F.lit("")).alias("pii_types"))
     return docs.where(~has).select(*names, F.lit(0).alias("n_pii"), F.lit("").alias("pii_types")).unionByName(some)
 
 

@@ -242,6 +242,19 @@ def test_private_data(spark, docs, empty):
     assert pii.replace(empty, "k").count() == 0
 
 
+def test_each_type_alone_keeps_its_row(spark):
+    """A row whose only entity is of one type is neither lost nor left as it was."""
+    found = {
+        "email": "el.00@mail8.example.com", "token": "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "secret": "password=e9b9ed9cc9999999d9", "iban": "DE89 3704 0044 0532 0130 00", "ip": "233.233.171.252",
+        "phone": "+1 (743) 555-3824", "ssn": "123-45-6789", "number": "4041894974608795", "name": "Frau Müller",
+    }
+    df = spark.createDataFrame([(k, f"one {v} two") for k, v in enumerate(found.values())], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, "key").collect()}
+    assert [got[k].pii_types for k in range(len(found))] == list(found)
+    for k, v in enumerate(found.values()):
+        assert v not in got[k].text and got[k].text.startswith("one ") and got[k].text.endswith(" two") and got[k].n_pii == 1
+
+
 def test_surrogates_stay_distinct_when_they_collide(spark):
     df = spark.createDataFrame([(k, f"see #{k:02d} and #{k * 7 % 25:02d}.") for k in range(25)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.replace(df, "k", {"code": r"#\d{2}"}, "#").collect()}
