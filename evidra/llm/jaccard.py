@@ -119,14 +119,18 @@ class Plan:
     def __init__(self, band: int, percent: int, sets: int):
         hi, lo = band_top(band), band_top(band - 1) + 1
         self.band, self.most = band, (100 - percent) * hi // percent  # members in which a pair may differ
-        exact = math.ceil((self.most + 1) * 1.08) + 2
         loose = (self.most + 2) // 2 + (self.most > 1)
-        mean = lo / exact
-        thin = exact * math.exp(-mean)  # expected number of empty segments
-        spare = exact - self.most - 1
-        over = 1 - sum(math.exp(k * math.log(thin) - thin - math.lgamma(k + 1)) for k in range(spare + 1))
-        by_chance = sets * over * exact * math.exp(-2 * mean)  # agreements of a set that cannot skip all empty segments
-        self.budget = 1 if exact + by_chance < hi + loose else 2
+        # More segments to spare cost keys, and leave fewer sets that must index their empty segments.
+        plans = []
+        for extra in (0.08, 0.12, 0.16, 0.2, 0.25, 0.3):
+            exact = math.ceil((self.most + 1) * (1 + extra)) + 2
+            mean, spare = lo / exact, exact - self.most - 1
+            thin = exact * math.exp(-mean)  # expected number of empty segments
+            over = 1 - sum(math.exp(k * math.log(thin) - thin - math.lgamma(k + 1)) for k in range(spare + 1))
+            by_chance = sets * over * exact * math.exp(-2 * mean)  # agreements of a set that cannot skip all empty segments
+            plans.append((exact + by_chance, exact, spare))
+        cost, exact, spare = min(plans)
+        self.budget = 1 if cost < hi + loose else 2
         self.n = exact if self.budget == 1 else loose
         # After skipping s segments the budgets left must exceed ``most``.
         self.spare = spare if self.budget == 1 else self.n - (self.most + 2) // 2
