@@ -19,7 +19,10 @@ size; sets that agree on a key are candidates, linked as stars, and connected
 candidates form clusters.  Clusters are cut into size classes and blocks of
 bounded size, and verified in pairs of blocks whose sizes allow a link: each
 task compares two blocks exactly and returns only a spanning forest of the
-links it found, so no list of pairs is ever written.  Equal sets are one class
+links it found, so no list of pairs is ever written.  Passages that many texts
+share chain unlike sets into clusters of more than a block; these are first
+cut by sketches of a few bytes: members counted by hash, whose counts differ by
+no more than the sets do, so that no link is lost.  Equal sets are one class
 from the start; copies cost one row each.
 
 Limits: a bucket needs 20 bytes for each distinct set that shares its key, and
@@ -48,6 +51,8 @@ RATIO = 1.5
 CLASS_RATIO = 1.1
 LEAST_IN_BLOCK, MOST_IN_BLOCK = 140, 1000
 KEYS_PER_BUCKET = 400_000
+#: Counts in a sketch, of one byte each; a power of two.
+SKETCH = 128
 
 
 # ------------------------------------------------------------------------- sets
@@ -86,8 +91,13 @@ def set_id(s: np.ndarray) -> int:
     return int(common.mix(common.mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Members of a set counted by hash, at most 255: the counts of two sets differ by no more than the sets do."""
+    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def text_sets(docs: DataFrame, words_in_gram: int, scope: str = "") -> DataFrame:
-    """(doc_id, n, sid): size and name of each document's set (sid null if empty); staged."""
+    """(doc_id, n, sid, sketch): size, name and sketch of each document's set (the last two null if empty); staged."""
     common.ship(docs.sparkSession)
 
     def run(batches):
@@ -96,9 +106,9 @@ def text_sets(docs: DataFrame, words_in_gram: int, scope: str = "") -> DataFrame
         powers: list = []
         for b in batches:
             sets = j.sets_of(b.column("text"), words_in_gram, powers)
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([j.set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([j.set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([j.sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "sid", "sketch"])
 
-    return common.staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long"), "sets", scope)
+    return common.staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, sketch binary"), "sets", scope)
 
 
 # ----------------------------------------------------------------- size bands
@@ -240,14 +250,56 @@ def candidates(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: in
     return common.staged(keys.mapInArrow(agree, "a long, b long").distinct(), "stars", scope)
 
 
-def forest(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the links between two blocks (or within one) connect; exact set comparison."""
+def distinct_rows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, name, side) of the distinct sets of each side; a repeated row counts once."""
     side = rows.column("side").to_numpy()
     order = np.lexsort((rows.column("sid").to_numpy(), side))
     sid, side = rows.column("sid").to_numpy()[order], side[order]
-    order = order[new := np.append(True, (sid[1:] != sid[:-1]) | (side[1:] != side[:-1]))]  # a repeated row counts once
-    sid, side = sid[new], side[new]
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members").combine_chunks().take(pa.array(order))]
+    new = np.append(True, (sid[1:] != sid[:-1]) | (side[1:] != side[:-1]))
+    return order[new], sid[new], side[new]
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a spanning forest of a symmetric matrix of neighbours."""
+    new = np.ones(len(near), bool)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in range(len(near)):
+        todo = [start] if new[start] else []
+        new[start] = False
+        while todo:
+            at = todo.pop()
+            found = np.flatnonzero(near[at] & new)
+            new[found] = False
+            a.append(np.full(len(found), at))
+            b.append(found)
+            todo += found.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def plausible(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose sketches allow a link, as a forest that connects what all such pairs between two blocks (or within one) connect."""
+    order, sid, side = distinct_rows(rows)
+    payload = rows.column("payload").combine_chunks().take(pa.array(order))
+    count = np.frombuffer(b"".join(payload.to_pylist()), np.uint8).reshape(-1, SKETCH)
+    size = rows.column("n").to_numpy()[order]
+    one = side[0] == side[-1]
+    x = np.arange(len(sid)) if one else np.flatnonzero(side == side[0])
+    y = x if one else np.flatnonzero(side != side[0])
+    apart = np.zeros((len(x), len(y)), np.uint16)
+    for k in range(SKETCH):
+        apart += np.maximum.outer(count[x, k], count[y, k]) - np.minimum.outer(count[x, k], count[y, k])
+    ok = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * np.add.outer(size[x], size[y])
+    near = np.zeros((len(sid), len(sid)), bool)
+    near[np.ix_(x, y)] = ok
+    near[np.ix_(y, x)] |= ok.T
+    a, b = spanning(near)
+    return sid[a], sid[b]
+
+
+def forest(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links between two blocks (or within one) connect; exact set comparison."""
+    order, sid, side = distinct_rows(rows)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("payload").combine_chunks().take(pa.array(order))]
     size = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(len(sets)), size)
     member = np.concatenate(sets)
@@ -271,36 +323,65 @@ def forest(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.divmod(np.flatnonzero(both), len(sets))
     c = both[x * len(sets) + y].astype(np.int64)
     ok = (100 * c >= percent * (size[x] + size[y] - c)) & ((side[x] != side[y]) | (side[0] == side[-1]))
-    root = list(range(len(sets)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    kept = []
-    for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-        p, q = top(i), top(j)
-        if p != q:
-            root[q] = p
-            kept.append((i, j))
-    a, b = (np.array(k, np.int64) for k in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 2
+    near = np.zeros((len(sets), len(sets)), bool)
+    near[x[ok], y[ok]] = near[y[ok], x[ok]] = True
+    a, b = spanning(near)
     return sid[a], sid[b]
 
 
+def dealt(held: DataFrame, blocks: DataFrame, percent: int, scope: str) -> DataFrame:
+    """(label, i, j, side, sid, n, payload): each set of ``held`` with every block of its cluster whose sizes allow a link."""
+    # Only classes at most ``reach`` apart hold similar sets: (class, block) with every (class, block) in reach.
+    reach = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO) - 1e-9)
+    near = blocks.select("label", "class", F.col("blocks").alias("own_blocks"), F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)).alias("other"))
+    near = near.join(blocks.select("label", F.col("class").alias("other"), "blocks"), ["label", "other"]).groupBy("label", "class").agg(F.first("own_blocks").alias("own_blocks"), F.collect_list(F.struct("other", "blocks")).alias("near"))
+    near = common.staged(near, "near", scope)
+    mine, theirs = F.struct(F.col("class").alias("c"), F.col("own").alias("b")), F.struct(F.col("x.other").alias("c"), F.col("with").alias("b"))
+    return (
+        held.join(near, ["label", "class"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("own_blocks")).cast("int"))
+        .select("label", "class", "own", "sid", "n", "payload", F.explode("near").alias("x")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)))
+        .select("label", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), F.when(mine <= theirs, 0).otherwise(1).alias("side"), "sid", "n", "payload")
+    )
+
+
+def classed(members: DataFrame, block: int, scope: str) -> tuple[DataFrame, DataFrame]:
+    """Members of clusters with a size class, 0 in clusters of at most a block; and the blocks of each class."""
+    large = common.staged(members.groupBy("label").agg(F.count("*").alias("k")), "large", scope)
+    size_class = F.when(F.col("k") <= block, 0).otherwise(F.floor(F.log("n") / math.log(CLASS_RATIO) + 1e-9).cast("int"))
+    out = common.staged(members.join(large, "label").withColumn("class", size_class), "members", scope)
+    return out, common.staged(out.groupBy("label", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks", scope)
+
+
 def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, scope: str = "") -> DataFrame:
     """(a, b): verified links between names of sets that connect all linked sets."""
     clusters = common.staged(components(candidates(docs, sets, words_in_gram, percent, scope), scope), "clusters", scope)
     # A block is a 150th of the candidates, within bounds: its sets fit a task, and tasks are even.
     block = min(MOST_IN_BLOCK, max(LEAST_IN_BLOCK, clusters.count() // 150))
     # One document of each set that is a candidate; its text is read again.
-    first = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"), F.min("n").alias("n"))
-    members = clusters.withColumnRenamed("node", "sid").join(first, "sid")
-    # Clusters of more than a block are cut by size: only classes at most ``reach`` apart hold similar sets.
-    large = common.staged(clusters.groupBy("label").agg(F.count("*").alias("k")), "large", scope)
-    size_class = F.when(F.col("k") <= block, 0).otherwise(F.floor(F.log("n") / math.log(CLASS_RATIO) + 1e-9).cast("int"))
-    wanted = common.staged(members.join(large, "label").select("sid", "doc_id", "label", size_class.alias("class")), "members", scope)
-    blocks = common.staged(wanted.groupBy("label", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks", scope)
+    first = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    members, blocks = classed(clusters.withColumnRenamed("node", "sid").join(first, "sid"), block, scope)
+
+    def may_link(rows: pa.Table) -> pa.Table:
+        from evidra.llm import jaccard as j
+
+        a, b = j.plausible(rows, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def verify(rows: pa.Table) -> pa.Table:
+        from evidra.llm import jaccard as j
+
+        a, b = j.forest(rows, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    # Clusters of more than a block: what their sketches connect takes their place.
+    chained = members.where(F.col("k") > block)
+    if not chained.isEmpty():
+        parts = dealt(chained.withColumnRenamed("sketch", "payload"), blocks.join(chained.select("label").distinct(), "label", "left_semi"), percent, scope)
+        parts = components(common.staged(parts.groupBy("label", "i", "j").applyInArrow(may_link, "a long, b long"), "plausible", scope), scope)
+        cut = chained.drop("label").join(parts.withColumnRenamed("node", "sid"), "sid")
+        names = ["sid", "doc_id", "n", "label"]
+        members, blocks = classed(members.where(F.col("k") <= block).select(names).unionByName(cut.select(names)), block, scope)
+    wanted = members.select("sid", "doc_id", "n", "label", "class")
     if wanted.count() <= 1_000_000:  # 40 bytes each
         wanted = F.broadcast(wanted)
 
@@ -312,28 +393,10 @@ def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, sc
             sets = j.sets_of(b.column("text"), words_in_gram, powers)
             mine = [k for k, (s, sid) in enumerate(zip(sets, b.column("sid").to_pylist(), strict=True)) if len(s) and j.set_id(s) == sid]
             if mine:
-                yield pa.record_batch([b.column("label").take(pa.array(mine)), b.column("class").take(pa.array(mine)), b.column("sid").take(pa.array(mine)), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["label", "class", "sid", "members"])
-
-    held = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "label", "class", "sid").mapInArrow(again, "label long, class int, sid long, members binary")
-    reach = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO) - 1e-9)
-    # Which pairs of blocks a block takes part in: (class, block) with every (class, block) in reach.
-    near = blocks.select("label", "class", F.col("blocks").alias("own_blocks"), F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)).alias("other"))
-    near = near.join(blocks.select("label", F.col("class").alias("other"), "blocks"), ["label", "other"]).groupBy("label", "class").agg(F.first("own_blocks").alias("own_blocks"), F.collect_list(F.struct("other", "blocks")).alias("near"))
-    near = common.staged(near, "near", scope)
-    mine, theirs = F.struct(F.col("class").alias("c"), F.col("own").alias("b")), F.struct(F.col("x.other").alias("c"), F.col("with").alias("b"))
-    dealt = (
-        held.join(near, ["label", "class"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("own_blocks")).cast("int"))
-        .select("label", "class", "own", "sid", "members", F.explode("near").alias("x")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)))
-        .select("label", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), F.when(mine <= theirs, 0).otherwise(1).alias("side"), "sid", "members")
-    )
-
-    def verify(rows: pa.Table) -> pa.Table:
-        from evidra.llm import jaccard as j
-
-        a, b = j.forest(rows, percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                yield pa.record_batch([*(b.column(c).take(pa.array(mine)) for c in ("label", "class", "sid", "n")), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["label", "class", "sid", "n", "payload"])
 
-    return common.staged(dealt.groupBy("label", "i", "j").applyInArrow(verify, "a long, b long"), "links", scope)
+    held = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "label", "class", "sid", "n").mapInArrow(again, "label long, class int, sid long, n long, payload binary")
+    return common.staged(dealt(held, blocks, percent, scope).groupBy("label", "i", "j").applyInArrow(verify, "a long, b long"), "links", scope)
 
 
 def join(docs: DataFrame, words_in_gram: int = 5, percent: int = 80, scope: str = "") -> DataFrame:

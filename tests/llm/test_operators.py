@@ -142,8 +142,10 @@ def components(rows, k, percent):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_jaccard_join(spark, docs, empty, k, percent):
+@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 140), (5, 80, 4), (2, 60, 140), (2, 60, 4)])
+def test_jaccard_join(spark, docs, empty, k, percent, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_IN_BLOCK", block)
+    monkeypatch.setattr(jaccard, "MOST_IN_BLOCK", max(block, 8))  # clusters of more are cut by sketches first
     rng, rows = random.Random(k), {d: t for d, t in texts(docs).items() if d is not None}
     n = 10_000
     for _ in range(30):
@@ -160,6 +162,15 @@ def test_jaccard_join(spark, docs, empty, k, percent):
     assert jaccard.join(empty, k, percent).count() == 0
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(9)
+    for size in (1, 20, 400, 40_000):  # the last with counts beyond what a sketch holds
+        s = rng.integers(0, 2**63, size).astype(np.uint64)
+        t = np.concatenate([s[: size * 9 // 10], rng.integers(0, 2**63, size // 5).astype(np.uint64)])
+        a, b = (np.frombuffer(jaccard.sketch(x), np.uint8).astype(int) for x in (s, t))
+        assert abs(a - b).sum() <= len(np.setxor1d(s, t))
+
+
 def test_one_deletion_plan_finds_all():
     rng = np.random.default_rng(5)
     for budget_sets in (1, 10**9):  # many sets make the one-deletion budget the cheaper one
