@@ -75,3 +75,32 @@ def grouped_split(rows: DataFrame, group: str, seed: int, share: float = 0.25) -
 def grouped_folds(rows: DataFrame, group: str, folds: int, seed: int) -> DataFrame:
     """(group, fold): groups dealt by digest."""
     return rows.where(F.col(group).isNotNull()).select(group).distinct().withColumn("fold", F.conv(F.substring(hash_rank([group], seed), 1, 8), 16, 10).cast("long") % folds)
+
+
+def backend_ranking(metrics: DataFrame) -> DataFrame:
+    """Backends by mean macro-F1 over their fields, with their lowest field; a row for each backend is ranked."""
+    means = metrics.groupBy("backend").agg(F.avg("macro_f1").alias("mean_f1"), F.min("macro_f1").alias("lowest"), F.count("*").alias("fields"))
+    return means.withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.round("mean_f1", 9)), "backend")))
+
+
+def stratified_split(rows: DataFrame, key: str, label: str, seed: int, share: float = 0.25) -> DataFrame:
+    """(key, label, test): a share of the rows of each label, at least one; labels of one row train.
+
+    Rows are ranked by a digest.  Its first byte cuts a label into 256 parts
+    that are counted first, so that a frequent label is not one task.
+    """
+    h = rows.select(key, F.col(label).alias("label"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))).alias("_h")).withColumn("_b", F.substring("_h", 1, 2))
+    parts = h.groupBy("label", "_b").agg(F.count("*").alias("_n"))
+    each = Window.partitionBy("label")
+    parts = parts.select("label", "_b", F.sum("_n").over(each).alias("_all"), (F.sum("_n").over(each.orderBy("_b")) - F.col("_n")).alias("_before"))
+    taken = F.when(F.col("_all") > 1, F.greatest(F.lit(1), F.bround(share * F.col("_all")).cast("long"))).otherwise(0)
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("label", "_b").orderBy("_h", key))
+    on = F.col("p.label").eqNullSafe(F.col("h.label")) & (F.col("p._b") == F.col("h._b"))
+    return h.alias("h").join(parts.alias("p"), on).select(F.col(f"h.{key}"), F.col("h.label"), F.col("h._b"), "_h", "_before", taken.alias("_k")).select(key, "label", (rank <= F.col("_k")).alias("test"))
+
+
+def suggestions(predictions: DataFrame, least: float) -> DataFrame:
+    """(row_id, backend, field, suggestion): a backend's label where its accuracy on the field is at least ``least``, else null."""
+    stored = predictions.groupBy("backend", "field").agg(F.avg((F.col("label") == F.col("actual")).cast("int")).alias("_accuracy"))
+    shown = F.when(F.round("_accuracy", 9) >= least, F.col("label"))
+    return predictions.join(stored, ["backend", "field"]).select("row_id", "backend", "field", shown.alias("suggestion"))

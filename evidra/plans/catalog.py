@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, evaluation, extract, learning, linking, review, scoring, vectors
+from ..operators import decisions, dedup, evaluation, extract, learning, linking, review, scoring, vectors
 from ..sources import adapters as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -484,3 +484,81 @@ def monthly_snapshots(spark, d):
 @pair(f"with {OBS} select model_id, aspect, count(distinct platform) as platforms, count(distinct platform) >= 2 as corroborated from obs where abs(polarity) = 2 group by 1, 2")
 def corroboration(spark, d):
     return src.observations(spark, d).where("abs(polarity) = 2").groupBy("model_id", "aspect").agg(F.countDistinct("platform").alias("platforms")).withColumn("corroborated", F.col("platforms") >= 2)
+
+
+# --------------------------------------------- decisions, hold-outs, vector work
+
+
+_F1 = """s as (select backend, field, label as l, (label = actual)::int as tp, (label <> actual)::int as fp, 0 as fn from predictions union all select backend, field, actual, 0, 0, (label <> actual)::int from predictions),
+p as (select backend, field, l, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from s group by 1, 2, 3),
+m as (select backend, field, avg(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0)) as f1 from p group by 1, 2)"""
+
+
+@pair(f"with {PRED}, {_F1}, b as (select backend, avg(f1) as mean_f1, min(f1) as lowest, count(*) as fields from m group by 1) select backend, round(mean_f1, 6) as mean_f1, round(lowest, 6) as lowest, fields, row_number() over (order by round(mean_f1, 9) desc, backend) as position from b")
+def backend_ranking(spark, d):
+    return r6(evaluation.backend_ranking(evaluation.macro_f1(src.predictions(spark, d))), "mean_f1", "lowest")
+
+
+@pair(f"with {OBS}, h as (select source_item_id, aspect as label, md5('23|' || cast(source_item_id as varchar)) as h from obs), r as (select *, row_number() over (partition by label order by h, source_item_id) as rn, count(*) over (partition by label) as n from h) select source_item_id, label, rn <= case when n > 1 then greatest(1, cast(round_even(0.25 * n, 0) as bigint)) else 0 end as test from r")
+def stratified_split(spark, d):
+    return evaluation.stratified_split(src.observations(spark, d), "source_item_id", "aspect", 23)
+
+
+@pair(f"with {PRED}, a as (select backend, field, avg((label = actual)::int) as accuracy from predictions group by 1, 2) select row_id, backend, field, case when round(accuracy, 9) >= 0.5 then label end as suggestion from predictions join a using (backend, field)")
+def gated_suggestions(spark, d):
+    return evaluation.suggestions(src.predictions(spark, d), 0.5)
+
+
+@pair("with t as (select doc_id, sha256(text) as text_hash from documents where text is not null), c as (select distinct text_hash from t join labels using (doc_id)) select t.text_hash, min(doc_id) as doc_id, count(*) as copies, t.text_hash in (select text_hash from c) as hit from t group by t.text_hash")
+def embedding_work_list(spark, d):
+    docs = src.table(spark, d, "documents")
+    cached = docs.join(src.table(spark, d, "labels").select("doc_id"), "doc_id").where("text is not null").select(F.sha2("text", 256).alias("text_hash"))
+    return dedup.work_list(docs, "doc_id", "text", cached)
+
+
+@pair("with t as (select doc_id, sha256(text) as h from documents), v as (select h, min(vec_id) as vec_id from t join embeddings on vec_id = doc_id group by 1) select doc_id, vec_id from t left join v using (h)")
+def embedding_attach(spark, d):
+    docs = src.table(spark, d, "documents")
+    known = docs.join(src.table(spark, d, "embeddings").select("vec_id"), F.col("doc_id") == F.col("vec_id"))
+    return dedup.attach(docs, "doc_id", "text", known.groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("vec_id").alias("vec_id")))
+
+
+#: Parameters: weights of tasks, and of aspects in three profiles.
+TASK_WEIGHTS = {0: 3.0, 1: 2.0, 2: 2.0, 3: 1.0, 4: 1.0, 5: 0.5}
+PROFILES = {"builder": {0: 3.0, 2: 3.0, 7: 2.0}, "thrifty": {0: 2.0, 3: 4.0, 1: 1.0}, "careful": {2: 2.0, 4: 4.0, 5: 2.0}}
+_TASKS_SQL = ", ".join(f"({k}, {v}e0)" for k, v in TASK_WEIGHTS.items())
+_PROFILES_SQL = ", ".join(f"('{p}', {k}, {v}e0)" for p, w in PROFILES.items() for k, v in w.items())
+
+
+@pair(f"with {OBS}, {cells_sql('model_id, aspect, task')} select model_id, aspect, round(sum(score * weight) / sum(weight), 6) as utility, count(*) as parts from cells join (values {_TASKS_SQL}) w(task, weight) using (task) group by 1, 2")
+def task_portfolio(spark, d):
+    weights = spark.createDataFrame(list(TASK_WEIGHTS.items()), "task int, weight double")
+    return r6(decisions.weighted(scoring.cell_scores(src.observations(spark, d), ("model_id", "aspect", "task")), weights, "task", ["model_id", "aspect"]), "utility")
+
+
+@pair(f"with {OBS}, {cells_sql('model_id, aspect')}, u as (select profile, model_id, sum(score * weight) / sum(weight) as utility, count(*) as parts from cells join (values {_PROFILES_SQL}) w(profile, aspect, weight) using (aspect) group by 1, 2) select * from (select profile, model_id, round(utility, 6) as utility, parts, row_number() over (partition by profile order by round(utility, 9) desc, model_id) as position from u) where position <= 3")
+def profile_choices(spark, d):
+    weights = spark.createDataFrame([(p, k, v) for p, w in PROFILES.items() for k, v in w.items()], "profile string, aspect int, weight double")
+    scores = scoring.cell_scores(src.observations(spark, d), ("model_id", "aspect"))
+    return r6(decisions.best(decisions.weighted(scores, weights, "aspect", ["profile", "model_id"]), "profile", "model_id", 3), "utility")
+
+
+@pair(f"with {OBS}, {cells_sql('model_id, aspect')}, p as (select cast(p_partkey % 8 as int) as model_id, avg(cast(p_retailprice as double)) as price from part group by 1), n as (select model_id, 100 * ((select max(price) from p) - price) / ((select max(price) from p) - (select min(price) from p)) as price_norm from p) select model_id, round(score, 6) as score, round(price_norm, 6) as price_norm, round(0.7e0 * score + 0.3e0 * price_norm, 6) as value from cells join n using (model_id) where aspect = 3")
+def value_scores(spark, d):
+    prices = src.table(spark, d, "part").groupBy((F.col("p_partkey") % 8).cast("int").alias("model_id")).agg(F.avg(F.col("p_retailprice").cast("double")).alias("price"))
+    cost = scoring.cell_scores(src.observations(spark, d), ("model_id", "aspect")).where("aspect = 3")
+    return r6(decisions.value(cost, prices, "model_id"), "score", "price_norm", "value")
+
+
+@pair(f"with {OBS}, r as (select model_id, cast(min(published_at) as date) + 10 as released from obs group by 1), g as (select obs.*, (polarity + 2) * 25e0 as v, date_diff('day', released, cast(published_at as date)) as gap from obs join r using (model_id)), a as (select model_id, aspect, count(*) filter (gap < 0) as n_before, count(*) filter (gap >= 0) as n_after, sum(weight * v) filter (gap < 0) / sum(weight) filter (gap < 0) as before, sum(weight * v) filter (gap >= 0) / sum(weight) filter (gap >= 0) as after from g where gap between -10 and 9 group by 1, 2) select model_id, aspect, n_before, n_after, round(before, 6) as before, round(after, 6) as after, round(after - before, 6) as change from a")
+def release_impact(spark, d):
+    obs = src.observations(spark, d)
+    releases = obs.groupBy("model_id").agg(F.date_add(F.to_date(F.min("published_at")), 10).alias("released"))
+    return r6(decisions.release_impact(obs, releases, 10, (F.col("polarity") + 2) * 25.0), "before", "after", "change")
+
+
+@pair(f"with {OBS}, {PRED}, {_F1}, g as (select avg(f1) as mean, min(f1) as worst from m), n as (select count(*) as examples, count(distinct thread_id) as groups from obs), a as (select *, concat_ws(',', case when examples < 300 then 'examples' end, case when groups < 75 then 'groups' end, case when mean < 0.7 then 'mean_macro_f1' end, case when worst < 0.6 then 'field_macro_f1' end) as failures from g, n) select round(mean, 6) as mean, round(worst, 6) as worst, examples, groups, failures, failures = '' as ready from a")
+def readiness_gates(spark, d):
+    size = src.observations(spark, d).agg(F.count("*").alias("_e"), F.countDistinct("thread_id").alias("_g"))
+    scores = evaluation.macro_f1(src.predictions(spark, d)).join(F.broadcast(size))  # one row
+    return r6(evaluation.readiness(scores, F.col("_e"), F.col("_g")), "mean", "worst")
