@@ -562,3 +562,37 @@ def readiness_gates(spark, d):
     size = src.observations(spark, d).agg(F.count("*").alias("_e"), F.countDistinct("thread_id").alias("_g"))
     scores = evaluation.macro_f1(src.predictions(spark, d)).join(F.broadcast(size))  # one row
     return r6(evaluation.readiness(scores, F.col("_e"), F.col("_g")), "mean", "worst")
+
+
+# ------------------------------------------------- evidence types and exclusions
+
+#: Terms of each flag: parameters of the two queries below.
+_FLAGS = {"firsthand": [" we ", "my "], "comparative": [" than ", " like "], "regression": ["worse", "broken"], "hallucination": ["invented", "made up"], "refusal": ["refuse", "decline"], "value": ["price", "cheap"], "release": ["release", "version"], "bench": ["benchmark", "score"], "noise": ["password", "license"], "wiring": ["api", "sdk", "integration", "bug"]}
+_HARDWARE = ["memory", "driver", "server", "install", "cable"]
+_FLAGS_SQL = ", ".join(f"({' or '.join(f'contains(l, {chr(39)}{t}{chr(39)})' for t in terms)}) as {flag}" for flag, terms in _FLAGS.items())
+_FLAGGED = f"""t as (select doc_id, coalesce(text, '') as text, lower(coalesce(text, '')) as l from documents),
+f as (select doc_id, text, {_FLAGS_SQL}, ({_n(_HARDWARE)}) >= 2 as hardware, greatest(-2, least(2, {_n(_POSITIVE)} - ({_n(_NEGATIVE)}))) as polarity from t)"""
+_JUDGED = "(firsthand or comparative or regression or hallucination or refusal or value or polarity <> 0)"
+#: Names of evidence types and exclusion reasons, in the order in which they apply.
+_EVIDENCE = [("bug_regression_report", "regression"), ("integration_failure", "wiring"), ("comparative_evaluation", "comparative"), ("benchmark_anecdote", "bench"), ("pricing_value_comment", "value"), ("release_update_reaction", "release"), ("firsthand_usage", "firsthand")]
+_REASONS = [("hardware_infra_requirements", "hardware and not (firsthand or regression or hallucination or refusal)"), ("tooling_or_bot_transcript", f"noise and not {_JUDGED}"), ("factual_release_or_adoption", f"release and not {_JUDGED}"), ("benchmark_without_user_judgment", f"bench and not {_JUDGED}"), ("not_about_model_quality", f"not {_JUDGED}")]
+
+
+def _flagged(spark, d) -> DataFrame:
+    docs = src.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    low = F.lower("text")
+    any_of = {flag: F.size(extract.hits(low, terms)) > 0 for flag, terms in _FLAGS.items()}
+    return docs.withColumns(any_of | {"hardware": F.size(extract.hits(low, _HARDWARE)) >= 2, "polarity": extract.polarity(F.size(extract.hits(low, _POSITIVE)), F.size(extract.hits(low, _NEGATIVE)))})
+
+
+@pair(f"with {_FLAGGED} select doc_id, concat_ws(',', {', '.join(f'case when {c} then {chr(39)}{n}{chr(39)} end' for n, c in _EVIDENCE)}, case when not ({' or '.join(c for _, c in _EVIDENCE)}) then 'hearsay' end) as evidence from f")
+def evidence_types(spark, d):
+    types = extract.all_rules([(n, F.expr(c)) for n, c in _EVIDENCE], "hearsay")
+    return _flagged(spark, d).select("doc_id", F.array_join(types, ",").alias("evidence"))
+
+
+@pair(rf"""with {_FLAGGED}, n as (select *, case when trim(text) = '' then 0 else len(list_filter(regexp_split_to_array(trim(text), '[ \t\n\x0B\f\r]+'), lambda t: t <> '')) end as tokens, length(regexp_replace(text, '\P{{L}}', '', 'g')) as letters, length(regexp_replace(regexp_replace(text, '\P{{L}}', '', 'g'), '[A-Za-z]', '', 'g')) as other from f)
+select doc_id, case when (regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') and tokens < 40) or (coalesce(other * 1e0 / nullif(letters, 0), 0) > 0.55 and tokens < 30) then 'non_english_or_garbled' {' '.join(f"when {c} then '{n}'" for n, c in _REASONS)} end as reason from n""")
+def exclusion_reasons(spark, d):
+    rules = [("non_english_or_garbled", T.garbled(F.col("text")))] + [(n, F.expr(c)) for n, c in _REASONS]
+    return _flagged(spark, d).select("doc_id", extract.exclusion(rules).alias("reason"))
