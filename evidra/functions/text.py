@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,3 +98,16 @@ def in_domain(c: Column, domain: tuple[str, ...], default: str) -> Column:
 def model_text(evidence: Column, context: Column, **fields: Column) -> Column:
     """Non-empty parts joined by line ends; fields as name=value."""
     return F.concat_ws("\n", nz(evidence), nz(context), *[F.concat(F.lit(f"{k}="), nz(v.cast("string"))) for k, v in fields.items()])
+
+
+def trimmed_span(s: Column, preface: Callable[[Column], Column], question: Callable[[Column], Column]) -> Column:
+    """Sentences without those at the start that are a preface, then without questions at both ends while more than one is left; null stays null."""
+    size = F.size(s)
+    kept = F.array_position(F.transform(s, lambda x: ~preface(x)), True).cast("int")
+    s = F.when(kept > 0, F.slice(s, F.greatest(kept, F.lit(1)), F.greatest(size, F.lit(0)))).when(s.isNotNull(), F.slice(s, 1, 0))
+    size = F.size(s)
+    plain = F.transform(s, lambda x: ~question(x))
+    first = F.array_position(plain, True).cast("int")
+    last = size + 1 - F.array_position(F.reverse(plain), True).cast("int")
+    # If all are questions, the last one stays.
+    return F.when(size < 2, s).when(first > 0, F.slice(s, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0)))).otherwise(F.slice(s, -1, 1))

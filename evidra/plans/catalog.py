@@ -596,3 +596,6 @@ select doc_id, case when (regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') and to
 def exclusion_reasons(spark, d):
     rules = [("non_english_or_garbled", T.garbled(F.col("text")))] + [(n, F.expr(c)) for n, c in _REASONS]
     return _flagged(spark, d).select("doc_id", extract.exclusion(rules).alias("reason"))
+
+
+from . import more  # noqa: E402, F401  registers further queries
