@@ -46,14 +46,22 @@ def new_dir(spark: SparkSession, name: str, scope: str = "") -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, scope: str = "", **options: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later stages start from files, not from lineage."""
+def staged(df: DataFrame, name: str, scope: str = "", parts: int = 0, **options: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: later stages start from files, not from lineage.
+
+    ``parts``: files at most, where the number of rows is known (`parts_for`).
+    """
     spark = df.sparkSession
     path = new_dir(spark, name, scope)
-    df.write.options(**options).parquet(path)
+    (df.coalesce(parts) if parts else df).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, rows: int, each: int = 250_000) -> int:
+    """Partitions for so many rows of a few numbers: one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def release(spark: SparkSession, scope: str) -> None:
     """Deletes what was staged under ``scope``. Only for tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -139,6 +147,14 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def slices(batches, rows: int = 1500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: what is computed for one is let go before the next."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document index) of the maximal runs of bytes in class ``inside``; none crosses documents."""
     if not len(data):

@@ -42,7 +42,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -104,7 +104,7 @@ def text_sets(docs: DataFrame, words_in_gram: int, scope: str = "") -> DataFrame
         from evidra.llm import jaccard as j
 
         powers: list = []
-        for b in batches:
+        for b in j.common.slices(batches):
             sets = j.sets_of(b.column("text"), words_in_gram, powers)
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([j.set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([j.sketch(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "sid", "sketch"])
 
@@ -176,22 +176,67 @@ def plans_of(size: int, percent: int) -> list[int]:
 # ------------------------------------------------------------------ components
 
 
-def components(edges: DataFrame, scope: str = "") -> DataFrame:
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, node) for each node of the edges: stars that connect what the edges connect, each with its centre."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[x], label[y])
+        np.minimum.at(new, label[y], label[x])
+        new = new[new]
+        if (new == label).all():
+            return names[label], names
+        label = new
+
+
+def stars(batches, most: int = 1_000_000):
+    """The edges of one task as stars; holds a bounded number of them."""
+    a, b, held = [], [], 0
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        held += len(a[-1])
+        if held > most:
+            x, y = contracted(np.concatenate(a), np.concatenate(b))
+            if len(x) > most // 2:
+                yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
+                x, y = x[:0], y[:0]
+            a, b, held = [x], [y], len(x)
+    if held:
+        x, y = contracted(np.concatenate(a), np.concatenate(b))
+        yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def components(edges: DataFrame, parts: int, scope: str = "") -> DataFrame:
     """(node, label) for edges (a, b): label is the smallest node of the component.
 
-    Each round takes the smallest label among neighbours, then the label of
-    that label; rounds grow with the logarithm of the diameter.
+    Each task turns its edges into stars.  A node takes the smallest of its
+    centres; its other centres are linked with that one, and these links are
+    the edges of the next level, which has centres only.  Levels grow with the
+    logarithm of the number of nodes, and shrink fast.
     """
-    both = common.staged(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))), "edges", scope)
-    labels = common.staged(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels", scope)
+    common.ship(edges.sparkSession)
+
+    def run(batches):
+        from evidra.llm import jaccard as j
+
+        yield from j.stars(batches)
+
+    levels, w = [], Window.partitionBy("b")
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = common.staged(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels", scope)
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = common.staged(step.join(jump, "label").select("node", "old", F.least("label", "root").alias("label")), "labels", scope)
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
+        named = edges.mapInArrow(run, "a long, b long").withColumns({"m": F.min("a").over(w), "first": F.row_number().over(w.orderBy("a")) == 1})
+        named = common.staged(named.where("first or a <> m"), "stars", scope, parts)
+        levels.append(named.where("first").select(F.col("b").alias("node"), F.col("m").alias("label")))
+        edges = named.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        if edges.count() == 0:
+            break
+    labels = levels.pop()
+    while levels:
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        labels = common.staged(levels.pop().join(above, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels", scope, parts)
+    return labels
 
 
 # --------------------------------------------------------------------- the join
@@ -211,7 +256,7 @@ def candidates(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: in
         from evidra.llm import jaccard as j
 
         powers, seen = [], set()
-        for b in batches:
+        for b in j.common.slices(batches):
             keys, sids = [], []
             for s in j.sets_of(b.column("text"), words_in_gram, powers):
                 if len(s) and (sid := j.set_id(s)) not in seen:
@@ -243,11 +288,14 @@ def candidates(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: in
         keys, sids = keys[order], sids[order]
         start = np.append(True, keys[1:] != keys[:-1])
         leader = sids[np.flatnonzero(start)][np.cumsum(start) - 1]
-        pairs = np.unique(np.stack([leader[leader != sids], sids[leader != sids]]), axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        from evidra.llm import jaccard as j
+
+        other = leader != sids
+        least, node = j.contracted(leader[other], sids[other])
+        yield pa.record_batch([pa.array(least), pa.array(node)], names=["a", "b"])
 
     keys = docs.select("text").mapInArrow(emit, "bucket int, keys binary, sids binary").repartitionById(buckets, "bucket")
-    return common.staged(keys.mapInArrow(agree, "a long, b long").distinct(), "stars", scope)
+    return common.staged(keys.mapInArrow(agree, "a long, b long"), "stars", scope)
 
 
 def distinct_rows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,29 +361,34 @@ def forest(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     step = np.cumsum(long * (long - 1) // 2)
     at = 0
     while at < len(long):
-        z = max(at + 1, int(np.searchsorted(step, (step[at - 1] if at else 0) + 2_000_000, "right")))
+        z = max(at + 1, int(np.searchsorted(step, (step[at - 1] if at else 0) + 500_000, "right")))
         for k in np.unique(long[at:z]).tolist():
             s = start[at:z][long[at:z] == k]
             held = doc[s[:, None] + np.arange(k)]
             x, y = np.triu_indices(k, 1)
-            both += np.bincount((held[:, x] * len(sets) + held[:, y]).ravel(), minlength=len(both)).astype(np.int32)
+            pair = (held[:, x] * len(sets) + held[:, y]).ravel()
+            if len(pair) * 8 > len(both):
+                np.add(both, np.bincount(pair, minlength=len(both)), out=both, casting="unsafe")
+            else:
+                np.add.at(both, pair, np.int32(1))
         at = z
-    x, y = np.divmod(np.flatnonzero(both), len(sets))
-    c = both[x * len(sets) + y].astype(np.int64)
-    ok = (100 * c >= percent * (size[x] + size[y] - c)) & ((side[x] != side[y]) | (side[0] == side[-1]))
     near = np.zeros((len(sets), len(sets)), bool)
-    near[x[ok], y[ok]] = near[y[ok], x[ok]] = True
+    for x, shared in enumerate(both.reshape(len(sets), -1)):
+        y = np.flatnonzero(shared)
+        c = shared[y].astype(np.int64)
+        y = y[(100 * c >= percent * (size[x] + size[y] - c)) & ((side[x] != side[y]) | (side[0] == side[-1]))]
+        near[x, y] = near[y, x] = True
     a, b = spanning(near)
     return sid[a], sid[b]
 
 
-def dealt(held: DataFrame, blocks: DataFrame, percent: int, scope: str) -> DataFrame:
+def dealt(held: DataFrame, blocks: DataFrame, percent: int, parts: int, scope: str) -> DataFrame:
     """(label, i, j, side, sid, n, payload): each set of ``held`` with every block of its cluster whose sizes allow a link."""
     # Only classes at most ``reach`` apart hold similar sets: (class, block) with every (class, block) in reach.
     reach = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO) - 1e-9)
     near = blocks.select("label", "class", F.col("blocks").alias("own_blocks"), F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)).alias("other"))
     near = near.join(blocks.select("label", F.col("class").alias("other"), "blocks"), ["label", "other"]).groupBy("label", "class").agg(F.first("own_blocks").alias("own_blocks"), F.collect_list(F.struct("other", "blocks")).alias("near"))
-    near = common.staged(near, "near", scope)
+    near = common.staged(near, "near", scope, parts)
     mine, theirs = F.struct(F.col("class").alias("c"), F.col("own").alias("b")), F.struct(F.col("x.other").alias("c"), F.col("with").alias("b"))
     return (
         held.join(near, ["label", "class"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("own_blocks")).cast("int"))
@@ -344,22 +397,22 @@ def dealt(held: DataFrame, blocks: DataFrame, percent: int, scope: str) -> DataF
     )
 
 
-def classed(members: DataFrame, block: int, scope: str) -> tuple[DataFrame, DataFrame]:
+def classed(members: DataFrame, block: int, parts: int, scope: str) -> tuple[DataFrame, DataFrame]:
     """Members of clusters with a size class, 0 in clusters of at most a block; and the blocks of each class."""
-    large = common.staged(members.groupBy("label").agg(F.count("*").alias("k")), "large", scope)
+    large = common.staged(members.groupBy("label").agg(F.count("*").alias("k")), "large", scope, parts)
     size_class = F.when(F.col("k") <= block, 0).otherwise(F.floor(F.log("n") / math.log(CLASS_RATIO) + 1e-9).cast("int"))
-    out = common.staged(members.join(large, "label").withColumn("class", size_class), "members", scope)
-    return out, common.staged(out.groupBy("label", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks", scope)
+    out = common.staged(members.join(large, "label").withColumn("class", size_class), "members", scope, parts)
+    return out, common.staged(out.groupBy("label", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks", scope, parts)
 
 
-def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, scope: str = "") -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, parts: int, scope: str = "") -> DataFrame:
     """(a, b): verified links between names of sets that connect all linked sets."""
-    clusters = common.staged(components(candidates(docs, sets, words_in_gram, percent, scope), scope), "clusters", scope)
+    clusters = components(candidates(docs, sets, words_in_gram, percent, scope), parts, scope)
     # A block is a 150th of the candidates, within bounds: its sets fit a task, and tasks are even.
     block = min(MOST_IN_BLOCK, max(LEAST_IN_BLOCK, clusters.count() // 150))
     # One document of each set that is a candidate; its text is read again.
     first = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
-    members, blocks = classed(clusters.withColumnRenamed("node", "sid").join(first, "sid"), block, scope)
+    members, blocks = classed(clusters.withColumnRenamed("node", "sid").join(first, "sid"), block, parts, scope)
 
     def may_link(rows: pa.Table) -> pa.Table:
         from evidra.llm import jaccard as j
@@ -376,11 +429,11 @@ def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, sc
     # Clusters of more than a block: what their sketches connect takes their place.
     chained = members.where(F.col("k") > block)
     if not chained.isEmpty():
-        parts = dealt(chained.withColumnRenamed("sketch", "payload"), blocks.join(chained.select("label").distinct(), "label", "left_semi"), percent, scope)
-        parts = components(common.staged(parts.groupBy("label", "i", "j").applyInArrow(may_link, "a long, b long"), "plausible", scope), scope)
-        cut = chained.drop("label").join(parts.withColumnRenamed("node", "sid"), "sid")
+        pairs = dealt(chained.withColumnRenamed("sketch", "payload"), blocks.join(chained.select("label").distinct(), "label", "left_semi"), percent, parts, scope)
+        pieces = components(pairs.groupBy("label", "i", "j").applyInArrow(may_link, "a long, b long"), parts, scope)
+        cut = chained.drop("label").join(pieces.withColumnRenamed("node", "sid"), "sid")
         names = ["sid", "doc_id", "n", "label"]
-        members, blocks = classed(members.where(F.col("k") <= block).select(names).unionByName(cut.select(names)), block, scope)
+        members, blocks = classed(members.where(F.col("k") <= block).select(names).unionByName(cut.select(names)), block, parts, scope)
     wanted = members.select("sid", "doc_id", "n", "label", "class")
     if wanted.count() <= 1_000_000:  # 40 bytes each
         wanted = F.broadcast(wanted)
@@ -389,24 +442,25 @@ def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, sc
         from evidra.llm import jaccard as j
 
         powers: list = []
-        for b in batches:
+        for b in j.common.slices(batches):
             sets = j.sets_of(b.column("text"), words_in_gram, powers)
             mine = [k for k, (s, sid) in enumerate(zip(sets, b.column("sid").to_pylist(), strict=True)) if len(s) and j.set_id(s) == sid]
             if mine:
                 yield pa.record_batch([*(b.column(c).take(pa.array(mine)) for c in ("label", "class", "sid", "n")), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["label", "class", "sid", "n", "payload"])
 
     held = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "label", "class", "sid", "n").mapInArrow(again, "label long, class int, sid long, n long, payload binary")
-    return common.staged(dealt(held, blocks, percent, scope).groupBy("label", "i", "j").applyInArrow(verify, "a long, b long"), "links", scope)
+    return dealt(held, blocks, percent, parts, scope).groupBy("label", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def join(docs: DataFrame, words_in_gram: int = 5, percent: int = 80, scope: str = "") -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id): documents of one component are connected by links of Jaccard similarity >= percent / 100."""
     sets = text_sets(docs, words_in_gram, scope)
-    found = components(links(docs, sets, words_in_gram, percent, scope), scope)
+    parts = common.parts_for(docs.sparkSession, sets.count())
+    found = components(links(docs, sets, words_in_gram, percent, parts, scope), parts, scope)
     least = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    named = common.staged(least.join(found.withColumnRenamed("node", "sid"), "sid", "left"), "named", scope)
-    roots = common.staged(named.where("label is not null").groupBy("label").agg(F.min("least").alias("root")), "roots", scope)
-    final = common.staged(named.join(roots, "label", "left").select(F.col("sid").alias("set_id"), F.coalesce("root", "least").alias("component")), "final", scope)
+    named = common.staged(least.join(found.withColumnRenamed("node", "sid"), "sid", "left"), "named", scope, parts)
+    roots = named.where("label is not null").groupBy("label").agg(F.min("least").alias("root"))
+    final = common.staged(named.join(roots, "label", "left").select(F.col("sid").alias("set_id"), F.coalesce("root", "least").alias("component")), "final", scope, parts)
     return sets.withColumnRenamed("sid", "set_id").join(final, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 

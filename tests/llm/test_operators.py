@@ -162,6 +162,22 @@ def test_jaccard_join(spark, docs, empty, k, percent, block, monkeypatch):
     assert jaccard.join(empty, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["chain", "random", "empty"])
+def test_components_of_graphs(spark, kind):
+    rng = np.random.default_rng(5)
+    if kind == "chain":
+        names = rng.permutation(300)
+        edges = list(zip(names[:-1].tolist(), names[1:].tolist(), strict=True))
+    else:
+        edges = rng.integers(-400, 400, (380 if kind == "random" else 0, 2)).tolist()
+    label = {n: n for e in edges for n in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(5), 2).collect()
+    assert len(got) == len(label) and {r.node: r.label for r in got} == label
+
+
 def test_sketches_never_differ_more_than_sets():
     rng = np.random.default_rng(9)
     for size in (1, 20, 400, 40_000):  # the last with counts beyond what a sketch holds
