@@ -49,7 +49,7 @@ from . import common
 
 RATIO = 1.5
 CLASS_RATIO = 1.1
-LEAST_IN_BLOCK, MOST_IN_BLOCK = 140, 1000
+LEAST_IN_BLOCK, MOST_IN_BLOCK = 300, 1000
 KEYS_PER_BUCKET = 400_000
 #: Counts in a sketch, of one byte each; a power of two.
 SKETCH = 128
