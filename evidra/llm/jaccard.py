@@ -69,7 +69,7 @@ def sets_of(col: pa.Array, words_in_gram: int, powers: list) -> list[np.ndarray]
         bounds = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
         size = len(h)
         gram = np.zeros(size, np.uint64)  # of the n-gram that starts at each word of the block
-        for q in range(words_in_gram):
+        for q in range(min(words_in_gram, size)):
             gram[: size - q] = common.mix(gram[: size - q] + h[q:])
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
             n = z - a - words_in_gram + 1
@@ -266,13 +266,13 @@ def candidates(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: in
                         sids.append(np.full(len(keys[-1]), sid, np.int64))
             if len(seen) > 200_000:
                 seen.clear()
-            if not keys:
+            if not any(map(len, keys)):
                 continue
             keys, sids = np.concatenate(keys), np.concatenate(sids)
             order = np.argsort(keys)
             keys, sids = keys[order], sids[order]
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = np.append(first[1:], len(keys))
             yield pa.record_batch([pa.array(bucket[first]), *(pa.array([x[a:z].tobytes() for a, z in zip(first, ends, strict=True)], pa.binary()) for x in (keys, sids))], names=["bucket", "keys", "sids"])
 

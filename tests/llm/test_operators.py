@@ -162,6 +162,18 @@ def test_jaccard_join(spark, docs, empty, k, percent, block, monkeypatch):
     assert jaccard.join(empty, k, percent).count() == 0
 
 
+def test_sets_of_blocks_with_fewer_words_than_a_gram(spark):
+    pa = __import__("pyarrow")
+    for n in range(6):
+        for k in (4, 5):
+            assert [len(s) for s in jaccard.sets_of(pa.array([" ".join(f"w{i}" for i in range(n))]), k, [])] == [min(n, max(n - k + 1, 1))]
+    long = "x" * (2 << 20)
+    assert [len(s) for s in jaccard.sets_of(pa.array(["two words", long]), 5, [])] == [1, 1]  # each in a block of its own
+    rows = [(k, " ".join(["w"] * k)) for k in range(1, 6)] + [(9, "w w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, 4, 85).collect()} == components(dict(rows), 4, 85)
+
+
 @pytest.mark.parametrize("kind", ["chain", "random", "empty"])
 def test_components_of_graphs(spark, kind):
     rng = np.random.default_rng(5)
