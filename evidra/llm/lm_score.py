@@ -7,13 +7,19 @@ the word inside its class.  A document's score is the sum over all its words
 of the log-probability of each one given both sides.
 
 Vocabulary: words are counted over the whole corpus; the most frequent get ids
-of their own, all others share ``rest`` ids by hash.  Training: every scan
-partition takes one pass of gradient steps over all its documents from the
-same start, predicting a fixed pseudo-random quarter of the places (the masked
-ones; the others serve as context), and the parameters are averaged by tokens,
-in two rounds of sums over chunks of the parameters, so that no task and not
-the driver holds more than a part of them times the square root of the number
-of partitions.
+of their own in the network, all others share ``rest`` ids by hash.  A word
+that shares an id has the probability of the id times its own share of the
+count of all words with that id.  The counts of all words stay a table: each
+block of texts sends its distinct words to them and gets their counts back, so
+the model holds every word of the corpus and no task holds more than a block's.
+Training: every scan partition takes one pass of gradient steps over all its
+documents from the same start, predicting every place once from its context,
+and the parameters are averaged by tokens, in two rounds of sums over chunks of
+the parameters, so that no task and not the driver holds more than a part of
+them times the square root of the number of partitions.
+
+A word that was not counted (a text outside the corpus) is scored like one that
+occurred once.
 
 Nulls: a null text, or one without words, has 0 words, log-probability 0 and
 no mean.  Repeated rows get equal scores and count as often as they occur.  An
@@ -108,8 +114,8 @@ class Network:
             self.embed[k][ids[first]] -= rate * np.add.reduceat(gh[order], first) / (size + 32)[:, None]
 
 
-def places(data: np.ndarray, off: np.ndarray, names: np.ndarray, ids: np.ndarray, rest: int, powers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word ids, context ids, document) of every word; ``names``: sorted hashes of the words with ids of their own."""
+def places(data: np.ndarray, off: np.ndarray, names: np.ndarray, ids: np.ndarray, rest: int, powers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word ids, context ids, document, hash) of every word; ``names``: sorted hashes of the words with ids of their own."""
     low = common.LOWER[data]
     start, end, doc = common.words(low, off, common.ALNUM)
     h = common.word_hashes(low, start, end, powers)
@@ -123,7 +129,7 @@ def places(data: np.ndarray, off: np.ndarray, names: np.ndarray, ids: np.ndarray
     line = np.full(len(word) + 2 * (len(off) + 1), VOCABULARY, np.int32)
     at = np.arange(len(word)) + 2 * (doc + 1)
     line[at] = word
-    return word.astype(np.int32), np.stack([line[at + k] for k in SIDES], 1), doc
+    return word.astype(np.int32), np.stack([line[at + k] for k in SIDES], 1), doc, h
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -148,24 +154,34 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
+    """``words``: the counts of all words, a table; ``counts``: of each id of the network."""
+
     def __init__(self, counts: DataFrame, rest: int = 256):
         own = VOCABULARY - rest
-        counts = common.staged(counts, "words")
-        top = counts.orderBy(F.desc("n"), "word").limit(own).collect()  # at most VOCABULARY rows
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+        self.words = common.staged(counts, "words")
+        top = self.words.orderBy(F.desc("n"), "word").limit(own).collect()  # at most VOCABULARY rows
+
+        def shared(batches):
+            total = np.zeros(rest, np.int64)
+            for b in batches:
+                np.add.at(total, (b.column("word").to_numpy().view(np.uint64) % np.uint64(rest)).astype(np.int64), b.column("n").to_numpy())
+            yield pa.record_batch([pa.array(range(rest), pa.int32()), pa.array(total)], names=["id", "n"])
+
         h = np.array([r.word for r in top], np.int64).view(np.uint64)
         order = np.argsort(h)
         self.rest, self.names, self.ids = rest, h[order], order.astype(np.int64)
         self.counts = np.zeros(VOCABULARY)
         self.counts[: len(top)] = [r.n for r in top]
-        self.counts[own:] = (total - self.counts[:own].sum()) / rest
+        for r in self.words.mapInArrow(shared, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # ``rest`` rows
+            self.counts[own + r.id] = r.n
+        np.subtract.at(self.counts, own + (h % np.uint64(rest)).astype(np.int64), self.counts[: len(top)])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.5, masked: int = 4) -> Network:
+def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.5, masked: int = 1) -> Network:
     """The average of one pass of gradient steps over every partition; one place in ``masked`` is predicted."""
     common.ship(docs.sparkSession)
     start = Network(counts=vocabulary.counts).flat
-    v = vocabulary
+    known = vocabulary.names, vocabulary.ids, vocabulary.rest
 
     def local(batches):
         from pyspark import TaskContext
@@ -176,7 +192,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.5, masked: in
         for b in batches:
             data, off = common.column_bytes(b.column("text"))
             for i, j in common.blocks(off):
-                word, context, _ = m.places(data[off[i] : off[j]], off[i : j + 1] - off[i], v.names, v.ids, v.rest, powers)
+                word, context, _, _ = m.places(data[off[i] : off[j]], off[i : j + 1] - off[i], *known, powers)
                 seen += len(word)
                 chosen = rng.permutation(np.flatnonzero(common.mix(np.arange(len(word), dtype=np.uint64) + np.uint64(seen)) % np.uint64(masked) == 0))
                 for s in range(0, len(chosen), m.STEP):
@@ -206,28 +222,70 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.5, masked: in
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
     """(doc_id, n_words, log_prob, mean_log_prob): every word of every text is predicted once."""
     common.ship(docs.sparkSession)
-    v = vocabulary
+    known = vocabulary.names, vocabulary.ids, vocabulary.rest
+    of_ids = np.log(np.maximum(vocabulary.counts[VOCABULARY - vocabulary.rest :], 1))
     sent = docs.sparkSession.sparkContext.broadcast(network.flat)  # SIZE numbers
 
     def run(batches):
+        """For each block: a row without a word, with its documents and what the network says of them; and one for each distinct word that shares an id, with the documents of its places."""
+        from pyspark import TaskContext
+
         from evidra.llm import lm_score as m
 
-        net, powers = m.Network(sent.value), []
+        net, powers, number = m.Network(sent.value), [], TaskContext.get().partitionId() << 32
         for b in batches:
             data, off = common.column_bytes(b.column("text"))
             for i, j in common.blocks(off):
-                word, context, doc = m.places(data[off[i] : off[j]], off[i : j + 1] - off[i], v.names, v.ids, v.rest, powers)
+                word, context, doc, h = m.places(data[off[i] : off[j]], off[i : j + 1] - off[i], *known, powers)
                 order = np.argsort(word, kind="stable")
                 logp = np.empty(len(word), np.float64)
                 for s in range(0, len(order), m.STEP):
                     part = order[s : s + m.STEP]
                     logp[part] = net.forward(context[part], word[part])
-                n = np.bincount(doc, minlength=j - i)
-                total = np.bincount(doc, logp, j - i)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.record_batch([b.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+                n, total = np.bincount(doc, minlength=j - i), np.bincount(doc, logp, j - i)
+                ids = b.column("doc_id").slice(i, j - i).cast(pa.int64())
+                yield m.block_rows(number, [None], [m.packed(ids, n, total)])
+                shared = np.flatnonzero(word >= m.VOCABULARY - known[2])
+                if len(shared):
+                    shared = shared[np.argsort(h[shared], kind="stable")]
+                    first = np.flatnonzero(np.append(True, h[shared][1:] != h[shared][:-1]))
+                    to = np.append(first, len(shared)).astype(np.int32) * 4
+                    at = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(to.tobytes()), pa.py_buffer(doc[shared].astype(np.int32).tobytes())])
+                    yield m.block_rows(number, h[shared][first].view(np.int64), at)
+                number += 1
+
+    def whole(rows: pa.Table) -> pa.Table:
+        from evidra.llm import lm_score as m
+
+        word = rows.column("word").combine_chunks()
+        ids, n, total = m.unpacked(rows.column("at").filter(word.is_null())[0].as_py())
+        rows = rows.filter(word.is_valid())
+        if rows.num_rows:
+            h, times = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+            gain = np.log(times) - of_ids[(h % np.uint64(known[2])).astype(np.int64)]
+            at = rows.column("at").to_pylist()
+            total = total + np.bincount(np.frombuffer(b"".join(at), np.int32), np.repeat(gain, [len(x) // 4 for x in at]), len(n))
+        return pa.table({"doc_id": ids, "n_words": pa.array(n), "log_prob": pa.array(total), "mean_log_prob": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+
+    blocks = common.staged(docs.select("doc_id", "text").mapInArrow(run, "block long, word long, at binary"), "scored")
+    counted = blocks.where("word is not null").join(vocabulary.words, "word", "left").select("block", "word", "at", F.coalesce("n", F.lit(1)).alias("n"))
+    rows = counted.unionByName(blocks.where("word is null").withColumn("n", F.lit(0).cast("long")))
+    return rows.groupBy("block").applyInArrow(whole, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+
+
+def block_rows(block: int, word, at) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(word), block, np.int64)), pa.array(word, pa.int64()), at if isinstance(at, pa.Array) else pa.array(at, pa.binary())], names=["block", "word", "at"])
+
+
+def packed(ids: pa.Array, n: np.ndarray, total: np.ndarray) -> bytes:
+    """The documents of a block: id, whether it is null, words and log-probability of each."""
+    return b"".join([ids.fill_null(0).to_numpy().tobytes(), n.astype(np.int64).tobytes(), total.tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes()])
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+def unpacked(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    k = len(raw) // 25
+    ids, n, total = (np.frombuffer(raw, kind, k, 8 * k * at) for at, kind in enumerate((np.int64, np.int64, np.float64)))
+    return pa.array(ids, mask=np.frombuffer(raw, bool, k, 24 * k)), n, total
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

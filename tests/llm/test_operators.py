@@ -369,6 +369,39 @@ def test_lm_scores(spark, docs, empty):
     assert lm_score.score(empty, v, lm_score.Network()).count() == 0
 
 
+def test_lm_holds_every_word(spark):
+    """Two words that share an id of the network are told apart by their counts, and the shares of an id sum to one."""
+    rng = random.Random(8)
+    names = [f"n{k}" for k in range(3000)]
+    words = names + [names[0]] * 40
+    rng.shuffle(words)
+    rows = [(None if k == 3 else k, " ".join(words[k * 40 : k * 40 + 40])) for k in range(76)] + [(500, "n0"), (500, "n0"), (501, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    v, net = lm_score.Vocabulary(lm_score.count_words(df), rest=256), lm_score.Network()
+    n = collections.Counter(w for _, t in rows for w in (t or "").split())
+    own = {int(x) for x in v.names}
+    powers, share, want = [], collections.Counter(), collections.Counter()
+    data, off = common.column_bytes(__import__("pyarrow").array(list(n)))
+    hashed = dict(zip(n, (int(x) for x in common.word_hashes(data, off[:-1], off[1:])), strict=True))
+    for w, k in n.items():
+        if hashed[w] not in own:
+            share[hashed[w] % v.rest] += k
+    assert [v.counts[lm_score.VOCABULARY - v.rest + k] for k in range(v.rest)] == [share[k] for k in range(v.rest)]
+    for i, t in rows:
+        d, o = common.column_bytes(__import__("pyarrow").array([t or ""]))
+        word, context, _, _ = lm_score.places(d, o, v.names, v.ids, v.rest, powers)
+        order = np.argsort(word, kind="stable")
+        total = float(net.forward(context[order], word[order]).sum()) if len(word) else 0.0
+        total += sum(np.log(n[w] / share[hashed[w] % v.rest]) for w in (t or "").split() if hashed[w] not in own)
+        want[i, len(word), round(total, 2)] += 1
+    got = collections.Counter((r.doc_id, r.n_words, round(r.log_prob, 2)) for r in lm_score.score(df, v, net).collect())
+    assert {k[:2] for k in got} == {k[:2] for k in want} and sum(got.values()) == len(rows)
+    assert all(abs(a[2] - b[2]) < 0.02 for a, b in zip(sorted(got.elements(), key=str), sorted(want.elements(), key=str), strict=True))
+    out = lm_score.score(spark.createDataFrame([(1, names[0]), (2, "n2999")], "doc_id long, text string"), lm_score.Vocabulary(lm_score.count_words(df), rest=lm_score.VOCABULARY), net)
+    a, b = (r.log_prob for r in out.orderBy("doc_id").collect())
+    assert n["n0"] == 43 and a != b
+
+
 def test_word_hashes_depend_on_bytes_alone():
     data = np.frombuffer(b"alpha beta alpha", np.uint8)
     start, end, _ = common.words(data, np.array([0, len(data)]), common.NOT_SPACE)
