@@ -14,7 +14,9 @@ digits only), so an entity gets the same one in every document and spelling.
 Distinctness: all distinct entities of the corpus are gathered (pre-aggregated,
 so frequent ones cost nothing), and those whose surrogate is taken by another
 entity, or is itself an entity of the corpus, get the next attempt until none
-is left.  Only texts with such an entity are joined with its attempt.
+is left.  Later attempts have more room: names get a second family name, then one
+more syllable an attempt; addresses, tokens and secrets one more character from
+the fifth attempt on, so that short ones do not run out.  Only texts with such an entity are joined with its attempt.
 
 Nulls: a null text stays null and has no entities.  Empty texts stay empty.
 Repeated rows get equal texts.  An empty table gives no rows.  Extra columns
@@ -48,6 +50,7 @@ HINT = r"\d{3}|[=:][^\s]{6}|\d\.\d|@|\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|
 MALE, FEMALE = "Adam Bruno Carl David Emil Felix Georg Henry Ivan Jonas Karim Louis Marco Nils Oscar Paul", "Alice Berta Clara Diana Emma Fiona Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula"
 FAMILY = "Abel Bauer Costa Dubois Ebner Fischer Garcia Hansen Ivers Jansen Keller Lopez Moreau Novak Olsen Perrin"
 MALE_CYRILLIC, FEMALE_CYRILLIC, FAMILY_CYRILLIC = "Антон Борис Виктор Глеб Денис Егор Иван Кирилл", "Анна Вера Галина Дарья Елена Ирина Мария Ольга", "Белов Волков Громов Данилов Ершов Зимин Козлов Лебедев"
+SYLLABLES, SYLLABLES_CYRILLIC = "ba be do fa ga ho ja ke la mi no pa ri so ta vu", "ба ве до жа за ки ла ми но па ри со та фу ха ча"
 _FEMALE_TITLE = "^(?:Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа)"
 _LOWER_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 
@@ -106,6 +109,11 @@ def _names(words: str, v: Column) -> Column:
     return F.element_at(F.split(F.lit(words), " "), v % len(words.split()) + 1)
 
 
+def _more(stream: Column, n: Column, of) -> Column:
+    """``of`` (a number of the keyed stream) for ``n`` further places, none for n < 1."""
+    return F.when(n < 1, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: of(_byte(stream, k + 5))), ""))
+
+
 def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     """Adds ``made``, the surrogate, to rows (e, type, norm, attempt)."""
     e, t, n, stream = F.col("e"), F.col("type"), F.col("attempt"), F.col("_stream")
@@ -114,21 +122,23 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     keep = F.when(t == "phone", 10).when(t == "iban", F.length(F.regexp_replace(e, " ", "")) - 2).otherwise(999)
     two = lambda k: _byte(stream, F.lit(k)) * 256 + _byte(stream, F.lit(k + 1))
     female, cyrillic = e.rlike(_FEMALE_TITLE), e.rlike("[А-Яа-я]")
+    hexadecimal = t.isin("token", "secret") & e.rlike("^[0-9a-fA-F]+$")
     df = df.withColumns({"_stream": F.sha2(F.concat_ws("|", F.lit(key), t, "norm", n.cast("string")), 512), "_tail": tail})
     df = df.withColumns({
-        "_plain": F.concat(_mapped(F.substr(e, F.lit(1), F.length(e) - F.length("_tail")), stream, keep, t.isin("token", "secret") & e.rlike("^[0-9a-fA-F]+$")), "_tail"),
+        "_plain": F.concat(_mapped(F.substr(e, F.lit(1), F.length(e) - F.length("_tail")), stream, keep, hexadecimal), "_tail"),
         "_ip": F.concat_ws(".", *[(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]),
         "_given": F.when(female & cyrillic, _names(FEMALE_CYRILLIC, two(0))).when(cyrillic, _names(MALE_CYRILLIC, two(0))).when(female, _names(FEMALE, two(0))).otherwise(_names(MALE, two(0))),
         "_family": F.when(cyrillic, F.concat(_names(FAMILY_CYRILLIC, two(2)), F.when(female, F.lit("а")).otherwise(F.lit("")))).otherwise(_names(FAMILY, two(2))),
-        # The lists are short: later attempts add a second family name.
-        "_second": F.when(n > 0, F.concat(F.lit("-"), F.when(cyrillic, _names(FAMILY_CYRILLIC, two(4))).otherwise(_names(FAMILY, two(4))))).otherwise(F.lit("")),
+        # The lists are short: later attempts add a second family name, then a syllable each.
+        "_second": F.when(n > 0, F.concat(F.lit("-"), F.when(cyrillic, _names(FAMILY_CYRILLIC, two(4))).otherwise(_names(FAMILY, two(4))), _more(stream, n - 1, lambda v: F.when(cyrillic, _names(SYLLABLES_CYRILLIC, v)).otherwise(_names(SYLLABLES, v))))).otherwise(F.lit("")),
+        "_longer": F.when(t.isin("email", "token", "secret"), _more(stream, n - 4, lambda v: F.when(hexadecimal, _pick("abcdef", v)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", v)))).otherwise(F.lit("")),
         "_valid": _luhn(e) == 0,
     })
     df = df.withColumn("_open", F.regexp_replace("_plain", r"\d$", ""))
     number = F.when(F.col("_valid"), F.concat("_open", ((10 - _luhn(F.concat("_open", F.lit("0")))) % 10).cast("string"))).otherwise(F.col("_plain"))
     name = F.concat(F.regexp_extract(e, r"^(\S+ )", 1), F.when(e.rlike(r"^\S+ \S+ \S+$"), F.concat("_given", F.lit(" "))).otherwise(F.lit("")), "_family", "_second")
-    made = F.when(t == "ip", F.col("_ip")).when(t == "number", number).when(t == "name", name).otherwise(F.col("_plain"))
-    return df.withColumn("made", made).drop("_stream", "_tail", "_plain", "_ip", "_given", "_family", "_second", "_valid", "_open")
+    made = F.when(t == "ip", F.col("_ip")).when(t == "number", number).when(t == "name", name).otherwise(F.concat("_longer", "_plain"))
+    return df.withColumn("made", made).drop("_stream", "_tail", "_plain", "_ip", "_given", "_family", "_second", "_longer", "_valid", "_open")
 
 
 def spellings(docs: DataFrame, patterns: dict[str, str] = PATTERNS, hint: str = HINT) -> DataFrame:

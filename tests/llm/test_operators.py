@@ -304,6 +304,19 @@ def test_surrogates_stay_distinct_when_they_collide(spark):
     assert len(set(made.values())) == 25 and not set(made) & set(made.values())
 
 
+def test_surrogates_never_run_out(spark):
+    """More names than the lists hold, all one-letter mailboxes of a domain, and secrets without a letter."""
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)).title() for _ in range(1000)})
+    cyrillic = sorted({"".join(rng.choice(pii._LOWER_CYRILLIC) for _ in range(7)).title() for _ in range(200)})
+    old = [f"Frau {n}" for n in names] + [f"Господин {n}" for n in cyrillic] + [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["password=******", "password=------"]
+    df = spark.createDataFrame([(k, f"see {e}, now") for k, e in enumerate(old)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace(df, "k").collect()}
+    made = [out[k].removeprefix("see ").removesuffix(", now") for k in range(len(old))]
+    assert len(set(map(str.lower, made))) == len(old) == 1228 and not {x.lower() for x in made} & {x.lower() for x in old}
+    assert all(m.startswith(o.split()[0] + " ") for m, o in zip(made, old, strict=True) if " " in o) and all(m.endswith("@example.com") for m in made[1200:1226])
+
+
 def test_language(spark, docs, empty):
     words = {"en": "the of and that with from this there".split(), "de": "der und nicht mit eine auch zwischen über".split(), "fr": "le que dans pour être français où mais".split()}
     rng = random.Random(2)
