@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame; all but the last return the columns of documents.
+
+Every row is judged by itself: the join and the decontamination give rows a key
+of their own, so rows with a null or a repeated doc_id are dropped or kept one
+by one.  Of each component one row stays, that with the smallest doc_id (nulls
+last), and of several with that doc_id the first in the staged input.
 """
 
 from __future__ import annotations
@@ -25,12 +30,18 @@ def _scope(spark: SparkSession, name: str) -> str:
     return f"pipeline-{name}"
 
 
-def _without(docs: DataFrame, dropped: DataFrame, scope: str) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``dropped``; a null doc_id never is."""
-    dropped = common.staged(dropped.where("doc_id is not null").select("doc_id").distinct(), "dropped", scope)
+def _keyed(docs: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a key ``_row`` of each row, staged so that it stays; and (doc_id, text) with that key as doc_id."""
+    keyed = common.staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed", scope)
+    return keyed, keyed.select(F.col("_row").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, dropped: DataFrame, scope: str) -> DataFrame:
+    """``keyed`` without the rows whose key is in ``dropped``, and without the key."""
+    dropped = common.staged(dropped.select("_row"), "dropped", scope)
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return keyed.join(dropped, "_row", "left_anti").drop("_row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,17 +51,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; word 5-grams, similarity 0.8."""
+    """One row of each component, the smallest by (doc_id with nulls last, row); word 5-grams, similarity 0.8."""
     scope = _scope(spark, "jaccard")
-    found = jaccard.join(docs, scope=scope)
-    return _without(docs, found.where("component_id <> doc_id"), scope)
+    keyed, rows = _keyed(docs, scope)
+    others = common.staged(jaccard.join(rows, scope=scope).where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), "component_id"), "others", scope)
+    # Only components of more than one row; the row that names one is its member too.
+    members = others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    members = common.staged(members.join(keyed.select("_row", "doc_id"), "_row"), "members", scope)
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return _without(keyed, members.join(kept, "_row", "left_anti"), scope)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover less than a twentieth."""
     scope = _scope(spark, "decontamination")
-    found = decontamination.contamination(docs, common.table(spark, sf_dir, "benchmark"), scope=scope)
-    return _without(docs, found.where("contaminated"), scope)
+    keyed, rows = _keyed(docs, scope)
+    found = decontamination.contamination(rows, common.table(spark, sf_dir, "benchmark"), scope=scope)
+    return _without(keyed, found.where("contaminated").select(F.col("doc_id").alias("_row")), scope)
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
