@@ -416,7 +416,7 @@ def garbled_texts(spark, d):
 
 @pair(None)
 def simhash_pairs(spark, d):
-    return dedup.signature_pairs(dedup.simhash(src.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return dedup.signature_links(dedup.simhash(src.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 @pair("with c as (select label, list(m order by k) as centroid from (select label, k, avg(x::double) as m from (select label, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as k from embeddings) group by 1, 2) group by 1) select e.vec_id, c.label, round(list_cosine_similarity(e.embedding::double[], c.centroid), 6) as feature from embeddings e, c")

@@ -61,3 +61,18 @@ def test_simhash_pairs_against_brute_force(spark):
         reps.setdefault(s[k], k)
     want = {(a, b) for a in reps.values() for b in reps.values() if a < b and sum(x != y for x, y in zip(s[a], s[b], strict=True)) <= 6}
     assert {(r.a, r.b) for r in dedup.signature_pairs(sig, "id").collect()} == want
+
+
+def test_simhash_links_hold_every_pair_of_documents(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    rows = [(k, base + f" w{k % 3}") for k in range(8)] + [(9, "something else entirely"), (10, None), (11, ""), (12, base + " w1 w2")]
+    sig = dedup.simhash(spark.createDataFrame(rows, "id int, t string"), "id", "t").cache()
+    s = {r.id: r.signature for r in sig.collect()}
+    want = {(a, b) for a in s for b in s if a < b and sum(x != y for x, y in zip(s[a], s[b], strict=True)) <= 6}
+    for bands in (0, 7, 8, 9, 10):
+        got = dedup.signature_links(sig, "id", bands=bands).collect()
+        rep = {r.b: r.a for r in got if r.kind == "class"}
+        linked = {(r.a, r.b) for r in got if r.kind == "link"}
+        assert len(rep) == len(rows) and len(got) == len(rows) + len(linked)
+        assert {(a, b) for a in s for b in s if a < b and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in linked)} == want
+    assert [dedup.bands_for(n, 6) for n in (10, 100_000, 1_000_000)] == [7, 8, 9]
