@@ -34,18 +34,20 @@ from . import common
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Type: pattern. An earlier one wins where two could start.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "token": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:ghp|gho|xoxb|sk)[-_][A-Za-z0-9_-]{16,80})\b",
-    "secret": r"(?<=\b(?:password|passwd|pwd|secret|api_key|apikey|access_token)[=:])[^\s\"',;]{6,64}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
+    "token": r"\b(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:ghp|gho|xoxb|sk)[-_][A-Za-z0-9_-]{16,})\b",
+    "secret": r"(?<=[=:\"' ])(?<=\b(?i:password|passwd|pwd|secret|api[_-]?key|access_token)[\"']? ?[=:] ?[\"']?)[^\s\"',;]{6,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?:\+\d{1,3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{4}|\(\d{3}\)[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{4}|\+\d{10,13})(?!\d)",
+    "phone": r"(?:\+\d{1,3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{4}|\(\d{3}\)[^\w\n]{0,6}\d{3}[^\w\n]{1,6}\d{4}|\+\d(?:[ .()/-]{0,3}\d){7,14}"
+    # National: 555-123-4567, 06 12 34 56 78, 030 1234567, 8 (495) 123-45-67, 612 345 678.
+    r"|(?<![\d.,+-])(?:\d{3}[-. ]\d{3}[-. ]\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|8[ -]?\(?\d{3}\)?[ -]?\d{3}-\d{2}-\d{2}|[67]\d{2}[ -]\d{3}[ -]\d{3}))(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "number": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
+    "number": r"(?<![\d.])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)",
     "name": r"\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 #: Most texts hold nothing that could start an entity; this is all that is tried on them.
-HINT = r"\d{3}|[=:][^\s]{6}|\d\.\d|@|\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\b|\d[A-Fa-f]|[A-Fa-f]\d|AKIA|gh[po][-_]|xoxb|sk[-_]"
+HINT = r"\d{3}|\+\d|\d\d[ .-]\d\d|[=:](?<=(?i:password|passwd|pwd|secret|key|token)[\"']? ?[=:])|\d\.\d|@|\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\b|\d[A-Fa-f]|[A-Fa-f]\d|AKIA|gh[po][-_]|xoxb|sk[-_]"
 #: Fixed lists of names, by gender and script.
 MALE, FEMALE = "Adam Bruno Carl David Emil Felix Georg Henry Ivan Jonas Karim Louis Marco Nils Oscar Paul", "Alice Berta Clara Diana Emma Fiona Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula"
 FAMILY = "Abel Bauer Costa Dubois Ebner Fischer Garcia Hansen Ivers Jansen Keller Lopez Moreau Novak Olsen Perrin"
@@ -118,7 +120,7 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     """Adds ``made``, the surrogate, to rows (e, type, norm, attempt)."""
     e, t, n, stream = F.col("e"), F.col("type"), F.col("attempt"), F.col("_stream")
     # An address keeps its last label, or the whole of a reserved domain.
-    tail = F.when(t == "email", F.regexp_extract(e, r"((?:(?<=[@.])example)?\.[A-Za-z]{2,24})$", 1)).otherwise(F.lit(""))
+    tail = F.when(t == "email", F.regexp_extract(e, r"((?:(?<=[@.])example)?\.[A-Za-z]{2,63})$", 1)).otherwise(F.lit(""))
     keep = F.when(t == "phone", 10).when(t == "iban", F.length(F.regexp_replace(e, " ", "")) - 2).otherwise(999)
     two = lambda k: _byte(stream, F.lit(k)) * 256 + _byte(stream, F.lit(k + 1))
     female, cyrillic = e.rlike(_FEMALE_TITLE), e.rlike("[А-Яа-я]")

@@ -304,6 +304,24 @@ def test_surrogates_stay_distinct_when_they_collide(spark):
     assert len(set(made.values())) == 25 and not set(made) & set(made.values())
 
 
+def test_whole_entities_of_many_formats(spark):
+    """Nothing of a long entity stays, and each format is found with its own type."""
+    rng = random.Random(12)
+    long = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n))
+    found = [("secret", k, v) for k, v in [("password=", long(100)), ("API_KEY=", long(20)), ("Password: ", long(12)), ("api-key = ", long(12)), ('"secret": "', long(12)), ("pwd:", long(9))]]
+    found += [("token", "", v) for v in (long(200, "0123456789abcdef"), long(160, "0123456789ABCDEF"), "sk-" + long(150), "ghp_" + long(90))]
+    found += [("email", "", long(90) + "@mail.example.com"), ("email", "", "a@" + "b." * 12 + "example.org")]
+    found += [("phone", "", v) for v in ("555-123-4567", "555.123.4567", "(555)123-4567", "+49 30 1234567", "+33 6 12 34 56 78", "+34 612 345 678", "+7 495 123-45-67", "06 12 34 56 78", "030 1234567", "8 (495) 123-45-67", "+14155552671")]
+    found += [("number", "", "3782 822463 10005"), ("number", "", "3782-822463-10005")]
+    df = spark.createDataFrame([(k, f"one {a}{v} two") for k, (_, a, v) in enumerate(found)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace(df, "key").collect()}
+    for k, (kind, a, v) in enumerate(found):
+        text, types, n = got[k].text, got[k].pii_types, got[k].n_pii
+        assert (types, n) == (kind, 1), (v, types, n)
+        assert text.startswith(f"one {a}") and text.endswith(" two") and len(text) == len(f"one {a}{v} two") and v[-20:-12] not in text[4:] or len(v) < 30
+        assert v not in text
+
+
 def test_surrogates_never_run_out(spark):
     """More names than the lists hold, all one-letter mailboxes of a domain, and secrets without a letter."""
     rng = random.Random(11)
