@@ -214,14 +214,29 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, held: list
     return Hasher(data, held).of(start, end)
 
 
-def with_columns(schema: str, *more: str) -> str:
-    """A DDL schema with further columns."""
-    return ", ".join([schema, *more])
-
-
-def hash_share(col: str, share: float):
-    """True for a fixed pseudo-random share of the values of a column."""
-    return F.pmod(F.xxhash64(F.lit("share"), F.col(col)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+def long_word_hashes(data: np.ndarray, inside: np.ndarray, held: list[np.ndarray] | None = None, size: int = BLOCK_BYTES) -> np.ndarray:
+    """`word_hashes` of one text of ASCII lower case, read in windows of ``size`` bytes; a word may span windows."""
+    held = [] if held is None else held
+    out, begun, length = [], 0, 0  # of the word that reaches the end of the window
+    for at in range(0, len(data), size):
+        part = LOWER[data[at : at + size]]
+        start, end, _ = words(part, np.array([0, len(part)]), inside)
+        h = Hasher(part, held)
+        raw, long = (h.sums[end] - h.sums[start]) * h.down[start], (end - start).astype(np.uint64)
+        if length:
+            if len(start) and start[0] == 0:
+                raw[:1] = raw[:1] * np.uint64(pow(_BASE, length, 1 << 64)) + np.uint64(begun)
+                long[0] += np.uint64(length)
+            else:
+                out.append(mix(np.array([begun + length & int(MASK)], np.uint64)))
+            begun = length = 0
+        if len(end) and end[-1] == len(part):
+            begun, length = int(raw[-1]), int(long[-1])
+            raw, long = raw[:-1], long[:-1]
+        out.append(mix(raw + long))
+    if length:
+        out.append(mix(np.array([begun + length & int(MASK)], np.uint64)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 # -------------------------------------------------------------------- encoding

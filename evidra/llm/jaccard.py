@@ -13,21 +13,22 @@ segments to spare, so segments with fewer members than their budget, which agree
 chance, are skipped by every set that has no more of them than can be spared; a pair
 still agrees elsewhere.
 
-A set is indexed in its own band, and in the band below when it is small
-enough to be similar to one of its sets.  Keys meet in buckets of bounded
-size; sets that agree on a key are candidates, linked as stars, and connected
-candidates form clusters.  Clusters are cut into size classes and blocks of
-bounded size, and verified in pairs of blocks whose sizes allow a link: each
-task compares two blocks exactly and returns only a spanning forest of the
-links it found, so no list of pairs is ever written.  Passages that many texts
-share chain unlike sets into clusters of more than a block; these are first
-cut by sketches of a few bytes: members counted by hash, whose counts differ by
-no more than the sets do, so that no link is lost.  Equal sets are one class
-from the start; copies cost one row each.
-
-Limits: a bucket needs 20 bytes for each distinct set that shares its key, and
-the verification of a cluster with k sets in one size class reads
-k / MOST_IN_BLOCK times its sets.
+A set is indexed in its own band, and in every band below that holds a set it
+could be similar to.  Keys meet in buckets of bounded size; the sets that share
+a key are a group, and each distinct group is kept once.  Passages that many
+texts share make groups of unlike sets, so a group is not linked as such: every
+two of its sets are compared by sketches (members counted by hash, in an eighth
+to a quarter as many counts as members, which differ by no more than the sets
+do, so no link is lost).  What the sketches connect forms clusters.  Clusters
+are cut into size classes and blocks of bounded size, and verified in pairs of
+blocks whose sizes allow a link: each task compares two blocks exactly and
+returns only a spanning forest of the links it found, so no list of pairs is
+ever written.  Equal sets are one class from the start; copies cost one row each.
+
+Limits: a bucket needs about 40 bytes for each distinct set that shares its
+key; groups and clusters of k sets in one size class are compared in blocks,
+which reads k / MOST_IN_BLOCK times their sketches or sets.  A text longer than
+a block is walked in windows: its set is held whole, about 40 bytes a word.
 
 Nulls: a null or empty text, or one without words, has an empty set and is
 linked with nothing; a null doc_id takes part, but is no component's name.
@@ -50,19 +51,37 @@ from . import common
 RATIO = 1.5
 CLASS_RATIO = 1.1
 LEAST_IN_BLOCK, MOST_IN_BLOCK = 300, 1000
-KEYS_PER_BUCKET = 400_000
-#: Counts in a sketch, of one byte each; a power of two.
-SKETCH = 128
+MEMBERS_IN_BLOCK = 1_000_000
+KEYS_PER_BUCKET = 1_200_000
+#: Groups of more sets than this are walked set by set instead of pair by pair.
+PAIRED = 32
 
 
 # ------------------------------------------------------------------------- sets
 
 
+def gram_set(h: np.ndarray, words_in_gram: int) -> np.ndarray:
+    """The sorted distinct n-gram hashes of one text of word hashes."""
+    n = len(h) - words_in_gram + 1
+    if n <= 0:
+        gram = np.zeros(min(len(h), 1), np.uint64)
+        for w in h:
+            gram = common.mix(gram + w)
+        return gram
+    gram = np.zeros(n, np.uint64)
+    for q in range(words_in_gram):
+        gram = common.mix(gram + h[q : q + n])
+    return np.unique(gram)
+
+
 def sets_of(col: pa.Array, words_in_gram: int, powers: list) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     data, off = common.column_bytes(col)
     out = []
     for i, j in common.blocks(off):
+        if off[j] - off[i] > common.BLOCK_BYTES:  # one long text
+            out.append(gram_set(common.long_word_hashes(data[off[i] : off[j]], common.NOT_SPACE, powers), words_in_gram))
+            continue
         part, cut = common.LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
         start, end, doc = common.words(part, cut, common.NOT_SPACE)
         h = common.word_hashes(part, start, end, powers)
@@ -76,13 +95,8 @@ def sets_of(col: pa.Array, words_in_gram: int, powers: list) -> list[np.ndarray]
             if n > 0:
                 g = np.sort(gram[a : a + n])
                 out.append(g[np.append(True, g[1:] != g[:-1])])
-            elif z > a:
-                one = np.zeros(1, np.uint64)
-                for w in h[a:z]:
-                    one = common.mix(one + w)
-                out.append(one)
             else:
-                out.append(np.zeros(0, np.uint64))
+                out.append(gram_set(h[a:z], words_in_gram))
     return out
 
 
@@ -93,7 +107,40 @@ def set_id(s: np.ndarray) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """Members of a set counted by hash, at most 255: the counts of two sets differ by no more than the sets do."""
-    return np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    bins = 1 << min(13, max(4, (len(s) // 8).bit_length()))
+    return np.minimum(np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+class Sketches:
+    """Sketches of different lengths in one array; a longer one folds to a shorter one by adding its parts."""
+
+    def __init__(self, col):
+        col = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(pa.large_binary())
+        self.flat = np.frombuffer(col.buffers()[2], np.uint8) if len(col) else np.zeros(0, np.uint8)
+        self.base = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+        self.bins = np.diff(self.base)
+
+    def folded(self, rows: np.ndarray, bins: int) -> np.ndarray:
+        """The counts of some rows in ``bins`` bins each."""
+        out = np.empty((len(rows), bins), np.int16)
+        long = self.bins[rows]
+        for b in np.unique(long).tolist():
+            at = np.flatnonzero(long == b)
+            out[at] = self.flat[self.base[rows[at], None] + np.arange(b)].reshape(len(at), b // bins, bins).sum(1, dtype=np.int16)
+        return out
+
+    def close(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sketches of the pairs (x, y) of rows, with ``n`` members, allow a link."""
+        ok = percent * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])
+        at = np.flatnonzero(ok)
+        bins = np.minimum(self.bins[x[at]], self.bins[y[at]])
+        for b in np.unique(bins).tolist():
+            these = at[bins == b]
+            for s in range(0, len(these), (1 << 21) // b):
+                some = these[s : s + (1 << 21) // b]
+                apart = np.abs(self.folded(x[some], b) - self.folded(y[some], b)).sum(1, dtype=np.int64)
+                ok[some] = (100 + percent) * apart <= (100 - percent) * (n[x[some]] + n[y[some]])
+        return ok
 
 
 def text_sets(docs: DataFrame, words_in_gram: int, scope: str = "") -> DataFrame:
@@ -167,10 +214,13 @@ class Plan:
 
 
 def plans_of(size: int, percent: int) -> list[int]:
-    """The bands in which a set is indexed."""
+    """The bands in which a set is indexed: its own, and those below that hold a set it could be similar to."""
     b = band_of(size)
-    below = band_top(b - 1)
-    return [b, b - 1] if below >= 1 and percent * size <= 100 * below else [b]
+    out = [b]
+    while (top := band_top(b - 1)) >= 1 and percent * size <= 100 * top:
+        b -= 1
+        out.append(b)
+    return out
 
 
 # ------------------------------------------------------------------ components
@@ -242,8 +292,8 @@ def components(edges: DataFrame, parts: int, scope: str = "") -> DataFrame:
 # --------------------------------------------------------------------- the join
 
 
-def candidates(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, scope: str = "") -> DataFrame:
-    """(a, b): stars over the sets that agree on a key; their components hold all links."""
+def groups(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, scope: str = "") -> DataFrame:
+    """(gid, k, sid): the members of every distinct group of k sets that share a key; each similar pair is in one group at least."""
     common.ship(docs.sparkSession)
     # One row for each size, then for each band: a few dozen.
     sizes = sets.where("n > 0").select(F.floor(F.log("n") / math.log(RATIO) + 1e-9).cast("int").alias("band"), "n").groupBy("band").agg(F.count("*").alias("sets"), F.sum("n").alias("n")).collect()
@@ -253,49 +303,110 @@ def candidates(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: in
     buckets = max(16, math.ceil(expected / KEYS_PER_BUCKET))
 
     def emit(batches):
+        """For each bucket the keys of some sets, 32 bits of each, and whose they are: a place in the list of names beside them."""
         from evidra.llm import jaccard as j
 
         powers, seen = [], set()
         for b in j.common.slices(batches):
-            keys, sids = [], []
+            keys, which, names = [], [], []
             for s in j.sets_of(b.column("text"), words_in_gram, powers):
                 if len(s) and (sid := j.set_id(s)) not in seen:
                     seen.add(sid)
                     for band in j.plans_of(len(s), percent):
                         keys.append(plans[band].keys(s))
-                        sids.append(np.full(len(keys[-1]), sid, np.int64))
+                        which.append(np.full(len(keys[-1]), len(names), np.int16))
+                    names.append(sid)
             if len(seen) > 200_000:
                 seen.clear()
             if not any(map(len, keys)):
                 continue
-            keys, sids = np.concatenate(keys), np.concatenate(sids)
-            order = np.argsort(keys)
-            keys, sids = keys[order], sids[order]
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            keys, which, names = np.concatenate(keys), np.concatenate(which), np.array(names, np.int64)
+            # A key is a fraction of the bucket space: the bucket, and 32 bits below it.
+            top = (keys >> np.uint64(32)) * np.uint64(buckets)
+            place = (keys & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+            place += top & np.uint64(0xFFFFFFFF)
+            bucket = ((top >> np.uint64(32)) + (place >> np.uint64(32))).astype(np.int32)
+            low = place.astype(np.uint32)
+            order = np.lexsort((which, bucket))
+            bucket, low, which = bucket[order], low[order], which[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(first[1:], len(keys))
-            yield pa.record_batch([pa.array(bucket[first]), *(pa.array([x[a:z].tobytes() for a, z in zip(first, ends, strict=True)], pa.binary()) for x in (keys, sids))], names=["bucket", "keys", "sids"])
+            rows = []
+            for a, z in zip(first, np.append(first[1:], len(keys)), strict=True):
+                used, at = np.unique(which[a:z], return_inverse=True)
+                rows.append((low[a:z].tobytes(), at.astype(np.int16).tobytes(), names[used].tobytes()))
+            yield pa.record_batch([pa.array(bucket[first]), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["bucket", "keys", "which", "names"])
 
     def agree(batches):
-        keys, sids = [], []
-        for b in batches:
-            keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("keys")]
-            sids += [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("sids")]
-        if not keys:
-            return
-        keys, sids = np.concatenate(keys), np.concatenate(sids)
-        order = np.lexsort((sids, keys))
-        keys, sids = keys[order], sids[order]
-        start = np.append(True, keys[1:] != keys[:-1])
-        leader = sids[np.flatnonzero(start)][np.cumsum(start) - 1]
         from evidra.llm import jaccard as j
 
-        other = leader != sids
-        least, node = j.contracted(leader[other], sids[other])
-        yield pa.record_batch([pa.array(least), pa.array(node)], names=["a", "b"])
-
-    keys = docs.select("text").mapInArrow(emit, "bucket int, keys binary, sids binary").repartitionById(buckets, "bucket")
-    return common.staged(keys.mapInArrow(agree, "a long, b long"), "stars", scope)
+        keys, sids = [], []
+        for b in batches:
+            keys += [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column("keys")]
+            sids += [np.frombuffer(n.as_buffer(), np.int64)[np.frombuffer(w.as_buffer(), np.int16)] for w, n in zip(b.column("which"), b.column("names"), strict=True)]
+        if keys:
+            yield from j.shared(np.concatenate(keys), np.concatenate(sids))
+
+    keys = docs.select("text").mapInArrow(emit, "bucket int, keys binary, which binary, names binary").repartitionById(buckets, "bucket")
+    return common.staged(keys.mapInArrow(agree, "gid long, k int, sid long").distinct(), "groups", scope)
+
+
+def shared(keys: np.ndarray, sids: np.ndarray):
+    """(gid, k, sid) batches: the members of each distinct group of sets that share a key."""
+    order = np.argsort(keys, kind="stable")
+    keys, sids = keys[order], sids[order]
+    starts = np.append(True, keys[1:] != keys[:-1])
+    own = ~(starts & np.append(starts[1:], True))  # keys that occur once are let go early
+    keys, sids = keys[own], sids[own]
+    order = np.lexsort((sids, keys))
+    keys, sids = keys[order], sids[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]))[: len(keys)]
+    keys, sids = keys[new], sids[new]
+    if not len(keys):
+        return
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    size = np.diff(np.append(start, len(keys)))
+    gid = common.mix(np.add.reduceat(common.mix(sids.view(np.uint64)), start)).view(np.int64)
+    _, first = np.unique(gid, return_index=True)
+    first = np.sort(first[size[first] > 1])
+    for s in range(0, len(first), 20_000):
+        g = first[s : s + 20_000]
+        k = size[g]
+        at = np.repeat(start[g] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        yield pa.record_batch([pa.array(np.repeat(gid[g], k)), pa.array(np.repeat(k, k).astype(np.int32)), pa.array(sids[at])], names=["gid", "k", "sid"])
+
+
+def plausible_groups(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the sets that sketches connect inside their groups; whole groups of rows (gid, sid, n, sketch)."""
+    order = np.argsort(rows.column("gid").to_numpy(), kind="stable")
+    gid, sid, n = (rows.column(c).to_numpy()[order] for c in ("gid", "sid", "n"))
+    counts = Sketches(rows.column("sketch").combine_chunks().take(pa.array(order)))
+    start = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+    size = np.diff(np.append(start, len(gid)))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.unique(size[size <= PAIRED]).tolist():
+        s = start[size == k]
+        x, y = np.triu_indices(k, 1)
+        x, y = (s[:, None] + x).ravel(), (s[:, None] + y).ravel()
+        ok = counts.close(x, y, n, percent)
+        a.append(sid[x[ok]])
+        b.append(sid[y[ok]])
+    for s, k in zip(start[size > PAIRED].tolist(), size[size > PAIRED].tolist(), strict=True):
+        at = np.arange(s, s + k)
+        c, m = counts.folded(at, int(counts.bins[at].min())), n[at]
+        left = np.arange(k)
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                x = todo.pop()
+                fits = np.flatnonzero(percent * np.maximum(m[left], m[x]) <= 100 * np.minimum(m[left], m[x]))
+                apart = np.abs(c[left[fits]] - c[x]).sum(1, dtype=np.int64)
+                fits = fits[(100 + percent) * apart <= (100 - percent) * (m[left[fits]] + m[x])]
+                found = left[fits]
+                left = np.delete(left, fits)
+                a.append(np.full(len(found), sid[s + x]))
+                b.append(sid[s + found])
+                todo += found.tolist()
+    return contracted(np.concatenate(a), np.concatenate(b))
 
 
 def distinct_rows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,15 +438,16 @@ def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def plausible(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose sketches allow a link, as a forest that connects what all such pairs between two blocks (or within one) connect."""
     order, sid, side = distinct_rows(rows)
-    payload = rows.column("payload").combine_chunks().take(pa.array(order))
-    count = np.frombuffer(b"".join(payload.to_pylist()), np.uint8).reshape(-1, SKETCH)
+    counts = Sketches(rows.column("payload").combine_chunks().take(pa.array(order)))
+    bins = min(256, int(counts.bins.min()))
+    count = counts.folded(np.arange(len(sid)), bins)
     size = rows.column("n").to_numpy()[order]
     one = side[0] == side[-1]
     x = np.arange(len(sid)) if one else np.flatnonzero(side == side[0])
     y = x if one else np.flatnonzero(side != side[0])
-    apart = np.zeros((len(x), len(y)), np.uint16)
-    for k in range(SKETCH):
-        apart += np.maximum.outer(count[x, k], count[y, k]) - np.minimum.outer(count[x, k], count[y, k])
+    apart = np.zeros((len(x), len(y)), np.int32)
+    for k in range(bins):
+        apart += np.abs(np.subtract.outer(count[x, k], count[y, k]))
     ok = (100 + percent) * apart.astype(np.int64) <= (100 - percent) * np.add.outer(size[x], size[y])
     near = np.zeros((len(sid), len(sid)), bool)
     near[np.ix_(x, y)] = ok
@@ -349,7 +461,7 @@ def forest(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     order, sid, side = distinct_rows(rows)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("payload").combine_chunks().take(pa.array(order))]
     size = np.array([len(s) for s in sets])
-    doc = np.repeat(np.arange(len(sets)), size)
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     member = np.concatenate(sets)
     by = np.argsort(member, kind="stable")
     member, doc = member[by], doc[by]
@@ -399,20 +511,24 @@ def dealt(held: DataFrame, blocks: DataFrame, percent: int, parts: int, scope: s
 
 def classed(members: DataFrame, block: int, parts: int, scope: str) -> tuple[DataFrame, DataFrame]:
     """Members of clusters with a size class, 0 in clusters of at most a block; and the blocks of each class."""
-    large = common.staged(members.groupBy("label").agg(F.count("*").alias("k")), "large", scope, parts)
-    size_class = F.when(F.col("k") <= block, 0).otherwise(F.floor(F.log("n") / math.log(CLASS_RATIO) + 1e-9).cast("int"))
+    large = common.staged(members.groupBy("label").agg((F.ceil(F.greatest(F.count("*") / block, F.sum("n") / MEMBERS_IN_BLOCK)) > 1).alias("large")), "large", scope, parts)
+    size_class = F.when(F.col("large"), F.floor(F.log("n") / math.log(CLASS_RATIO) + 1e-9).cast("int")).otherwise(0)
     out = common.staged(members.join(large, "label").withColumn("class", size_class), "members", scope, parts)
-    return out, common.staged(out.groupBy("label", "class").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks", scope, parts)
+    blocks = out.groupBy("label", "class").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / MEMBERS_IN_BLOCK)).cast("int").alias("blocks"))
+    return out, common.staged(blocks, "blocks", scope, parts)
 
 
-def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, parts: int, scope: str = "") -> DataFrame:
-    """(a, b): verified links between names of sets that connect all linked sets."""
-    clusters = components(candidates(docs, sets, words_in_gram, percent, scope), parts, scope)
-    # A block is a 150th of the candidates, within bounds: its sets fit a task, and tasks are even.
-    block = min(MOST_IN_BLOCK, max(LEAST_IN_BLOCK, clusters.count() // 150))
-    # One document of each set that is a candidate; its text is read again.
-    first = sets.where("sid is not null").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
-    members, blocks = classed(clusters.withColumnRenamed("node", "sid").join(first, "sid"), block, parts, scope)
+def clusters_of(found: DataFrame, first: DataFrame, percent: int, parts: int, scope: str) -> DataFrame:
+    """(node, label): what the sketches connect inside the groups ``found``; ``first``: (sid, n, sketch)."""
+    named = found.join(first.select("sid", "n", "sketch"), "sid")
+
+    def near(batches):
+        from evidra.llm import jaccard as j
+
+        held = list(batches)
+        if held:
+            a, b = j.plausible_groups(pa.Table.from_batches(held), percent)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def may_link(rows: pa.Table) -> pa.Table:
         from evidra.llm import jaccard as j
@@ -420,20 +536,33 @@ def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, pa
         a, b = j.plausible(rows, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    # Whole groups in one task, some thousand rows of a few hundred bytes.
+    small = common.parts_for(found.sparkSession, found.count(), 40_000)
+    stars = named.where(F.col("k") <= MOST_IN_BLOCK).select("gid", "sid", "n", "sketch").repartition(small, "gid").mapInArrow(near, "a long, b long")
+    large = found.where(F.col("k") > MOST_IN_BLOCK)
+    if not large.isEmpty():
+        members, blocks = classed(named.where(F.col("k") > MOST_IN_BLOCK).select(F.col("gid").alias("label"), "sid", "n", F.col("sketch").alias("payload")), MOST_IN_BLOCK, parts, scope)
+        stars = stars.unionByName(dealt(members, blocks, percent, parts, scope).groupBy("label", "i", "j").applyInArrow(may_link, "a long, b long"))
+    return components(stars, parts, scope)
+
+
+def links(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, parts: int, scope: str = "") -> DataFrame:
+    """(a, b): verified links between names of sets that connect all linked sets."""
+    found = groups(docs, sets, words_in_gram, percent, scope)
+    # One document of each set that is in a group; the text of those in a cluster is read again.
+    first = sets.join(found.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    first = common.staged(first, "first", scope, parts)
+    clusters = clusters_of(found, first, percent, parts, scope)
+    # A block is a 150th of the candidates, within bounds: its sets fit a task, and tasks are even.
+    block = min(MOST_IN_BLOCK, max(LEAST_IN_BLOCK, clusters.count() // 150))
+    members, blocks = classed(clusters.withColumnRenamed("node", "sid").join(first.select("sid", "doc_id", "n"), "sid"), block, parts, scope)
+
     def verify(rows: pa.Table) -> pa.Table:
         from evidra.llm import jaccard as j
 
         a, b = j.forest(rows, percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # Clusters of more than a block: what their sketches connect takes their place.
-    chained = members.where(F.col("k") > block)
-    if not chained.isEmpty():
-        pairs = dealt(chained.withColumnRenamed("sketch", "payload"), blocks.join(chained.select("label").distinct(), "label", "left_semi"), percent, parts, scope)
-        pieces = components(pairs.groupBy("label", "i", "j").applyInArrow(may_link, "a long, b long"), parts, scope)
-        cut = chained.drop("label").join(pieces.withColumnRenamed("node", "sid"), "sid")
-        names = ["sid", "doc_id", "n", "label"]
-        members, blocks = classed(members.where(F.col("k") <= block).select(names).unionByName(cut.select(names)), block, parts, scope)
     wanted = members.select("sid", "doc_id", "n", "label", "class")
     if wanted.count() <= 1_000_000:  # 40 bytes each
         wanted = F.broadcast(wanted)

@@ -191,12 +191,75 @@ def test_components_of_graphs(spark, kind):
 
 
 def test_sketches_never_differ_more_than_sets():
+    pa = __import__("pyarrow")
     rng = np.random.default_rng(9)
-    for size in (1, 20, 400, 40_000):  # the last with counts beyond what a sketch holds
+    for size in (1, 20, 400, 1000, 40_000, 3_000_000):  # the last with counts beyond what a sketch holds
         s = rng.integers(0, 2**63, size).astype(np.uint64)
         t = np.concatenate([s[: size * 9 // 10], rng.integers(0, 2**63, size // 5).astype(np.uint64)])
-        a, b = (np.frombuffer(jaccard.sketch(x), np.uint8).astype(int) for x in (s, t))
+        both = jaccard.Sketches(pa.array([jaccard.sketch(s), jaccard.sketch(t)], pa.binary()))
+        a, b = both.folded(np.arange(2), int(both.bins.min())).astype(int)
         assert abs(a - b).sum() <= len(np.setxor1d(s, t))
+        n = np.array([len(s), len(t)])
+        c = len(np.intersect1d(s, t))
+        for percent in (50, 80, 95):
+            assert both.close(np.array([0]), np.array([1]), n, percent)[0] or 100 * c < percent * (n.sum() - c)
+
+
+def test_bands_of_all_similar_sizes_meet():
+    for percent in range(50, 96, 5):
+        bands = {n: set(jaccard.plans_of(n, percent)) for n in range(1, 400)}
+        for a in bands:
+            for b in range(a, min(399, 100 * a // percent) + 1):
+                assert bands[a] & bands[b] and jaccard.band_of(a) in bands[b]
+
+
+def test_groups_of_sets_that_share_a_key():
+    keys = np.array([5, 5, 7, 8, 8, 8, 9, 9, 5], np.uint32)
+    sids = np.array([1, 2, 3, 1, 2, 2, 4, 5, 2])
+    got = collections.defaultdict(set)
+    for b in jaccard.shared(keys, sids):
+        for gid, k, sid in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[gid, k].add(sid)
+    assert sorted(map(sorted, got.values())) == [[1, 2], [4, 5]] and all(len(v) == k for (_, k), v in got.items())
+    assert not list(jaccard.shared(np.arange(3, dtype=np.uint32), np.arange(3)))
+
+
+@pytest.mark.parametrize("paired", [2, 32])
+def test_plausible_groups_hold_all_links(paired, monkeypatch):
+    pa = __import__("pyarrow")
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    rng, sets, rows = np.random.default_rng(4), [], []
+    for g in range(40):
+        base = rng.integers(0, 2**63, rng.choice([3, 40, 300]))
+        for _ in range(rng.choice([2, 3, 9])):
+            s = base.copy()
+            s[: len(s) // 10] = rng.integers(0, 2**63, len(s) // 10)
+            rows.append((g, len(sets)))
+            sets.append(np.unique(s.astype(np.uint64)))
+    t = pa.table({"gid": [g for g, _ in rows], "sid": [k for _, k in rows], "n": [len(s) for s in sets], "sketch": pa.array([jaccard.sketch(s) for s in sets], pa.binary())})
+    a, b = jaccard.plausible_groups(t, 80)
+    star = dict(zip(b.tolist(), a.tolist(), strict=True))
+    for g, x in rows:
+        for h, y in rows:
+            c = len(np.intersect1d(sets[x], sets[y]))
+            if g == h and x < y and 100 * c >= 80 * (len(sets[x]) + len(sets[y]) - c):
+                assert star[x] == star[y]
+
+
+@pytest.mark.parametrize("window", [1, 7, 64, 1 << 20])
+def test_windows_of_a_long_text_give_the_same_words(window):
+    rng = random.Random(2)
+    t = "".join(rng.choice("ab \tçД.") for _ in range(900)) + "x" * 300
+    data = np.frombuffer(t.encode(), np.uint8)
+    start, end, _ = common.words(data, np.array([0, len(data)]), common.NOT_SPACE)
+    assert common.long_word_hashes(data, common.NOT_SPACE, size=window).tolist() == common.word_hashes(common.LOWER[data], start, end).tolist()
+
+
+def test_long_text_is_one_set():
+    pa = __import__("pyarrow")
+    t = " ".join(f"w{k % 5000}" for k in range(400_000))
+    a, b = jaccard.sets_of(pa.array([t, " ".join(f"w{k}" for k in range(5000)) + " w0 w1 w2"]), 4, [])
+    assert len(t) > common.BLOCK_BYTES and a.tolist() == b.tolist()
 
 
 def test_one_deletion_plan_finds_all():
