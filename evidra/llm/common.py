@@ -7,6 +7,7 @@ over words.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
@@ -53,7 +54,8 @@ def staged(df: DataFrame, name: str, scope: str = "", parts: int = 0, **options:
     """
     spark = df.sparkSession
     path = new_dir(spark, name, scope)
-    (df.coalesce(parts) if parts else df).write.options(**options).parquet(path)
+    # Small row groups: a writer and a reader hold one of them in memory.
+    (df.coalesce(parts) if parts else df).write.options(**({"parquet.block.size": str(16 << 20)} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,8 +93,15 @@ def open_fs(path: str):
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each application, so that tasks can import it."""
+    """Sends this package to the executors once for each application, so that tasks can import it.
+
+    Texts are long: Arrow batches of the default size are made smaller, for
+    this session; sizes that the user has set stay.
+    """
     sc = spark.sparkContext
+    for key, default, size in (("maxRecordsPerBatch", ("10000",), "2000"), ("maxBytesPerBatch", (None, "64MB", "67108864b", "67108864"), "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", size)
     if _STAGED.get("_shipped") == [sc.applicationId]:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -147,12 +156,22 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def given(batches) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at its end the worker, which serves later tasks too, gives free memory back."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def slices(batches, rows: int = 1500) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows: what is computed for one is let go before the next."""
-    for b in batches:
+    for b in given(batches):
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
-    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,29 +233,44 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, held: list
     return Hasher(data, held).of(start, end)
 
 
-def long_word_hashes(data: np.ndarray, inside: np.ndarray, held: list[np.ndarray] | None = None, size: int = BLOCK_BYTES) -> np.ndarray:
-    """`word_hashes` of one text of ASCII lower case, read in windows of ``size`` bytes; a word may span windows."""
+def long_words(data: np.ndarray, inside: np.ndarray, held: list[np.ndarray] | None = None, size: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words of one text of any length, as `words` and `word_hashes` of its ASCII lower case have them.
+
+    The text is read in windows of ``size`` bytes; a word may span windows.
+    """
     held = [] if held is None else held
-    out, begun, length = [], 0, 0  # of the word that reaches the end of the window
+    out, begun, since = [], 0, -1  # hash and start of a word that reaches the end of the window
+    whole = lambda h, n: mix(h + n.astype(np.uint64))
     for at in range(0, len(data), size):
         part = LOWER[data[at : at + size]]
         start, end, _ = words(part, np.array([0, len(part)]), inside)
         h = Hasher(part, held)
-        raw, long = (h.sums[end] - h.sums[start]) * h.down[start], (end - start).astype(np.uint64)
-        if length:
-            if len(start) and start[0] == 0:
-                raw[:1] = raw[:1] * np.uint64(pow(_BASE, length, 1 << 64)) + np.uint64(begun)
-                long[0] += np.uint64(length)
+        raw = (h.sums[end] - h.sums[start]) * h.down[start]
+        start, end = start + at, end + at
+        if since >= 0:
+            if len(start) and start[0] == at:
+                raw[:1] = raw[:1] * np.uint64(pow(_BASE, at - since, 1 << 64)) + np.uint64(begun)
+                start[0] = since
             else:
-                out.append(mix(np.array([begun + length & int(MASK)], np.uint64)))
-            begun = length = 0
-        if len(end) and end[-1] == len(part):
-            begun, length = int(raw[-1]), int(long[-1])
-            raw, long = raw[:-1], long[:-1]
-        out.append(mix(raw + long))
-    if length:
-        out.append(mix(np.array([begun + length & int(MASK)], np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                out.append((np.array([since]), np.array([at]), whole(np.array([begun], np.uint64), np.array([at - since]))))
+            since = -1
+        if len(end) and end[-1] == at + len(part):
+            begun, since = int(raw[-1]), int(start[-1])
+            start, end, raw = start[:-1], end[:-1], raw[:-1]
+        out.append((start, end, whole(raw, end - start)))
+    if since >= 0:
+        out.append((np.array([since]), np.array([len(data)]), whole(np.array([begun], np.uint64), np.array([len(data) - since]))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def hashed_words(data: np.ndarray, off: np.ndarray, inside: np.ndarray, held: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document, hash) of the words of a block of texts, in lower case; one text of more than a block is read in windows."""
+    if len(data) > BLOCK_BYTES and len(off) == 2:
+        start, end, h = long_words(data, inside, held)
+        return start, end, np.zeros(len(h), np.int64), h
+    low = LOWER[data]
+    start, end, doc = words(low, off, inside)
+    return start, end, doc, word_hashes(low, start, end, held)
 
 
 # -------------------------------------------------------------------- encoding

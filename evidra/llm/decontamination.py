@@ -32,7 +32,7 @@ from . import common
 
 INDEX = "segment long, doc_ids array<long>, doc_starts binary, hashes binary, list_starts binary, positions binary, terms binary, term_starts binary"
 HITS = "segment long, place int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 QUERY_BLOCK_BYTES = 32 << 20
 
 
@@ -49,25 +49,31 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, scope: str
         from evidra.llm import common as c
 
         number, powers = TaskContext.get().partitionId() << 32, []
-        for b in batches:
+        for b in c.given(batches):
             data, off = c.column_bytes(b.column("text"))
-            data = c.LOWER[data]
             for i, j in c.blocks(off, segment_bytes):
                 part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                start, end, doc = c.words(part, cut, c.ALNUM)
-                hashes, first, term = np.unique(c.word_hashes(part, start, end, powers), return_index=True, return_inverse=True)
+                start, end, doc, hashes = c.hashed_words(part, cut, c.ALNUM, powers)
+                hashes, first, term = np.unique(hashes, return_index=True, return_inverse=True)
                 order = np.argsort(term.astype(np.int32), kind="stable").astype(np.int32)
                 lists = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(hashes)))]).astype(np.int32)
                 size = (end - start)[first]
                 to = np.cumsum(size)
-                chars = part[np.repeat(start[first] - to + size, size) + np.arange(size.sum())]
+                chars = c.LOWER[part[np.repeat(start[first] - to + size, size) + np.arange(size.sum())]]
                 starts = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 ids = pa.ListArray.from_arrays([0, j - i], b.column("doc_id").slice(i, j - i).cast(pa.int64()))
                 blobs = [starts, hashes, lists, order, chars, np.concatenate([[0], to]).astype(np.int32)]
                 yield pa.record_batch([pa.array([number], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[x.split()[0] for x in INDEX.split(", ")])
                 number += 1
 
-    return common.staged(docs.select("doc_id", "text").mapInArrow(run, INDEX), "index", scope)
+    return common.staged(docs.select("doc_id", "text").mapInArrow(run, INDEX), "index", scope, **{"parquet.block.size": str(4 << 20)})
+
+
+def rows_of(batches):
+    """The segments of a task one by one."""
+    for b in common.given(batches):
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
 
 
 class Segment:
@@ -159,21 +165,28 @@ class Queries:
         end = np.cumsum([len(t) for t in self.terms], dtype=np.int64)
         self.hashes = common.word_hashes(raw, end - [len(t) for t in self.terms], end) if self.terms else np.zeros(0, np.uint64)
 
+        # All windows of all items in one list: first word, length, item.
+        size = np.array([min(window, len(w)) for _, w in self.items], np.int64)
+        many = np.array([len(w) for _, w in self.items], np.int64) - size + 1
+        self.flat = np.concatenate([w for _, w in self.items]) if self.items else np.zeros(0, np.int64)
+        self.owner, self.size = np.repeat(np.arange(len(many)), many), np.repeat(size, many)
+        base = np.cumsum(many + size - 1) - (many + size - 1)
+        self.first = np.repeat(base - np.cumsum(many) + many, many) + np.arange(many.sum())
+
     def hits(self, seg: Segment) -> tuple[np.ndarray, dict[int, set[str]]]:
         """(for each token whether it is in a window that occurs, items of each document place)."""
         edge, items = np.zeros(seg.doc_starts[-1] + 1, np.int64), {}
-        at = seg.find(self.terms, self.hashes)
-        for item, w in self.items:
-            local = at[w]
-            size = min(self.window, len(local))
-            missing = np.concatenate([[0], np.cumsum(local < 0)])
-            for s in np.flatnonzero(missing[size:] == missing[:-size]).tolist():
-                found = seg.phrase(local[s : s + size])
-                if len(found):
-                    np.add.at(edge, found, 1)
-                    np.add.at(edge, found + size, -1)
-                    for d in np.unique(seg.document(found)).tolist():
-                        items.setdefault(d, set()).add(item)
+        local = seg.find(self.terms, self.hashes)[self.flat]
+        missing = np.concatenate([[0], np.cumsum(local < 0)])
+        # Windows with a term that the segment lacks cost no step of their own.
+        for k in np.flatnonzero(missing[self.first + self.size] == missing[self.first]).tolist():
+            s, size = self.first[k], self.size[k]
+            found = seg.phrase(local[s : s + size])
+            if len(found):
+                np.add.at(edge, found, 1)
+                np.add.at(edge, found + size, -1)
+                for d in np.unique(seg.document(found)).tolist():
+                    items.setdefault(d, set()).add(self.items[self.owner[k]][0])
         return np.cumsum(edge)[:-1] > 0, items
 
 
@@ -196,19 +209,18 @@ def search(index: DataFrame, items: list[tuple[str, str | None]], window: int =
         from evidra.llm import decontamination as d
 
         queries = d.Queries(sent.value, window)
-        for b in batches:
-            for row in b.to_pylist():
-                seg = d.Segment(row)
-                hit, items = queries.hits(seg)
-                bounds = seg.doc_starts
-                out = {k: [] for k in ("segment", "place", "doc_id", "n_words", "starts", "ends", "items")}
-                for place, doc in enumerate(seg.doc_ids):
-                    a, z = bounds[place], bounds[place + 1]
-                    ranges = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:z].astype(np.int8), [0]]))) if place in items else np.zeros(0, np.int64)
-                    for k, v in zip(out, (seg.number, place, doc, z - a, ranges[::2].astype(np.int32), ranges[1::2].astype(np.int32), sorted(items.get(place, ()))), strict=True):
-                        out[k].append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+        for row in d.rows_of(batches):
+            seg = d.Segment(row)
+            hit, items = queries.hits(seg)
+            bounds = seg.doc_starts
+            out = {k: [] for k in ("segment", "place", "doc_id", "n_words", "starts", "ends", "items")}
+            for place, doc in enumerate(seg.doc_ids):
+                a, z = bounds[place], bounds[place + 1]
+                ranges = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:z].astype(np.int8), [0]]))) if place in items else np.zeros(0, np.int64)
+                for k, v in zip(out, (seg.number, place, doc, z - a, ranges[::2].astype(np.int32), ranges[1::2].astype(np.int32), sorted(items.get(place, ()))), strict=True):
+                    out[k].append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return index.mapInArrow(run, HITS)
 
@@ -247,15 +259,14 @@ def proximity(index: DataFrame, queries: DataFrame, id_col: str, text_col: str,
             from evidra.llm import decontamination as d
 
             block = d.Queries(sent.value, 1)
-            for b in batches:
+            for row in d.rows_of(batches):
                 rows = []
-                for row in b.to_pylist():
-                    seg = d.Segment(row)
-                    at = seg.find(block.terms, block.hashes)
-                    for item, w in block.items:
-                        if (at[w] >= 0).all():
-                            place, n = np.unique(seg.document(seg.near(at[w], len(np.unique(w)) + slop)), return_counts=True)
-                            rows += [(seg.doc_ids[p], item, c) for p, c in zip(place.tolist(), n.tolist(), strict=True)]
+                seg = d.Segment(row)
+                at = seg.find(block.terms, block.hashes)
+                for item, w in block.items:
+                    if (at[w] >= 0).all():
+                        place, n = np.unique(seg.document(seg.near(at[w], len(np.unique(w)) + slop)), return_counts=True)
+                        rows += [(seg.doc_ids[p], item, c) for p, c in zip(place.tolist(), n.tolist(), strict=True)]
                 cols = list(zip(*rows, strict=True)) or [(), (), ()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "query_id", "n"])
 

@@ -79,12 +79,10 @@ def sets_of(col: pa.Array, words_in_gram: int, powers: list) -> list[np.ndarray]
     data, off = common.column_bytes(col)
     out = []
     for i, j in common.blocks(off):
-        if off[j] - off[i] > common.BLOCK_BYTES:  # one long text
-            out.append(gram_set(common.long_word_hashes(data[off[i] : off[j]], common.NOT_SPACE, powers), words_in_gram))
+        _, _, doc, h = common.hashed_words(data[off[i] : off[j]], off[i : j + 1] - off[i], common.NOT_SPACE, powers)
+        if j - i == 1:
+            out.append(gram_set(h, words_in_gram))
             continue
-        part, cut = common.LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i]
-        start, end, doc = common.words(part, cut, common.NOT_SPACE)
-        h = common.word_hashes(part, start, end, powers)
         bounds = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
         size = len(h)
         gram = np.zeros(size, np.uint64)  # of the n-gram that starts at each word of the block
@@ -272,9 +270,10 @@ def components(edges: DataFrame, parts: int, scope: str = "") -> DataFrame:
     def run(batches):
         from evidra.llm import jaccard as j
 
-        yield from j.stars(batches)
+        yield from j.stars(j.common.given(batches))
 
-    levels, w = [], Window.partitionBy("b")
+    # Written first, so that no task runs the Python of two steps at once.
+    levels, w, edges = [], Window.partitionBy("b"), common.staged(edges, "edges", scope)
     while True:
         named = edges.mapInArrow(run, "a long, b long").withColumns({"m": F.min("a").over(w), "first": F.row_number().over(w.orderBy("a")) == 1})
         named = common.staged(named.where("first or a <> m"), "stars", scope, parts)
@@ -340,7 +339,7 @@ def groups(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, s
         from evidra.llm import jaccard as j
 
         keys, sids = [], []
-        for b in batches:
+        for b in j.common.given(batches):
             keys += [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column("keys")]
             sids += [np.frombuffer(n.as_buffer(), np.int64)[np.frombuffer(w.as_buffer(), np.int16)] for w, n in zip(b.column("which"), b.column("names"), strict=True)]
         if keys:
@@ -525,7 +524,7 @@ def clusters_of(found: DataFrame, first: DataFrame, percent: int, parts: int, sc
     def near(batches):
         from evidra.llm import jaccard as j
 
-        held = list(batches)
+        held = list(j.common.given(batches))
         if held:
             a, b = j.plausible_groups(pa.Table.from_batches(held), percent)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, per_language: int = 400, sample_rows: int = 4000, l
     def bits(batches):
         from evidra.llm import language as m
 
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             for i, j in m.small_blocks(off):
                 part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         from evidra.llm import language as m
 
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             got = [sent.value.predict(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in m.small_blocks(off)]
             names, score = [x for n, _ in got for x in n], np.concatenate([s for _, s in got]) if got else np.zeros(0)

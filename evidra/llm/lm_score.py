@@ -138,7 +138,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         powers: list = []
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             low = common.LOWER[data]
             got = []
@@ -163,7 +163,7 @@ class Vocabulary:
 
         def shared(batches):
             total = np.zeros(rest, np.int64)
-            for b in batches:
+            for b in common.given(batches):
                 np.add.at(total, (b.column("word").to_numpy().view(np.uint64) % np.uint64(rest)).astype(np.int64), b.column("n").to_numpy())
             yield pa.record_batch([pa.array(range(rest), pa.int32()), pa.array(total)], names=["id", "n"])
 
@@ -189,7 +189,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.5, masked: in
         from evidra.llm import lm_score as m
 
         net, powers, seen, rng = m.Network(start), [], 0, np.random.default_rng(TaskContext.get().partitionId())
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             for i, j in common.blocks(off):
                 word, context, _, _ = m.places(data[off[i] : off[j]], off[i : j + 1] - off[i], *known, powers)
@@ -233,7 +233,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
         from evidra.llm import lm_score as m
 
         net, powers, number = m.Network(sent.value), [], TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             for i, j in common.blocks(off):
                 word, context, doc, h = m.places(data[off[i] : off[j]], off[i : j + 1] - off[i], *known, powers)

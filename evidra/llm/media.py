@@ -197,7 +197,7 @@ def store_text(docs: DataFrame, scope: str = "") -> DataFrame:
         from evidra.llm import common as c
         from evidra.llm import media as m
 
-        for b in batches:
+        for b in common.given(batches):
             data, off = c.column_bytes(b.column("text"))
             for i, j in c.blocks(off):
                 raw = [data[off[k] : off[k + 1]].tobytes() for k in range(i, j)]
@@ -213,7 +213,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):
         from evidra.llm import media as m
 
-        for b in batches:
+        for b in common.given(batches):
             rows = []
             for blob in b.column("media").to_pylist():
                 t = m.sample_table(blob)

@@ -108,7 +108,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
         from evidra.llm import common as c
 
         enc = c.encoder(tokenizer, keeps_space)
-        for b in batches:
+        for b in common.given(batches):
             keys = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for i, j, got, off in enc.encode_column(b.column("text"), end):
                 key, raw, cuts = keys[i:j], got.tobytes(), off * got.dtype.itemsize
@@ -121,7 +121,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
         from evidra.llm import token_files as t
 
         fs, out, tmp, shard, at, last, copy = None, None, "", -1, 0, None, 0
-        for b in batches:
+        for b in common.given(batches):
             if b.num_rows == 0:
                 continue
             if out is None:
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
     def keyed(batches):
         from evidra.llm import token_files as t
 
-        for b in batches:
+        for b in common.given(batches):
             key, copy, shard = (b.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "copy", "shard"))
             first = np.array([firsts[s] for s in shard.tolist()], np.int64)
             copy = copy + np.where(key == first, carry[shard], 0)
@@ -231,7 +231,7 @@ def read_token_files(keys: DataFrame, path: str, manifest: dict) -> DataFrame:
         from evidra.llm import token_files as t
 
         held: dict = {}
-        for b in batches:
+        for b in common.given(batches):
             bucket, doc, copy = (b.column(k).to_numpy() for k in ("bucket", "doc_id", "copy"))
             for k in np.unique(bucket).tolist():
                 if k not in held:
@@ -248,7 +248,7 @@ def read_token_files(keys: DataFrame, path: str, manifest: dict) -> DataFrame:
         from evidra.llm import token_files as t
 
         shard, f = -1, None
-        for b in batches:
+        for b in common.given(batches):
             out = []
             for s, at, n in zip(*(b.column(k).to_pylist() for k in ("shard", "at", "n")), strict=True):
                 if s != shard:
@@ -276,7 +276,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = manifest["bytes_per_id"]
 
     def digest(batches):
-        for b in batches:
+        for b in common.given(batches):
             crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
             doc = pa.array([None if d == NO_ID else d for d in b.column("doc_id").to_pylist()], pa.int64())
             yield pa.record_batch([doc, b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, terms: in
         from evidra.llm import toxicity as t
 
         powers: list = []
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             toxic = b.column("toxic").to_numpy()
             for i, j in common.blocks(off, 1 << 20):
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, terms: in
         from evidra.llm import toxicity as t
 
         powers: list = []
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             for i, j in common.blocks(off, 1 << 20):
                 x = t.features(data[off[i] : off[j]], off[i : j + 1] - off[i], lexicon, weight, powers)
@@ -277,9 +277,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         powers: list = []
-        for b in batches:
+        for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
-            got = [sent.value.score(data[off[i] : off[j]], off[i : j + 1] - off[i], powers) for i, j in common.blocks(off, 2 << 20)]
+            got = [sent.value.score(data[off[i] : off[j]], off[i : j + 1] - off[i], powers) for i, j in common.blocks(off)]
             s = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
