@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The five entities that have a built-in replacement; ``&amp;`` last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-FIRSTHAND = r"(?iU)\b(i|we|my|our)\b(?:\W+\w+){0,8}?\W+(used|tried|tested|switched|ran|built|use|using)\b"
+#: Who speaks, what shows use, and phrases that show it alone.
+FIRST_PERSON = "i|we|i've|we've|i'd|we'd|i'm|we're"
+USAGE_VERBS = (
+    "use|used|using|tried|try|tested|test|ran|run|asked|ask|prompted|prompt|switched|migrated|deployed|deploy|integrated|integrate|built|build|"
+    "paid|subscribed|cancelled|canceled|found|find|got|get|see|saw"
+)
+FIRSTHAND_PHRASES = (
+    "in production|my workflow|our workflow|our team|my app|our app|my experience|from experience|for me|for us|in our tests|in my tests|"
+    "we use|we used|i use|i used|i tried|we tried|i tested|we tested|been using|have been using|daily driver"
+)
+#: Beginnings of lines of an issue template, and of titles that say nothing.
+TEMPLATE_LINES = ("### ", "## ", "task:", "[task]", "- [ ]", "- [x]", "steps to reproduce", "expected behavior", "actual behavior", "environment", "additional context", "checklist")
+LOW_SIGNAL_TITLES = ("[task]", "task-", "chore:", "docs:", "bump ", "release ")
+_IN, _OUT = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+#: Words of any script, written out so that every engine reads them alike.
+FIRSTHAND = (
+    f"(?:^|{_OUT})(?:{FIRSTHAND_PHRASES})(?:$|{_OUT})|"
+    f"(?:^|{_OUT})(?:{FIRST_PERSON})(?:{_OUT}+{_IN}+){{0,8}}?{_OUT}+(?:{USAGE_VERBS})(?:$|{_OUT})"
+)
 
 
 def nz(c: Column | str) -> Column:
@@ -18,17 +36,32 @@ def nz(c: Column | str) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def strip_html(c: Column) -> Column:
-    """Tags become spaces, then entities are unescaped."""
+def unescape(c: Column) -> Column:
+    """All named and numeric entities, by the standard table; Arrow batches, as no built-in function has that table."""
+    import html
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    return run(c)
+
+
+def strip_html(c: Column, all_entities: bool = False) -> Column:
+    """Tags become spaces, then entities are unescaped: the five common ones, or all of them."""
     out = F.regexp_replace(c, "<[^>]+>", " ")
+    if all_entities:
+        return unescape(out)
     for a, b in ENTITIES:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
-def normalize(c: Column) -> Column:
+def normalize(c: Column, all_entities: bool = False) -> Column:
     """Without tags, white space collapsed, trimmed; null is empty."""
-    return F.trim(F.regexp_replace(strip_html(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(strip_html(F.coalesce(c, F.lit("")), all_entities), r"(?U)\s+", " "))
 
 
 def hash_identifier(c: Column, salt: str) -> Column:
@@ -44,16 +77,49 @@ def without_urls(c: Column) -> Column:
     return normalize(F.regexp_replace(F.coalesce(c, F.lit("")), r"https?://\S+", " "))
 
 
+def starts_with(c: Column, beginnings: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for b in beginnings:
+        out = out | c.startswith(b)
+    return out
+
+
 def markdown_cleanup(c: Column, keep: str = "(?!)") -> Column:
-    """Drops comments, code fences, checkbox lines, and headings unless they match ``keep``."""
+    """Lines without comments, code fences, checkboxes, and without headings and template lines unless they match ``keep``."""
     text = F.regexp_replace(F.regexp_replace(c, "(?s)<!--.*?-->", " "), "(?s)```.*?```", " ")
-    lines = F.filter(F.split(text, "\n"), lambda s: ~s.rlike(r"^\s*[-*] \[[ xX]\]") & (~s.rlike(r"^\s*#") | s.rlike(keep)))
+    dull = lambda s: s.rlike(r"^#{1,6}\s") | starts_with(F.lower(s), TEMPLATE_LINES)
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^[-*]\s+\[[ xX]\]\s") & (~dull(s) | s.rlike(keep)))
     return F.array_join(lines, "\n")
 
 
+def cleaned(platform: Column, body: Column, keep: str = "(?!)", issues: str = "issues", forum: str = "forum") -> Column:
+    """The body as its platform wants it: template lines dropped, or addresses dropped; always normalized."""
+    body = F.coalesce(body, F.lit(""))
+    return F.when(platform == issues, normalize(markdown_cleanup(body, keep))).when(platform == forum, without_urls(body)).otherwise(normalize(body))
+
+
+def low_signal_title(c: Column) -> Column:
+    return starts_with(F.lower(normalize(c)), LOW_SIGNAL_TITLES)
+
+
 def is_firsthand(c: Column) -> Column:
-    """A first-person pronoun followed within eight words by a verb of use."""
-    return F.coalesce(c.rlike(FIRSTHAND), F.lit(False))
+    """A phrase of experience, or a first person followed within eight words by a verb of use."""
+    return F.coalesce(F.lower(c).rlike(FIRSTHAND), F.lit(False))
+
+
+def doubled_text(evidence: Column, context: Column, metadata: Column) -> Column:
+    """The evidence twice, then context and metadata; empty parts are left out."""
+    return F.concat_ws("\n", nz(evidence), nz(evidence), nz(context), nz(metadata))
+
+
+def metadata_text(**fields: Column) -> Column:
+    """name=value of the fields that have one, lower-cased, by spaces."""
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), F.lower(nz(v.cast("string")))) for k, v in fields.items()])
+
+
+def label_value(c: Column) -> Column:
+    """A label as text: true and false for booleans."""
+    return c.cast("string")
 
 
 def garbled(c: Column) -> Column:
