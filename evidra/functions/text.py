@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,6 @@ def nz(c: Column | str) -> Column:
 
 def unescape(c: Column) -> Column:
     """All named and numeric entities, by the standard table; Arrow batches, as no built-in function has that table."""
-    import html
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

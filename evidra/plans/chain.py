@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import claims, registry, scoring
+from ..operators import claims, heads, learning, registry, scoring, vectors
 from ..sources import adapters as src
 from .catalog import _board, _CELL_OUT, cells_sql, norm_sql, pair, r6
 
@@ -232,3 +232,45 @@ lower(firsthand_flag) = 'true' as firsthand_flag, case when lower(firsthand_flag
 def typed_rows(spark, d):
     return registry.typed(src.table(spark, d, "events").selectExpr(*_LOOSE)).select("source_item_id", "source_platform", "task_category", "firsthand_flag", F.col("weights.firsthand_weight").alias("firsthand_weight"), "polarity_score", "thread_id")
 
+
+
+# --------------------------------------------------------------- vectors and heads
+
+
+@pair("""with e as (select vec_id, cast(embedding as double[]) as v from embeddings), r as (select v, min(vec_id) as rep from e group by v)
+select 'class' as kind, rep as a, vec_id as b, 1e0 as similarity from e join r on e.v = r.v union all
+select 'link', x.rep, y.rep, round(list_cosine_similarity(x.v, y.v), 6) from r x join r y on x.rep < y.rep where list_cosine_similarity(x.v, y.v) >= 0.8""")
+def similar_vectors(spark, d):
+    return r6(vectors.similar_pairs(src.table(spark, d, "embeddings"), "vec_id", "embedding", 0.8), "similarity")
+
+
+def _labelled(spark, d):
+    labels = src.table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return src.table(spark, d, "documents").join(labels, "doc_id", "left")
+
+
+@pair(None)
+def text_head(spark, d):
+    """A tf-idf head fitted on three quarters of the labelled documents, applied to all documents in one pass."""
+    rows = _labelled(spark, d)
+    model = heads.tfidf_head(rows.where("doc_id % 4 <> 0"), "text", "quality", characters=False)
+    return r6(heads.predicted(model, rows.select("doc_id", "text", "quality"), "text").select("doc_id", "quality", "predicted", "confidence"), "confidence")
+
+
+@pair(None)
+def hierarchical_head(spark, d):
+    rows = src.table(spark, d, "embeddings")
+    out = heads.hierarchical(rows.where("vec_id % 4 <> 0"), rows, "embedding", "label", {str(k): -1 - k % 3 for k in range(10)}, "vec_id")
+    return r6(out.select("vec_id", "label", "predicted_group", "predicted", "confidence"), "confidence")
+
+
+@pair(None)
+def agreeing_heads(spark, d):
+    """Language of all documents where naive Bayes and the tf-idf head agree, each fitted on three quarters of the rows."""
+    docs = src.table(spark, d, "documents").select("doc_id", "text", "lang")
+    train = docs.where("doc_id % 4 <> 0 and lang is not null")
+    tok = learning.tokens(train, "doc_id", "text", "lang")
+    bayes = learning.score(learning.tokens(docs, "doc_id", "text", "lang"), *learning.fit(train, tok, "lang"), "doc_id", "lang").join(docs.select("doc_id", "lang"), "doc_id")
+    tfidf = heads.predicted(heads.tfidf_head(train, "text", "lang", characters=False), docs, "text")
+    out = heads.agreement([heads.long_form(bayes, "doc_id", "bayes", "lang", "lang"), heads.long_form(tfidf, "doc_id", "tfidf", "lang", "lang")])
+    return r6(out.select("row_id", "label", "votes", "mean", "actual"), "mean")

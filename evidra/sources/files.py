@@ -11,7 +11,8 @@ CORRUPT = "_corrupt_record"
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """One object a line; blank lines are skipped, broken ones are kept in ``_corrupt_record``."""
-    return spark.read.schema(schema.add(CORRUPT, T.StringType()) if CORRUPT not in schema.names else schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    full = schema if CORRUPT in schema.names else T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> int:
@@ -76,3 +77,25 @@ def issue_items(raw: DataFrame) -> DataFrame:
         F.to_timestamp("created_at").alias("published_at"), F.transform("labels", lambda x: x["name"]).alias("labels"),
         F.create_map(F.lit("comments"), F.coalesce("comments", F.lit(0)).cast("double"), F.lit("reactions"), F.coalesce("reactions.total_count", F.lit(0)).cast("double")).alias("engagement"),
     )
+
+
+#: Landed issue comments, with the number of their issue.
+COMMENT_SCHEMA = "id bigint, issue_number bigint, body string, html_url string, created_at string, updated_at string, user struct<id:bigint,login:string>, reactions struct<total_count:bigint>"
+
+
+def comment_items(comments: DataFrame, issues: DataFrame) -> DataFrame:
+    """Raw items from comments and the issues they belong to; comments on pull requests, and those without an issue, are left out."""
+    of = issues.where("pull_request is null").select(F.col("number").alias("issue_number"), F.col("title").alias("_title"), F.col("html_url").alias("_url"), "repository_url").dropDuplicates(["issue_number", "repository_url"])
+    return comments.join(of, "issue_number").select(
+        F.lit("issues").alias("platform"), F.col("id").cast("string").alias("source_id"), F.coalesce("_title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("html_url", "_url", F.lit("")).alias("url"),
+        F.coalesce(F.nullif(F.regexp_extract("repository_url", "/repos/(.*)", 1), F.lit("")), F.lit("github")).alias("community_id"), F.col("issue_number").cast("string").alias("thread_id"), F.col("issue_number").cast("string").alias("parent_id"),
+        F.coalesce(F.col("user.id").cast("string"), F.col("user.login")).alias("author"), F.to_timestamp("created_at").alias("published_at"),
+        F.create_map(F.lit("reactions"), F.coalesce("reactions.total_count", F.lit(0)).cast("double")).alias("engagement"), F.struct("issue_number", "updated_at").alias("metadata"),
+    )
+
+
+def methodology(spark: SparkSession, paths: list[str], gates: dict[str, float], examples: int) -> DataFrame:
+    """One row: the gates, the number of examples, and the text of each metric file by its name without ending."""
+    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "value")
+    artifacts = files.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("artifacts"))  # a few small files of settings
+    return artifacts.select(F.create_map(*[F.lit(x) for kv in gates.items() for x in kv]).alias("gates"), F.lit(examples).alias("examples"), "artifacts")
