@@ -9,9 +9,11 @@ of the log-probability of each one given both sides.
 Vocabulary: words are counted over the whole corpus; the most frequent get ids
 of their own in the network, all others share ``rest`` ids by hash.  A word
 that shares an id has the probability of the id times its own share of the
-count of all words with that id.  The counts of all words stay a table: each
-block of texts sends its distinct words to them and gets their counts back, so
-the model holds every word of the corpus and no task holds more than a block's.
+count of all words with that id.  The probabilities of all words of the corpus
+sum to one.  The counts of the most frequent of these words (``known_words`` at
+most, 12 bytes each) are sent to every task; the counts of all others stay a
+table: each block of texts sends its distinct rare words to them and gets their
+counts back, so the model holds every word of the corpus, however many.
 Training: every scan partition takes one pass of gradient steps over all its
 documents from the same start, predicting every place once from its context,
 and the parameters are averaged by tokens, in two rounds of sums over chunks of
@@ -19,7 +21,8 @@ the parameters, so that no task and not the driver holds more than a part of
 them times the square root of the number of partitions.
 
 A word that was not counted (a text outside the corpus) is scored like one that
-occurred once.
+occurred once.  Training depends on how the scan is split (one pass for each
+partition, averaged): equal files and settings give equal scores.
 
 Nulls: a null text, or one without words, has 0 words, log-probability 0 and
 no mean.  Repeated rows get equal scores and count as often as they occur.  An
@@ -107,7 +110,7 @@ class Network:
         gh *= 1 - h * h
         self.hidden -= rate / n * gh.sum(0)
         for k in range(len(SIDES)):
-            order = np.argsort(context[:, k], kind="stable")
+            order = np.argsort(context[:, k], kind="stable")  # 16 bits: a radix sort
             ids = context[order, k]
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             size = np.diff(np.append(first, n))
@@ -116,9 +119,7 @@ class Network:
 
 def places(data: np.ndarray, off: np.ndarray, names: np.ndarray, ids: np.ndarray, rest: int, powers: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word ids, context ids, document, hash) of every word; ``names``: sorted hashes of the words with ids of their own."""
-    low = common.LOWER[data]
-    start, end, doc = common.words(low, off, common.ALNUM)
-    h = common.word_hashes(low, start, end, powers)
+    _, _, doc, h = common.hashed_words(data, off, common.ALNUM, powers)
     if len(names):
         at = np.minimum(np.searchsorted(names, h), len(names) - 1)
         own = names[at] == h
@@ -126,37 +127,46 @@ def places(data: np.ndarray, off: np.ndarray, names: np.ndarray, ids: np.ndarray
         at, own = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
     word = np.where(own, ids[at] if len(ids) else 0, VOCABULARY - rest + (h % np.uint64(rest)).astype(np.int64))
     # Two places without a word between documents.
-    line = np.full(len(word) + 2 * (len(off) + 1), VOCABULARY, np.int32)
+    line = np.full(len(word) + 2 * (len(off) + 1), VOCABULARY, np.uint16)
     at = np.arange(len(word)) + 2 * (doc + 1)
     line[at] = word
-    return word.astype(np.int32), np.stack([line[at + k] for k in SIDES], 1), doc, h
+    return word.astype(np.uint16), np.stack([line[at + k] for k in SIDES], 1), doc, h
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): hash and number of every distinct word of the corpus."""
     common.ship(docs.sparkSession)
 
+    def counted(got):
+        h, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        h, at = np.unique(h, return_inverse=True)
+        return h, np.bincount(at, n).astype(np.int64)
+
     def run(batches):
-        powers: list = []
+        powers, got, held = [], [], 0
         for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
-            low = common.LOWER[data]
-            got = []
             for i, j in common.blocks(off):
-                part, cut = low[off[i] : off[j]], off[i : j + 1] - off[i]
-                start, end, _ = common.words(part, cut, common.ALNUM)
-                got.append(common.word_hashes(part, start, end, powers))
-            if got:
-                h, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+                h = common.hashed_words(data[off[i] : off[j]], off[i : j + 1] - off[i], common.ALNUM, powers)[3]
+                got.append(np.unique(h, return_counts=True))
+                held += len(got[-1][0])
+            if held > 500_000:  # merged, and handed on where many stay different
+                got = [counted(got)]
+                held = len(got[0][0])
+                if held > 250_000:
+                    yield pa.record_batch([pa.array(got[0][0].view(np.int64)), pa.array(got[0][1])], names=["word", "n"])
+                    got, held = [], 0
+        if got:
+            h, n = counted(got)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """``words``: the counts of all words, a table; ``counts``: of each id of the network."""
+    """``words``: the counts of all words, a table; ``counts``: of each id of the network; ``known``: sorted hashes and counts of the frequent words."""
 
-    def __init__(self, counts: DataFrame, rest: int = 256):
+    def __init__(self, counts: DataFrame, rest: int = 256, known_words: int = 65_536):
         own = VOCABULARY - rest
         self.words = common.staged(counts, "words")
         top = self.words.orderBy(F.desc("n"), "word").limit(own).collect()  # at most VOCABULARY rows
@@ -175,6 +185,18 @@ class Vocabulary:
         for r in self.words.mapInArrow(shared, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # ``rest`` rows
             self.counts[own + r.id] = r.n
         np.subtract.at(self.counts, own + (h % np.uint64(rest)).astype(np.int64), self.counts[: len(top)])
+        # Words by eighths of a doubling of their count, a few hundred rows: as many of the highest as may be sent.
+        level = F.floor(F.log2("n") * 8).cast("int")
+        least, room = None, known_words
+        for r in self.words.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():
+            room -= r.k
+            if room < 0:
+                break
+            least = r.level
+        got = self.words.where(level >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        word, n = (got.column(c).to_numpy() for c in ("word", "n"))
+        order = np.argsort(word.view(np.uint64))
+        self.known = word.view(np.uint64)[order], np.log(n[order]).astype(np.float32)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.5, masked: int = 1) -> Network:
@@ -224,7 +246,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
     common.ship(docs.sparkSession)
     known = vocabulary.names, vocabulary.ids, vocabulary.rest
     of_ids = np.log(np.maximum(vocabulary.counts[VOCABULARY - vocabulary.rest :], 1))
-    sent = docs.sparkSession.sparkContext.broadcast(network.flat)  # SIZE numbers
+    sent = docs.sparkSession.sparkContext.broadcast((network.flat, *vocabulary.known))  # SIZE numbers, and 12 bytes for each known word
 
     def run(batches):
         """For each block: a row without a word, with its documents and what the network says of them; and one for each distinct word that shares an id, with the documents of its places."""
@@ -232,7 +254,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
 
         from evidra.llm import lm_score as m
 
-        net, powers, number = m.Network(sent.value), [], TaskContext.get().partitionId() << 32
+        flat, frequent, log_n = sent.value
+        net, powers, number = m.Network(flat), [], TaskContext.get().partitionId() << 32
         for b in common.given(batches):
             data, off = common.column_bytes(b.column("text"))
             for i, j in common.blocks(off):
@@ -244,8 +267,15 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
                     logp[part] = net.forward(context[part], word[part])
                 n, total = np.bincount(doc, minlength=j - i), np.bincount(doc, logp, j - i)
                 ids = b.column("doc_id").slice(i, j - i).cast(pa.int64())
-                yield m.block_rows(number, [None], [m.packed(ids, n, total)])
                 shared = np.flatnonzero(word >= m.VOCABULARY - known[2])
+                if len(shared) and len(frequent):
+                    distinct, at = np.unique(h[shared], return_inverse=True)
+                    place = np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)
+                    here = frequent[place] == distinct
+                    gain = np.where(here, log_n[place] - of_ids[(distinct % np.uint64(known[2])).astype(np.int64)], 0)
+                    total = total + np.bincount(doc[shared], gain[at], j - i)
+                    shared = shared[~here[at]]
+                yield m.block_rows(number, [None], [m.packed(ids, n, total)])
                 if len(shared):
                     shared = shared[np.argsort(h[shared], kind="stable")]
                     first = np.flatnonzero(np.append(True, h[shared][1:] != h[shared][:-1]))
