@@ -30,9 +30,12 @@ _STAGED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set where it is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests)."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not told:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = _STAGED.setdefault("_own", [])
         if not told:
             told.append("file://" + tempfile.mkdtemp(prefix="evidra-"))
@@ -67,7 +70,7 @@ def parts_for(spark: SparkSession, rows: int, each: int = 250_000) -> int:
 def release(spark: SparkSession, scope: str) -> None:
     """Deletes what was staged under ``scope``. Only for tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _STAGED.pop(scope, []):
+    for path in _STAGED.pop(scope, []) if scope else []:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
@@ -99,7 +102,7 @@ def ship(spark: SparkSession) -> None:
     this session; sizes that the user has set stay.
     """
     sc = spark.sparkContext
-    for key, default, size in (("maxRecordsPerBatch", ("10000",), "2000"), ("maxBytesPerBatch", (None, "64MB", "67108864b", "67108864"), "8m")):
+    for key, default, size in (("maxRecordsPerBatch", ("10000",), "1000"), ("maxBytesPerBatch", (None, "64MB", "67108864b", "67108864"), "2m")):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in default:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", size)
     if _STAGED.get("_shipped") == [sc.applicationId]:
@@ -156,8 +159,13 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def given(batches) -> Iterator[pa.RecordBatch]:
-    """The batches of a task; at its end the worker, which serves later tasks too, gives free memory back."""
+def given(batches, encodes: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at its end the worker, which serves later tasks too, gives free memory back.
+
+    What encoders remember stays for the next task that ``encodes``; any other task lets it go.
+    """
+    if not encodes:
+        _ENCODERS.clear()
     try:
         yield from batches
     finally:

@@ -52,7 +52,7 @@ RATIO = 1.5
 CLASS_RATIO = 1.1
 LEAST_IN_BLOCK, MOST_IN_BLOCK = 300, 1000
 MEMBERS_IN_BLOCK = 1_000_000
-KEYS_PER_BUCKET = 1_200_000
+KEYS_PER_BUCKET = 4_000_000
 #: Groups of more sets than this are walked set by set instead of pair by pair.
 PAIRED = 32
 
@@ -338,35 +338,35 @@ def groups(docs: DataFrame, sets: DataFrame, words_in_gram: int, percent: int, s
     def agree(batches):
         from evidra.llm import jaccard as j
 
-        keys, sids = [], []
+        keys, which, names, held = [], [], [], 0
         for b in j.common.given(batches):
-            keys += [np.frombuffer(x.as_buffer(), np.uint32) for x in b.column("keys")]
-            sids += [np.frombuffer(n.as_buffer(), np.int64)[np.frombuffer(w.as_buffer(), np.int16)] for w, n in zip(b.column("which"), b.column("names"), strict=True)]
+            for k, w, n in zip(b.column("keys"), b.column("which"), b.column("names"), strict=True):
+                keys.append(np.frombuffer(k.as_buffer(), np.uint32))
+                which.append(np.frombuffer(w.as_buffer(), np.int16).astype(np.int32) + held)
+                names.append(np.frombuffer(n.as_buffer(), np.int64))
+                held += len(names[-1])
         if keys:
-            yield from j.shared(np.concatenate(keys), np.concatenate(sids))
+            yield from j.shared(np.concatenate(keys), np.concatenate(which), np.concatenate(names))
 
     keys = docs.select("text").mapInArrow(emit, "bucket int, keys binary, which binary, names binary").repartitionById(buckets, "bucket")
     return common.staged(keys.mapInArrow(agree, "gid long, k int, sid long").distinct(), "groups", scope)
 
 
-def shared(keys: np.ndarray, sids: np.ndarray):
-    """(gid, k, sid) batches: the members of each distinct group of sets that share a key."""
-    order = np.argsort(keys, kind="stable")
-    keys, sids = keys[order], sids[order]
-    starts = np.append(True, keys[1:] != keys[:-1])
-    own = ~(starts & np.append(starts[1:], True))  # keys that occur once are let go early
-    keys, sids = keys[own], sids[own]
-    order = np.lexsort((sids, keys))
-    keys, sids = keys[order], sids[order]
-    new = np.append(True, (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]))[: len(keys)]
-    keys, sids = keys[new], sids[new]
-    if not len(keys):
+def shared(keys: np.ndarray, which: np.ndarray, names: np.ndarray):
+    """(gid, k, sid) batches: the members of each distinct group of sets that share a key; ``which``: the place of each key's set in ``names``."""
+    sid, place = np.unique(names, return_inverse=True)
+    both = keys.astype(np.uint64) << np.uint64(32) | place[which].astype(np.uint64)
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    starts = np.append(True, both[1:] >> np.uint64(32) != both[:-1] >> np.uint64(32))[: len(both)]
+    alone = starts & np.append(starts[1:], True)[: len(both)]
+    both, starts = both[~alone], starts[~alone]
+    if not len(both):
         return
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    size = np.diff(np.append(start, len(keys)))
+    sids, start = sid[(both & np.uint64(0xFFFFFFFF)).astype(np.int64)], np.flatnonzero(starts)
+    size = np.diff(np.append(start, len(both)))
     gid = common.mix(np.add.reduceat(common.mix(sids.view(np.uint64)), start)).view(np.int64)
-    _, first = np.unique(gid, return_index=True)
-    first = np.sort(first[size[first] > 1])
+    first = np.sort(np.unique(gid, return_index=True)[1])
     for s in range(0, len(first), 20_000):
         g = first[s : s + 20_000]
         k = size[g]

@@ -35,7 +35,7 @@ def encoded(docs: DataFrame, tokenizer: str, keeps_space: bool, end: int, scope:
         from evidra.llm import common as c
 
         enc, part, at = c.encoder(tokenizer, keeps_space), TaskContext.get().partitionId(), 0
-        for b in common.given(batches):
+        for b in common.given(batches, encodes=True):
             for i, j, ids, off in enc.encode_column(b.column("text"), end):
                 raw = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((off * ids.dtype.itemsize).astype(np.int32)), pa.py_buffer(ids.tobytes())])
                 yield pa.record_batch([pa.array(np.full(j - i, part, np.int32)), pa.array(at + off[:-1]), pa.array(np.diff(off)), b.column("doc_id").slice(i, j - i).cast(pa.int64()), raw], names=["part", "at", "n", "doc_id", "ids"])

@@ -108,7 +108,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
         from evidra.llm import common as c
 
         enc = c.encoder(tokenizer, keeps_space)
-        for b in common.given(batches):
+        for b in common.given(batches, encodes=True):
             keys = b.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for i, j, got, off in enc.encode_column(b.column("text"), end):
                 key, raw, cuts = keys[i:j], got.tobytes(), off * got.dtype.itemsize
