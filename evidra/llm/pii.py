@@ -1,8 +1,10 @@
 r"""Private data: detected entities get keyed surrogates of their own type and format.
 
 Built-in functions only.  Regular expressions find e-mail addresses, phone
-numbers, IP addresses, account and card numbers, access tokens, social
-security and bank account numbers, and names after an honorific.  The
+numbers, IP addresses of both versions, account and card numbers, access tokens,
+social security and bank account numbers, and names after an honorific or an
+academic title.  A text is searched once; what is found is staged with the
+pieces between, and the text is put together again from these.  The
 surrogate of an entity is made from a keyed SHA-512 of (type, normal form,
 attempt), character by character from the end: digits become digits, letters
 become letters of the same case, everything else stays, so length and
@@ -11,6 +13,8 @@ and script.  Card numbers that pass the Luhn test get a surrogate that passes.
 
 Coreference: the surrogate depends on the normal form alone (lower case,
 digits only), so an entity gets the same one in every document and spelling.
+A name is two entities, given and family name, so ``Mr. John Smith`` and
+``Mr. Smith`` keep one family name, and different given names stay different.
 Distinctness: all distinct entities of the corpus are gathered (pre-aggregated,
 so frequent ones cost nothing), and those whose surrogate is taken by another
 entity, or is itself an entity of the corpus, get the next attempt until none
@@ -31,29 +35,33 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Honorifics that tell a gender, and titles that do not.
+MALE_TITLES, FEMALE_TITLES = "Mr|Mister|Herr|Monsieur|Señor|Господин", "Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа"
+TITLES = "Dr|Prof|Doctor|Professor|Doktor|Docteur|Professeur|Profesor|Profesora|Доктор|Профессор"
+_TITLE = rf"\b(?:{MALE_TITLES}|{FEMALE_TITLES}|{TITLES})\b"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Type: pattern. An earlier one wins where two could start.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
+    "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]{1,63}\.){1,126}\p{L}{2,63}",
     "token": r"\b(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:ghp|gho|xoxb|sk)[-_][A-Za-z0-9_-]{16,})\b",
     "secret": r"(?<=[=:\"' ])(?<=\b(?i:password|passwd|pwd|secret|api[_-]?key|access_token)[\"']? ?[=:] ?[\"']?)[^\s\"',;]{6,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)|(?<![\w:])(?=[\p{{XDigit}}:]*\d)(?:(?:\p{{XDigit}}{{1,4}}:){{7}}\p{{XDigit}}{{1,4}}|(?:\p{{XDigit}}{{1,4}}:){{1,6}}(?::\p{{XDigit}}{{1,4}}){{1,6}})(?![\w:])",
     "phone": r"(?:\+\d{1,3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{4}|\(\d{3}\)[^\w\n]{0,6}\d{3}[^\w\n]{1,6}\d{4}|\+\d(?:[ .()/-]{0,3}\d){7,14}"
     # National: 555-123-4567, 06 12 34 56 78, 030 1234567, 8 (495) 123-45-67, 612 345 678.
     r"|(?<![\d.,+-])(?:\d{3}[-. ]\d{3}[-. ]\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|8[ -]?\(?\d{3}\)?[ -]?\d{3}-\d{2}-\d{2}|[67]\d{2}[ -]\d{3}[ -]\d{3}))(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "number": r"(?<![\d.])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)",
-    "name": r"\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": rf"(?:{_TITLE}\.? )+\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?:-\p{{Lu}}\p{{Ll}}+)?",
 }
 #: Most texts hold nothing that could start an entity; this is all that is tried on them.
-HINT = r"\d{3}|\+\d|\d\d[ .-]\d\d|[=:](?<=(?i:password|passwd|pwd|secret|key|token)[\"']? ?[=:])|\d\.\d|@|\b(?:Mr|Mister|Herr|Monsieur|Señor|Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Господин|Госпожа)\b|\d[A-Fa-f]|[A-Fa-f]\d|AKIA|gh[po][-_]|xoxb|sk[-_]"
+HINT = r"\d{3}|\+\d|\d\d[ .-]\d\d|[=:](?<=(?i:password|passwd|pwd|secret|key|token)[\"']? ?[=:])|\d\.\d|@|\d[A-Fa-f]|[A-Fa-f]\d|[\dA-Fa-f]::?[\dA-Fa-f]|AKIA|gh[po][-_]|xoxb|sk[-_]|" + _TITLE
 #: Fixed lists of names, by gender and script.
 MALE, FEMALE = "Adam Bruno Carl David Emil Felix Georg Henry Ivan Jonas Karim Louis Marco Nils Oscar Paul", "Alice Berta Clara Diana Emma Fiona Greta Helena Irene Julia Karin Laura Maria Nora Olga Paula"
 FAMILY = "Abel Bauer Costa Dubois Ebner Fischer Garcia Hansen Ivers Jansen Keller Lopez Moreau Novak Olsen Perrin"
 MALE_CYRILLIC, FEMALE_CYRILLIC, FAMILY_CYRILLIC = "Антон Борис Виктор Глеб Денис Егор Иван Кирилл", "Анна Вера Галина Дарья Елена Ирина Мария Ольга", "Белов Волков Громов Данилов Ершов Зимин Козлов Лебедев"
 SYLLABLES, SYLLABLES_CYRILLIC = "ba be do fa ga ho ja ke la mi no pa ri so ta vu", "ба ве до жа за ки ла ми но па ри со та фу ха ча"
-_FEMALE_TITLE = "^(?:Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа)"
+_PREFIX = rf"^((?:{_TITLE}\.? )+)"
 _LOWER_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 
 
@@ -72,7 +80,20 @@ def kind(e: Column, patterns: dict[str, str]) -> Column:
 def normal(e: Column, t: Column) -> Column:
     """What two spellings of one entity have in common."""
     digits = F.regexp_replace(e, r"\D", "")
-    return F.when(t.isin("number", "ssn"), digits).when(t == "phone", F.right(digits, F.lit(10))).when(t == "ip", e).when(t == "iban", F.upper(F.regexp_replace(e, " ", ""))).when(t == "name", F.lower(F.regexp_replace(e, r"^\S+ ", ""))).otherwise(F.lower(e))
+    return (
+        F.when(t.isin("number", "ssn"), digits).when(t == "phone", F.right(digits, F.lit(10))).when(t == "iban", F.upper(F.regexp_replace(e, " ", "")))
+        .when(t == "name", F.lower(F.regexp_extract(e, r"(\S+)$", 1))).when(t == "given", F.concat(F.lower(given(e)), F.when(female(e), F.lit("|f")).otherwise(F.lit("|m")))).otherwise(F.lower(e))
+    )
+
+
+def given(e: Column) -> Column:
+    """The given name of a match, empty where it has the family name only."""
+    return F.regexp_extract(F.regexp_replace(e, _PREFIX, ""), r"^(\S+) \S+$", 1)
+
+
+def female(e: Column) -> Column:
+    """By the honorific; after a title alone by the end of the given name."""
+    return e.rlike(rf"(?:^| )(?:{FEMALE_TITLES})\b") | (~e.rlike(rf"(?:^| )(?:{MALE_TITLES})\b") & given(e).rlike("[aа]$"))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -93,9 +114,10 @@ def _mapped(e: Column, stream: Column, keep_from: Column, hexadecimal: Column) -
             F.when(s["i"] >= keep_from, c).when(c.rlike("[0-9]"), (v % 10).cast("string"))
             .when(c.rlike("[a-z]"), F.when(hexadecimal, _pick("abcdef", v)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", v)))
             .when(c.rlike("[A-Z]"), F.when(hexadecimal, _pick("ABCDEF", v)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v)))
-            .when(c.rlike("[а-я]"), _pick(_LOWER_CYRILLIC, v)).when(c.rlike("[А-Я]"), F.upper(_pick(_LOWER_CYRILLIC, v))).otherwise(c)
+            .when(c.rlike("[а-я]"), _pick(_LOWER_CYRILLIC, v)).when(c.rlike("[А-Я]"), F.upper(_pick(_LOWER_CYRILLIC, v)))
+            .when(c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v)).when(c.rlike(r"[\p{L}\p{N}]"), _pick("abcdefghijklmnopqrstuvwxyz", v)).otherwise(c)
         )
-        return F.struct((s["i"] + c.rlike("[0-9A-Za-zа-яА-Я]").cast("int")).alias("i"), F.concat(new, s["out"]).alias("out"))
+        return F.struct((s["i"] + c.rlike(r"[\p{L}\p{N}]").cast("int")).alias("i"), F.concat(new, s["out"]).alias("out"))
 
     return F.aggregate(F.reverse(F.regexp_extract_all(e, F.lit("(?s)."), F.lit(0))), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda s: s["out"])
 
@@ -117,66 +139,81 @@ def _more(stream: Column, n: Column, of) -> Column:
 
 
 def with_surrogates(df: DataFrame, key: str) -> DataFrame:
-    """Adds ``made``, the surrogate, to rows (e, type, norm, attempt)."""
+    """Adds ``made``, the surrogate, to rows (e, type, norm, attempt); for a name the family name alone, for a given name that name."""
     e, t, n, stream = F.col("e"), F.col("type"), F.col("attempt"), F.col("_stream")
     # An address keeps its last label, or the whole of a reserved domain.
-    tail = F.when(t == "email", F.regexp_extract(e, r"((?:(?<=[@.])example)?\.[A-Za-z]{2,63})$", 1)).otherwise(F.lit(""))
+    tail = F.when(t == "email", F.regexp_extract(e, r"((?:(?<=[@.])example)?\.\p{L}{2,63})$", 1)).otherwise(F.lit(""))
     keep = F.when(t == "phone", 10).when(t == "iban", F.length(F.regexp_replace(e, " ", "")) - 2).otherwise(999)
     two = lambda k: _byte(stream, F.lit(k)) * 256 + _byte(stream, F.lit(k + 1))
-    female, cyrillic = e.rlike(_FEMALE_TITLE), e.rlike("[А-Яа-я]")
-    hexadecimal = t.isin("token", "secret") & e.rlike("^[0-9a-fA-F]+$")
+    woman, cyrillic = female(e), F.regexp_replace(e, _PREFIX, "").rlike("[А-Яа-я]")
+    hexadecimal = (t.isin("token", "secret") & e.rlike("^[0-9a-fA-F]+$")) | (t == "ip")
     df = df.withColumns({"_stream": F.sha2(F.concat_ws("|", F.lit(key), t, "norm", n.cast("string")), 512), "_tail": tail})
+    first = lambda v: F.when(woman & cyrillic, _names(FEMALE_CYRILLIC, v)).when(cyrillic, _names(MALE_CYRILLIC, v)).when(woman, _names(FEMALE, v)).otherwise(_names(MALE, v))
     df = df.withColumns({
         "_plain": F.concat(_mapped(F.substr(e, F.lit(1), F.length(e) - F.length("_tail")), stream, keep, hexadecimal), "_tail"),
         "_ip": F.concat_ws(".", *[(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]),
-        "_given": F.when(female & cyrillic, _names(FEMALE_CYRILLIC, two(0))).when(cyrillic, _names(MALE_CYRILLIC, two(0))).when(female, _names(FEMALE, two(0))).otherwise(_names(MALE, two(0))),
-        "_family": F.when(cyrillic, F.concat(_names(FAMILY_CYRILLIC, two(2)), F.when(female, F.lit("а")).otherwise(F.lit("")))).otherwise(_names(FAMILY, two(2))),
+        "_given": F.concat(first(two(0)), F.when(n > 0, F.concat(F.lit("-"), first(two(4)))).otherwise(F.lit(""))),
+        "_family": F.when(cyrillic, F.concat(_names(FAMILY_CYRILLIC, two(2)), F.when(woman, F.lit("а")).otherwise(F.lit("")))).otherwise(_names(FAMILY, two(2))),
         # The lists are short: later attempts add a second family name, then a syllable each.
-        "_second": F.when(n > 0, F.concat(F.lit("-"), F.when(cyrillic, _names(FAMILY_CYRILLIC, two(4))).otherwise(_names(FAMILY, two(4))), _more(stream, n - 1, lambda v: F.when(cyrillic, _names(SYLLABLES_CYRILLIC, v)).otherwise(_names(SYLLABLES, v))))).otherwise(F.lit("")),
+        "_more": _more(stream, n - 1, lambda v: F.when(cyrillic, _names(SYLLABLES_CYRILLIC, v)).otherwise(_names(SYLLABLES, v))),
+        "_second": F.when(n < 1, F.lit("")).otherwise(F.concat(F.lit("-"), F.when(cyrillic, _names(FAMILY_CYRILLIC, two(4))).otherwise(_names(FAMILY, two(4))))),
         "_longer": F.when(t.isin("email", "token", "secret"), _more(stream, n - 4, lambda v: F.when(hexadecimal, _pick("abcdef", v)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", v)))).otherwise(F.lit("")),
         "_valid": _luhn(e) == 0,
     })
     df = df.withColumn("_open", F.regexp_replace("_plain", r"\d$", ""))
     number = F.when(F.col("_valid"), F.concat("_open", ((10 - _luhn(F.concat("_open", F.lit("0")))) % 10).cast("string"))).otherwise(F.col("_plain"))
-    name = F.concat(F.regexp_extract(e, r"^(\S+ )", 1), F.when(e.rlike(r"^\S+ \S+ \S+$"), F.concat("_given", F.lit(" "))).otherwise(F.lit("")), "_family", "_second")
-    made = F.when(t == "ip", F.col("_ip")).when(t == "number", number).when(t == "name", name).otherwise(F.concat("_longer", "_plain"))
-    return df.withColumn("made", made).drop("_stream", "_tail", "_plain", "_ip", "_given", "_family", "_second", "_longer", "_valid", "_open")
+    made = F.when((t == "ip") & ~F.contains(e, F.lit(":")), F.col("_ip")).when(t == "number", number).when(t == "name", F.concat("_family", "_second", "_more")).when(t == "given", F.concat("_given", "_more"))
+    return df.withColumn("made", made.otherwise(F.concat("_longer", "_plain"))).drop("_stream", "_tail", "_plain", "_ip", "_given", "_family", "_second", "_more", "_longer", "_valid", "_open")
+
+
+def found(docs: DataFrame, patterns: dict[str, str] = PATTERNS, hint: str = HINT) -> DataFrame:
+    """The rows with an entity: the columns of ``docs`` but text, and _pii (entities in order), _pii_gaps (the text between them), _pii_sha."""
+    parts = F.struct(F.regexp_extract_all("text", F.lit(_any(patterns)), F.lit(0)).alias("_pii"), F.split("text", _any(patterns), -1).alias("_pii_gaps"), F.sha2("text", 256).alias("_pii_sha"))
+    # An inlined array is computed once: the filter on it does not repeat the patterns.
+    return docs.where(F.col("text").rlike(hint)).select(*[c for c in docs.columns if c != "text"], F.inline(F.array(parts))).where(F.size("_pii") > 0)
 
 
-def spellings(docs: DataFrame, patterns: dict[str, str] = PATTERNS, hint: str = HINT) -> DataFrame:
-    """(e, type, norm): every distinct spelling of an entity in the corpus."""
-    found = docs.where(F.col("text").rlike(hint)).select(F.explode(F.regexp_extract_all("text", F.lit(_any(patterns)), F.lit(0))).alias("e"))
-    return found.groupBy("e").count().select("e", kind(F.col("e"), patterns).alias("type")).withColumn("norm", normal(F.col("e"), F.col("type")))
+def spellings(matches: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
+    """(e, type, norm, given): every distinct spelling of an entity in the corpus; ``given``: the normal form of a given name, or null."""
+    each = matches.select(F.explode("_pii").alias("e")).groupBy("e").count().select("e", kind(F.col("e"), patterns).alias("type"))
+    return each.withColumns({"norm": normal(F.col("e"), F.col("type")), "given": F.when((F.col("type") == "name") & (given(F.col("e")) != ""), normal(F.col("e"), F.lit("given")))})
 
 
 def dictionary(spelled: DataFrame, key: str, rounds: int = 50, scope: str = "") -> DataFrame:
-    """(e, type, norm, attempt, made): distinct entities of a type get distinct surrogates that are no entities of the corpus."""
+    """(e, type, norm, made): distinct entities of a type get distinct surrogates that are no entities of the corpus."""
     spelled = common.staged(spelled, "spellings", scope)
-    known = spelled.groupBy("type", "norm").agg(F.min("e").alias("e"), F.lit(0).alias("attempt"))
+    parts = spelled.select("type", "norm", "e").unionByName(spelled.where("given is not null").select(F.lit("given").alias("type"), F.col("given").alias("norm"), "e"))
+    known = parts.groupBy("type", "norm").agg(F.min("e").alias("e"), F.lit(0).alias("attempt"))
     real = known.select("type", F.col("norm").alias("made"), F.lit(True).alias("real"))
+    of_made = F.when(F.col("type") == "given", F.concat(F.lower("made"), F.when(female(F.col("e")), F.lit("|f")).otherwise(F.lit("|m")))).otherwise(normal(F.col("made"), F.col("type")))
     for _ in range(rounds):
-        made = with_surrogates(known, key).withColumn("made", normal(F.col("made"), F.col("type")))
+        made = with_surrogates(known, key).withColumn("made", of_made)
         made = made.withColumn("taken", F.row_number().over(Window.partitionBy("type", "made").orderBy("attempt", "norm")) > 1).join(real, ["type", "made"], "left")
         made = common.staged(made.select("type", "norm", "e", "attempt", (F.col("taken") | F.coalesce("real", F.lit(False))).alias("again")), "entities", scope)
         if made.where("again").isEmpty():
-            return with_surrogates(spelled.join(made.select("type", "norm", "attempt"), ["type", "norm"]), key)
+            break
         known = made.select("type", "norm", "e", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    raise ValueError(f"more entities of a type than distinct surrogates were found in {rounds} rounds")
+    else:
+        raise ValueError(f"more entities of a type than distinct surrogates were found in {rounds} rounds")
+    attempts = made.select("type", "norm", "attempt")
+    whole = with_surrogates(spelled.join(attempts, ["type", "norm"]), key)
+    first = with_surrogates(made.where("type = 'given'").select("type", "norm", "e", "attempt"), key).select(F.col("norm").alias("given"), F.col("made").alias("_first"))
+    name = F.concat(F.regexp_extract("e", _PREFIX, 1), F.coalesce(F.concat("_first", F.lit(" ")), F.lit("")), "made")
+    return whole.join(first, "given", "left").select("e", "type", "norm", F.when(F.col("type") == "name", name).otherwise(F.col("made")).alias("made"))
 
 
 def replace(docs: DataFrame, key: str, patterns: dict[str, str] = PATTERNS, hint: str = HINT, scope: str = "") -> DataFrame:
     """``docs`` with surrogates in ``text``, and n_pii and pii_types (distinct, sorted, comma-joined)."""
     docs = docs.drop("n_pii", "pii_types")
-    names, pattern = docs.columns, _any(patterns)
-    has = F.coalesce(F.col("text").rlike(hint) & F.col("text").rlike(pattern), F.lit(False))
-    known = common.staged(dictionary(spellings(docs, patterns, hint), key, scope=scope), "surrogates", scope)
-    some = docs.where(has).withColumn("_pii_sha", F.sha2("text", 256))
-    each = some.select("_pii_sha", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("e")).distinct()
+    names = docs.columns
+    has = F.coalesce(F.col("text").rlike(hint) & F.col("text").rlike(_any(patterns)), F.lit(False))
+    some = common.staged(found(docs, patterns, hint), "found", scope)
+    known = common.staged(dictionary(spellings(some, patterns), key, scope=scope), "surrogates", scope)
+    each = some.select("_pii_sha", F.explode(F.array_distinct("_pii")).alias("e")).distinct()
     maps = each.join(known.select("e", "made", "type"), "e").groupBy("_pii_sha").agg(F.map_from_entries(F.collect_list(F.struct("e", "made"))).alias("_pii_made"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("pii_types"))
-    some = some.join(maps, "_pii_sha", "left").withColumn("_pii", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    joined = F.array_join(F.zip_with(F.split("text", pattern, -1), F.transform("_pii", lambda e: F.coalesce(F.col("_pii_made")[e], e)), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
-    some = some.select(*[joined.alias("text") if c == "text" else F.col(c) for c in names], F.size("_pii").alias("n_pii"), F.coalesce("pii_types", F.lit("")).alias("pii_types"))
-    return docs.where(~has).select(*names, F.lit(0).alias("n_pii"), F.lit("").alias("pii_types")).unionByName(some)
+    joined = F.array_join(F.zip_with("_pii_gaps", F.transform("_pii", lambda e: F.coalesce(F.col("_pii_made")[e], e)), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    new = some.join(maps, "_pii_sha", "left").select(*[joined.alias("text") if c == "text" else F.col(c) for c in names], F.size("_pii").alias("n_pii"), F.coalesce("pii_types", F.lit("")).alias("pii_types"))
+    return docs.where(~has).select(*names, F.lit(0).alias("n_pii"), F.lit("").alias("pii_types")).unionByName(new)
 
 
 #: A key for tables of invented text; production passes its own secret.

@@ -217,11 +217,12 @@ def test_groups_of_sets_that_share_a_key():
     keys = np.array([5, 5, 7, 8, 8, 8, 9, 9, 5], np.uint32)
     sids = np.array([1, 2, 3, 1, 2, 2, 4, 5, 2])
     got = collections.defaultdict(set)
-    for b in jaccard.shared(keys, sids):
+    for b in jaccard.shared(keys, sids - 1, np.array([1, 2, 3, 4, 5])):
         for gid, k, sid in zip(*(c.to_pylist() for c in b.columns), strict=True):
             got[gid, k].add(sid)
     assert sorted(map(sorted, got.values())) == [[1, 2], [4, 5]] and all(len(v) == k for (_, k), v in got.items())
-    assert not list(jaccard.shared(np.arange(3, dtype=np.uint32), np.arange(3)))
+    assert not list(jaccard.shared(np.arange(3, dtype=np.uint32), np.arange(3), np.array([7, 7, 8])))
+    assert not list(jaccard.shared(np.array([1, 1], np.uint32), np.arange(2), np.array([7, 7])))  # a copy in another task
 
 
 @pytest.mark.parametrize("paired", [2, 32])
@@ -386,6 +387,32 @@ def test_whole_entities_of_many_formats(spark):
         assert v not in text
 
 
+def test_names_keep_their_parts(spark):
+    """One family name for a person with and without a given name; different people stay different; titles and scripts."""
+    old = ["Mr. John Smith", "Mr. Smith", "Mr. Carl Smith", "Mrs. Alex Kim", "Mr. Alex Kim", "Dr. Karl Braun", "Prof. Dr. Anna Braun", "Herr Müller-Weber", "Госпожа Анна Белова", "Frau Ölmann"]
+    df = spark.createDataFrame([(k, f"so {e}, now") for k, e in enumerate(old)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.replace(df, "key").collect()}
+    made = [rows[k].text.removeprefix("so ").removesuffix(", now") for k in range(len(old))]
+    family = [m.split()[-1] for m in made]
+    assert family[0] == family[1] == family[2] and family[3] == family[4] and family[5] == family[6]
+    assert len({family[0], family[3], family[5], family[7], family[8], family[9]}) == 6 and len(set(made)) == len(old)
+    assert [m.split()[0] for m in made] == [o.split()[0] for o in old] and made[6].startswith("Prof. Dr. ") and made[8].split()[1].split("-")[0] in pii.FEMALE_CYRILLIC.split()
+    assert [len(m.split()) for m in made] == [len(o.split()) for o in old] and all(rows[k].pii_types == "name" for k in rows)
+    assert not {w for o in old for w in o.split() if w[0].isupper() and not w.endswith(".")} & {w for m in made for w in m.split()[1:]}
+
+
+def test_addresses_of_all_scripts(spark):
+    old = ["jörg.müller@example.org", "иван@почта.рф", "2001:db8:0:1:1:1:1:1", "fe80::1ff:fe23:4567:890a", "password=密码密码密码1"]
+    df = spark.createDataFrame([(k, f"see {e} now at 10:20:30 in std::map") for k, e in enumerate(old)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.replace(df, "key").collect()}
+    assert [rows[k].pii_types for k in range(5)] == ["email", "email", "ip", "ip", "secret"] and all(r.n_pii == 1 for r in rows.values())
+    for k, e in enumerate(old):
+        part = re.split("[@=]", e)[-1 if k == 4 else 0]
+        assert part not in rows[k].text and rows[k].text.endswith(" now at 10:20:30 in std::map")
+    assert "müller" not in rows[0].text and rows[0].text.startswith("see ") and rows[0].text.split()[1].endswith("@example.org")
+    assert len(rows[2].text.split()[1].split(":")) == 8
+
+
 def test_surrogates_never_run_out(spark):
     """More names than the lists hold, all one-letter mailboxes of a domain, and secrets without a letter."""
     rng = random.Random(11)
@@ -489,9 +516,19 @@ def test_lm_holds_every_word(spark):
         total = float(net.forward(context[order], word[order]).sum()) if len(word) else 0.0
         total += sum(np.log(n[w] / share[hashed[w] % v.rest]) for w in (t or "").split() if hashed[w] not in own)
         want[i, len(word), round(total, 2)] += 1
-    got = collections.Counter((r.doc_id, r.n_words, round(r.log_prob, 2)) for r in lm_score.score(df, v, net).collect())
-    assert {k[:2] for k in got} == {k[:2] for k in want} and sum(got.values()) == len(rows)
-    assert all(abs(a[2] - b[2]) < 0.02 for a, b in zip(sorted(got.elements(), key=str), sorted(want.elements(), key=str), strict=True))
+    for known in (0, 1200, 10_000):  # none, some and all of the counts are sent to the tasks
+        some = lm_score.Vocabulary(lm_score.count_words(df), rest=256, known_words=known)
+        assert len(some.known[0]) <= known and (known == 0 or len(some.known[0]) > 0)
+        got = collections.Counter((r.doc_id, r.n_words, round(r.log_prob, 2)) for r in lm_score.score(df, some, net).collect())
+        assert {k[:2] for k in got} == {k[:2] for k in want} and sum(got.values()) == len(rows)
+        assert all(abs(a[2] - b[2]) < 0.02 for a, b in zip(sorted(got.elements(), key=str), sorted(want.elements(), key=str), strict=True))
+    # For one context the probabilities of all words of the corpus sum to one.
+    ids = np.arange(lm_score.VOCABULARY, dtype=np.uint16)
+    p_id = np.exp(net.forward(np.zeros((len(ids), 4), np.uint16), ids))
+    own_ids = dict(zip((int(x) for x in v.names), v.ids.tolist(), strict=True))
+    total = sum(p_id[own_ids[hashed[w]]] if hashed[w] in own else p_id[lm_score.VOCABULARY - v.rest + hashed[w] % v.rest] * k / share[hashed[w] % v.rest] for w, k in n.items())
+    empty_ids = sum(p_id[lm_score.VOCABULARY - v.rest + k] for k in range(v.rest) if not share[k]) + sum(p_id[k] for k in range(lm_score.VOCABULARY - v.rest) if k not in set(v.ids.tolist()))
+    assert total + empty_ids == pytest.approx(1, abs=1e-4)
     out = lm_score.score(spark.createDataFrame([(1, names[0]), (2, "n2999")], "doc_id long, text string"), lm_score.Vocabulary(lm_score.count_words(df), rest=lm_score.VOCABULARY), net)
     a, b = (r.log_prob for r in out.orderBy("doc_id").collect())
     assert n["n0"] == 43 and a != b
