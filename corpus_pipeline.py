@@ -7,11 +7,23 @@ Every row is judged by itself: the join and the decontamination give rows a key
 of their own, so rows with a null or a repeated doc_id are dropped or kept one
 by one.  Of each component one row stays, that with the smallest doc_id (nulls
 last), and of several with that doc_id the first in the staged input.
+
+Nulls, empty and long texts: as the operators have them; a null or empty text is
+neither toxic nor a copy nor contaminated, holds no private data, and is packed
+as one end id.  An empty table gives no pieces.
+
+Each `run` stages its tables under a scope of its own and deletes them when a
+later stage no longer reads them; its result reads the staged ids of the last
+stage, which stay.  Runs at the same time, and results of earlier runs, do not
+disturb each other.  Stages that are called one by one share one scope: each
+deletes what the one before it staged, so its result must have been written.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +35,14 @@ BROADCAST_ROWS = 1_000_000
 KEY_VARIABLE = "EVIDRA_PII_KEY"
 
 
+_RUN: ContextVar[str] = ContextVar("run", default="stages")
+
+
 def _scope(spark: SparkSession, name: str) -> str:
-    """Starts a stage: what earlier stages staged is deleted, as their results have been written and read again."""
+    """Starts a stage: what earlier stages of this run staged is deleted, as their results have been written and read again."""
     for other in ("toxicity", "jaccard", "decontamination", "pii", "packing"):
-        common.release(spark, f"pipeline-{other}")
-    return f"pipeline-{name}"
+        common.release(spark, f"pipeline-{_RUN.get()}-{other}")
+    return f"pipeline-{_RUN.get()}-{name}"
 
 
 def _keyed(docs: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
@@ -92,15 +107,22 @@ STAGES = [
     ("private_data", replace_private_data),
     ("packing", pack_sequences),
 ]
-#: Scores of a fitted model, token ids and keyed hashes are not SQL. Tests hold expected rows of the join and the
-#: decontamination; the other stages are tested as operators only, and `run` is not tested.
+#: Scores of a fitted model, token ids and keyed hashes are not SQL: tests compare `run` with a brute-force version of the five decisions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = common.new_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = common.table(spark, sf_dir, "documents"), ""
+    token = _RUN.set(uuid.uuid4().hex[:12])
+    try:
+        for name, stage in STAGES[:-1]:
+            scope = f"pipeline-{_RUN.get()}-out-{name}"
+            path = common.new_dir(spark, f"stage-{name}", scope)
+            stage(spark, docs, sf_dir).write.parquet(path)
+            common.release(spark, before)
+            docs, before = spark.read.parquet(path), scope
+        out = STAGES[-1][1](spark, docs, sf_dir)  # has staged the ids of all texts
+        common.release(spark, before)
+        return out
+    finally:
+        _RUN.reset(token)
