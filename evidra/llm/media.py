@@ -1,9 +1,12 @@
 """Media columns: ISO base media containers (MP4, MOV, 3GP, HEIF files).
 
 `media_columns` walks the nested boxes of a container, decodes the sample
-tables of its first track (stsd, stts, stss, stsc, stsz or stz2, stco or co64)
-and returns codec, duration and keyframe byte ranges.  Sample data is never
-decoded; the ranges say where it lies.
+tables of each track (stsd, stts, stss, stsc, stsz or stz2, stco or co64) and of
+its fragments (trex, tfhd, trun), and returns codec, duration and keyframe byte
+ranges of every track; those of the first video track, or else of the first one,
+stand beside the list.  Sample data is never decoded; the ranges say where it lies.
+Every count is held against the bytes of its box, and nesting has a limit, so a
+broken or hostile file gives an error, not a failed task.
 
 `store_text` is the writer used for texts: the UTF-8 bytes, padded with zeros
 to a positive multiple of 64, become 8-bit samples of one uncompressed audio
@@ -11,7 +14,9 @@ track, in frames of 64 and chunks of 16 frames; the first frame of each chunk
 is a sync sample.
 
 Nulls: a null text is empty (one frame of zeros); a null or broken container
-gives null columns and the reason in ``error``.  Repeated rows give equal
+gives null columns and the reason in ``error``; of ties the first track counts.
+A long text is one container; a file of many samples needs some 30 bytes for each.
+A column named media_info is replaced.  Repeated rows give equal
 values.  An empty table gives no rows.  Extra columns are kept by
 `media_columns` and ignored by `store_text`.
 """
@@ -33,7 +38,10 @@ from . import common
 #: Fixed by the format: boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 FRAME, FRAMES_IN_CHUNK, RATE = 64, 16, 8000
-MEDIA = "codec string, timescale long, duration double, samples long, sample_bytes long, keyframes array<struct<offset:long,length:long>>, error string"
+DEPTH = 32
+_RANGES = "array<struct<offset:long,length:long>>"
+_TRACK = f"struct<track_id:long,handler:string,codec:string,timescale:long,duration:double,samples:long,sample_bytes:long,keyframes:{_RANGES}>"
+MEDIA = f"codec string, timescale long, duration double, samples long, sample_bytes long, keyframes {_RANGES}, tracks array<{_TRACK}>, error string"
 
 
 # --------------------------------------------------------------------- writing
@@ -81,76 +89,176 @@ def container(payload: bytes) -> bytes:
 # --------------------------------------------------------------------- reading
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, first byte of the body, end) of every box, outer ones first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", data, start)
-        body = start + 8
-        if size == 1:
-            (size,) = struct.unpack_from(">Q", data, body)
-            body += 8
-        elif size == 0:
-            size = end - start
-        stop = start + size
-        if size < body - start or stop > end:
-            raise ValueError(f"box {kind!r} at {start} does not fit")
-        yield (*path, kind), body, stop
-        if kind in CONTAINERS:
-            yield from boxes(data, body, stop, (*path, kind))
-        start = stop
-
-
-def _ints(data, at: int, n: int, kind: str) -> np.ndarray:
+def boxes(data):
+    """(path, start, first byte of the body, end) of every box, outer ones first."""
+    todo = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        while start + 8 <= end:
+            size, kind = struct.unpack_from(">I4s", data, start)
+            body = start + 8
+            if size == 1:
+                (size,) = struct.unpack_from(">Q", data, body)
+                body += 8
+            elif size == 0:
+                size = end - start
+            stop = start + size
+            if size < body - start or stop > end:
+                raise ValueError(f"box {kind!r} at {start} does not fit")
+            yield (*path, kind), start, body, stop
+            if kind in CONTAINERS:
+                if len(path) >= DEPTH:
+                    raise ValueError(f"boxes are nested more than {DEPTH} deep")
+                todo.append((stop, end, path))
+                start, end, path = body, stop, (*path, kind)
+            else:
+                start = stop
+
+
+def _ints(data, at: int, stop: int, n: int, kind: str) -> np.ndarray:
+    if at + n * np.dtype(kind).itemsize > stop:
+        raise ValueError("a table is longer than its box")
     return np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
-def sample_table(blob: bytes) -> dict:
-    """codec, timescale, duration (s) and, for each sample of the first track, offset, length and whether it is a keyframe."""
-    data, found = memoryview(blob), {}
-    for path, body, stop in boxes(data):
-        if path[-1] == b"trak" and b"stsz" in found:
-            break
-        found.setdefault(path[-1], (body, stop))
-    if b"moov" not in found or not ({b"stsz", b"stz2"} & set(found)):
-        raise ValueError("no track with a sample table")
-
-    at = found[b"mdhd"][0]
-    wide = data[at] == 1
-    scale, length = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
-    codec = bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
-    if b"stsz" in found:
-        at = found[b"stsz"][0] + 4
-        fixed, n = struct.unpack_from(">II", data, at)
-        size = np.full(n, fixed, np.int64) if fixed else _ints(data, at + 8, n, ">u4")
-    else:
-        at = found[b"stz2"][0] + 4
-        bits, n = data[at + 3], struct.unpack_from(">I", data, at + 4)[0]
-        size = _ints(data, at + 8, n, ">u2") if bits == 16 else _ints(data, at + 8, n, "u1") if bits == 8 else np.stack([(h := _ints(data, at + 8, (n + 1) // 2, "u1")) >> 4, h & 15], 1).ravel()[:n]
-    kind = b"stco" if b"stco" in found else b"co64"
-    at = found[kind][0] + 4
-    chunks = _ints(data, at + 4, struct.unpack_from(">I", data, at)[0], ">u4" if kind == b"stco" else ">u8")
-    at = found[b"stsc"][0] + 4
-    runs = _ints(data, at + 4, 3 * struct.unpack_from(">I", data, at)[0], ">u4").reshape(-1, 3)
+def _counted(data, box: tuple, kind: str = ">u4", width: int = 1) -> np.ndarray:
+    """The rows of a table that follow their number."""
+    body, stop = box
+    n = struct.unpack_from(">I", data, body + 4)[0]
+    return _ints(data, body + 8, stop, n * width, kind).reshape(n, width)
+
+
+def _sizes(data, found: dict, n_held: int) -> np.ndarray:
+    kind = b"stsz" if b"stsz" in found else b"stz2"
+    body, stop = found[kind]
+    unit, n = struct.unpack_from(">II", data, body + 4)
+    if n != n_held or kind == b"stsz" and unit * n > len(data):
+        raise ValueError(f"chunks hold {n_held} samples of {n}, in {len(data)} bytes")
+    if kind == b"stsz":
+        return np.full(n, unit, np.int64) if unit else _ints(data, body + 12, stop, n, ">u4")
+    bits = unit & 255
+    if bits not in (4, 8, 16):
+        raise ValueError(f"sizes of {bits} bits")
+    if bits == 4:
+        h = _ints(data, body + 12, stop, (n + 1) // 2, "u1")
+        return np.stack([h >> 4, h & 15], 1).ravel()[:n]
+    return _ints(data, body + 12, stop, n, ">u2" if bits == 16 else "u1")
+
+
+def _one_track(data, found: dict) -> dict:
+    """A track from the boxes below its trak."""
+    body, _ = found[b"mdhd"]
+    wide = data[body] == 1
+    scale, length = struct.unpack_from(">IQ" if wide else ">II", data, body + (20 if wide else 12))
+    number = struct.unpack_from(">I", data, found[b"tkhd"][0] + (20 if data[found[b"tkhd"][0]] == 1 else 12))[0] if b"tkhd" in found else 0
+    name = lambda kind, at: bytes(data[found[kind][0] + at : found[kind][0] + at + 4]).decode("latin-1") if kind in found else ""
+    out = {"track_id": number, "handler": name(b"hdlr", 8), "codec": name(b"stsd", 12), "timescale": scale}
+    runs, kind = _counted(data, found[b"stsc"], width=3), b"stco" if b"stco" in found else b"co64"
+    chunks = _counted(data, found[kind], ">u4" if kind == b"stco" else ">u8").ravel()
+    if len(runs) and (runs[0, 0] != 1 or runs[-1, 0] > len(chunks)):
+        raise ValueError("runs of chunks do not fit the chunks")
     per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, np.int64)
-    if per_chunk.sum() != n:
-        raise ValueError(f"chunks hold {per_chunk.sum()} samples of {n}")
+    size = _sizes(data, found, int(per_chunk.sum()))
+    n = len(size)
     first = np.concatenate([[0], np.cumsum(per_chunk)[:-1]]).astype(np.int64)
     within = np.cumsum(size) - size
-    offset = np.repeat(chunks, per_chunk) + within - np.repeat(within[first[per_chunk > 0]], per_chunk[per_chunk > 0]) if n else size
-    if n and (offset + size).max() > len(data):
+    offset = np.repeat(chunks[: len(per_chunk)], per_chunk) + within - np.repeat(within[first[per_chunk > 0]], per_chunk[per_chunk > 0]) if n else size
+    if n and (offset.min() < 0 or (offset + size).max() > len(data)):
         raise ValueError("a sample lies behind the end")
-    times = np.zeros((0, 2), np.int64)
-    if b"stts" in found:
-        at = found[b"stts"][0] + 4
-        times = _ints(data, at + 4, 2 * struct.unpack_from(">I", data, at)[0], ">u4").reshape(-1, 2)
+    times = _counted(data, found[b"stts"], width=2) if b"stts" in found else np.zeros((0, 2), np.int64)
     key = np.ones(n, bool)
     if b"stss" in found:
-        at = found[b"stss"][0] + 4
+        at = _counted(data, found[b"stss"]).ravel()
+        if len(at) and (at.min() < 1 or at.max() > n):
+            raise ValueError("a sync sample that does not exist")
         key[:] = False
-        key[_ints(data, at + 4, struct.unpack_from(">I", data, at)[0], ">u4") - 1] = True
+        key[at - 1] = True
     ticks = int((times[:, 0] * times[:, 1]).sum()) if len(times) else length
-    return {"codec": codec, "timescale": scale, "duration": ticks / scale if scale else 0.0, "offset": offset, "size": size, "key": key}
+    return out | {"ticks": ticks, "offset": offset, "size": size, "key": key}
+
+
+def _fragment(data, moof: int, head: tuple, truns: list[tuple], defaults: dict) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(track, ticks, offset, size, key) of the samples of one traf."""
+    body, _ = head
+    flags, track = struct.unpack_from(">II", data, body)
+    at, base = body + 8, moof
+    if flags & 1:
+        (base,) = struct.unpack_from(">Q", data, at)
+        at += 8
+    at += 4 if flags & 2 else 0
+    duration, length, mark = defaults.get(track, (0, 0, 0))
+    values = [duration, length, mark]
+    for k, bit in enumerate((8, 16, 32)):
+        if flags & bit:
+            (values[k],) = struct.unpack_from(">I", data, at)
+            at += 4
+    ticks, parts, place = 0, [], base
+    for b, stop in truns:
+        flags, n = struct.unpack_from(">II", data, b)
+        at, first = b + 8, None
+        if flags & 1:
+            place = base + struct.unpack_from(">i", data, at)[0]
+            at += 4
+        if flags & 4:
+            (first,) = struct.unpack_from(">I", data, at)
+            at += 4
+        named = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        if not named and n * max(1, values[1]) > len(data):
+            raise ValueError("more samples than bytes")
+        rows = _ints(data, at, stop, n * len(named), ">u4").reshape(n, len(named))
+        column = lambda bit, default: rows[:, named.index(bit)] if bit in named else np.full(n, default, np.int64)  # noqa: E731, B023
+        size, marks = column(0x200, values[1]), column(0x400, values[2]).copy()
+        if first is not None and n:
+            marks[0] = first
+        ticks += int(column(0x100, values[0]).sum())
+        offset = place + np.cumsum(size) - size
+        if n and (offset.min() < 0 or (offset + size).max() > len(data)):
+            raise ValueError("a sample lies behind the end")
+        place += int(size.sum())
+        parts.append((offset, size, marks & 0x10000 == 0))
+    offset, size, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    return track, ticks, offset, size, key
+
+
+def tracks(blob: bytes) -> list[dict]:
+    """track_id, handler, codec, timescale, ticks and, for each sample, offset, length and whether it is a keyframe, of every track."""
+    data, of_tracks, fragments, defaults, moof = memoryview(blob), [], [], {}, 0
+    for path, start, body, stop in boxes(data):
+        kind = path[-1]
+        if kind == b"trak":
+            of_tracks.append({})
+        elif b"trak" in path:
+            of_tracks[-1].setdefault(kind, (body, stop))
+        elif kind == b"moof":
+            moof = start
+        elif kind == b"trex":
+            _, track, _, duration, size, flags = struct.unpack_from(">6I", data, body)
+            defaults[track] = duration, size, flags
+        elif kind == b"tfhd":
+            fragments.append((moof, (body, stop), []))
+        elif kind == b"trun" and fragments:
+            fragments[-1][2].append((body, stop))
+    out = [_one_track(data, t) for t in of_tracks if b"mdhd" in t and b"stsc" in t and {b"stsz", b"stz2"} & set(t) and {b"stco", b"co64"} & set(t)]
+    by = {t["track_id"]: t for t in reversed(out)}
+    for f in fragments:
+        track, ticks, *samples = _fragment(data, *f, defaults)
+        if track not in by:
+            raise ValueError(f"a fragment of the unknown track {track}")
+        t = by[track]
+        t["ticks"] += ticks
+        for name, more in zip(("offset", "size", "key"), samples, strict=True):
+            t[name] = np.concatenate([t[name], more])
+    if not out:
+        raise ValueError("no track with a sample table")
+    for t in out:
+        t["duration"] = t["ticks"] / t["timescale"] if t["timescale"] else 0.0
+    return out
+
+
+def sample_table(blob: bytes) -> dict:
+    """The first video track, or else the first one."""
+    got = tracks(blob)
+    return next((t for t in got if t["handler"] == "vide"), got[0])
 
 
 def track_bytes(blob: bytes, t: dict) -> bytes:
@@ -165,26 +273,32 @@ def track_bytes(blob: bytes, t: dict) -> bytes:
 
 def describe(blob: bytes | None) -> dict:
     """The media columns of one container."""
-    empty = dict.fromkeys(("codec", "timescale", "duration", "samples", "sample_bytes", "keyframes", "error"))
+    empty = dict.fromkeys(("codec", "timescale", "duration", "samples", "sample_bytes", "keyframes", "tracks", "error"))
     if blob is None:
         return empty | {"error": "null"}
     try:
-        t = sample_table(blob)
-    except (ValueError, KeyError, IndexError, struct.error) as e:
-        return empty | {"error": str(e)[:200]}
-    frames = [{"offset": int(o), "length": int(s)} for o, s in zip(t["offset"][t["key"]], t["size"][t["key"]], strict=True)]
-    return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "samples": len(t["size"]), "sample_bytes": int(t["size"].sum()), "keyframes": frames, "error": None}
+        got = tracks(blob)
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error) as e:
+        return empty | {"error": str(e)[:200] or type(e).__name__}
+
+    def shown(t: dict) -> dict:
+        frames = [{"offset": int(o), "length": int(s)} for o, s in zip(t["offset"][t["key"]], t["size"][t["key"]], strict=True)]
+        return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "samples": len(t["size"]), "sample_bytes": int(t["size"].sum()), "keyframes": frames}
+
+    whole = [{"track_id": t["track_id"], "handler": t["handler"], **shown(t)} for t in got]
+    best = next((k for k, t in enumerate(got) if t["handler"] == "vide"), 0)
+    return empty | {k: v for k, v in whole[best].items() if k in empty} | {"tracks": whole}
 
 
 def media_columns(df: DataFrame, content: str = "media") -> DataFrame:
-    """``df`` with a struct column ``media_info`` (codec, timescale, duration, samples, sample_bytes, keyframes, error)."""
+    """``df`` with a struct column ``media_info`` (codec, timescale, duration, samples, sample_bytes, keyframes, tracks, error)."""
     common.ship(df.sparkSession)
 
     @F.pandas_udf(MEDIA)
     def info(blobs: pd.Series) -> pd.DataFrame:
         from evidra.llm import media as m
 
-        return pd.DataFrame([m.describe(None if b is None else bytes(b)) for b in blobs], columns=["codec", "timescale", "duration", "samples", "sample_bytes", "keyframes", "error"])
+        return pd.DataFrame([m.describe(None if b is None else bytes(b)) for b in blobs], columns=["codec", "timescale", "duration", "samples", "sample_bytes", "keyframes", "tracks", "error"])
 
     return df.withColumn("media_info", info(content))
 
@@ -214,15 +328,18 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         from evidra.llm import media as m
 
         for b in common.given(batches):
-            rows = []
+            rows, frames = [], []
             for blob in b.column("media").to_pylist():
                 t = m.sample_table(blob)
                 payload = m.track_bytes(blob, t)
                 at, size = t["offset"][t["key"]], t["size"][t["key"]]
                 feature = f"codec={t['codec']};rate={t['timescale']};duration={t['duration']:.6f};samples={len(t['size'])};keyframes={len(at)};first={at[0]}+{size[0]};last={at[-1]}+{size[-1]}"
+                frames.append((at, size))
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
             cols = [pa.array(x) for x in zip(*rows, strict=True)] if rows else []
             if rows:
-                yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                ranges = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*frames, strict=True)], names=["offset", "length"])
+                ranges = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x, _ in frames]), pa.int32()), ranges)
+                yield pa.record_batch([b.column("doc_id"), b.column("n_bytes"), *cols, ranges], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "keyframes"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, keyframes array<struct<offset:long,length:long>>")

@@ -326,6 +326,78 @@ def test_media(spark, docs, empty):
     assert media.store_text(empty).count() == 0
 
 
+def hostile(kind):
+    import struct
+
+    good, box = bytearray(media.container(b"x" * 640)), media._box
+    put = lambda name, at, value: struct.pack_into(">I", good, good.index(name) + 4 + at, value)
+    if kind == "deep":
+        blob = b""
+        for _ in range(1500):
+            blob = box(b"moov", blob)
+        return blob
+    if kind in ("stsz", "stco", "stss", "stts", "stsc"):
+        put(kind.encode(), 8 if kind == "stsz" else 4, 2**32 - 1)
+    elif kind == "sync 0":
+        put(b"stss", 8, 0)
+    elif kind == "sync behind":
+        put(b"stss", 8, 11)
+    elif kind == "chunk":
+        put(b"stsc", 8, 7)
+    elif kind == "cut":
+        return bytes(good[:-1])
+    elif kind == "no track":
+        return media._box(b"ftyp", b"isom")
+    return bytes(good)
+
+
+@pytest.mark.parametrize("kind", ["deep", "stsz", "stco", "stss", "stts", "stsc", "sync 0", "sync behind", "chunk", "cut", "no track"])
+def test_broken_containers_give_an_error(kind):
+    got = media.describe(hostile(kind))
+    assert got["error"] and got["codec"] is None and got["tracks"] is None
+
+
+def test_tracks_and_fragments():
+    import struct
+
+    box, full = media._box, media._full
+    one = media.container(b"a" * 64)
+    assert [t["track_id"] for t in media.tracks(one)] == [1]
+
+    def trak(number, handler, codec):
+        tables = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+        head = full(b"tkhd", struct.pack(">II", 0, 0), struct.pack(">I", number), bytes(68))
+        return box(b"trak", head, box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), handler, bytes(12), b"\0"), box(b"minf", tables)))
+
+    trex = full(b"trex", struct.pack(">IIIII", 2, 1, 40, 5, 0x10000))
+    moov = box(b"moov", trak(1, b"soun", b"mp4a"), trak(2, b"vide", b"avc1"), box(b"mvex", trex))
+
+    def moof(data_offset):
+        run = box(b"trun", struct.pack(">IIiI", 0x205, 3, data_offset, 0), struct.pack(">III", 4, 5, 6))
+        more = box(b"trun", struct.pack(">II", 0, 2))  # follows, with the defaults
+        return box(b"moof", box(b"traf", box(b"tfhd", struct.pack(">II", 0x20000, 2)), run, more))
+
+    size = len(moof(0))
+    blob = moov + moof(size + 8) + box(b"mdat", bytes(range(25)))
+    got = media.describe(blob)
+    start = len(moov) + size + 8
+    assert got["error"] is None and (got["codec"], got["samples"], got["sample_bytes"], got["duration"]) == ("avc1", 5, 25, 0.2)
+    assert got["keyframes"] == [{"offset": start, "length": 4}] and [(t["track_id"], t["codec"], t["samples"]) for t in got["tracks"]] == [(1, "mp4a", 0), (2, "avc1", 5)]
+    assert media.track_bytes(blob, media.sample_table(blob)) == bytes(range(25))
+
+
+def test_media_query(spark, docs, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    t = texts(docs)
+    for r in media.op2_media_columns(spark, str(tmp_path)).collect():
+        raw = t[r.doc_id].encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        blob = media.container(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest()) and f"keyframes={len(r.keyframes)};" in r.feature
+        assert len(r.keyframes) == -(-len(payload) // 1024) and all(blob[f.offset : f.offset + f.length] == payload[k * 1024 : k * 1024 + 64] for k, f in enumerate(r.keyframes))
+
+
 def test_private_data(spark, docs, empty):
     rows = [
         (1, "Mr. John Smith wrote to a.b@x.org; call +1 (743) 555-3824 or (743) 555-3824, 10.2.3.4."), (2, "card 4111 1111 1111 1111 and password=abc123def token 0123456789abcdef0123456789abcdef"),
