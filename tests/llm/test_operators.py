@@ -116,10 +116,28 @@ def test_sharding(spark, docs, empty):
     rng = random.Random(1)
     for _ in range(6):
         sizes = [rng.randrange(1, 100) for _ in range(rng.randrange(1, 60))]
-        units = spark.createDataFrame(list(enumerate(sizes)), "unit int, bytes long")
+        units = spark.createDataFrame(list(enumerate(sizes)), "unit long, bytes long")
         assert sharding.capacity(units, 5).first().capacity == smallest_capacity(sizes, 5)
 
 
+@pytest.mark.parametrize(("bits", "split", "shards"), [(14, 256, 5), (3, 4, 5), (2, 2, 3), (3, 4, 1), (4, 8, 40)])
+def test_minimax_of_groups(spark, bits, split, shards):
+    rng = random.Random(bits)
+    groups = {rng.randrange(-(2**63), 2**63): 1 for _ in range(300)}
+    rows = [(h, rng.randrange(1, 400) if rng.random() < 0.97 else 5000) for h in groups for _ in range(rng.choice([1, 1, 3]))]
+    sizes = collections.Counter()
+    for h, n in rows:
+        sizes[h] += n
+    best, cuts = sharding.minimax(spark.createDataFrame(rows, "h long, size long"), shards, bits, split)
+    ordered = [sizes[h] for h in sorted(sizes)]
+    assert best == smallest_capacity(ordered, shards) and len(cuts) < shards
+    fill = collections.Counter(sum(c <= h for c in cuts) for h in sizes for _ in range(1))
+    by = collections.Counter()
+    for h, n in sizes.items():
+        by[sum(c <= h for c in cuts)] += n
+    assert max(by.values()) <= best and sum(fill.values()) == len(sizes)
+
+
 def components(rows, k, percent):
     sets, root, inv = {}, {}, collections.defaultdict(list)
     for i, t in rows.items():
