@@ -4,7 +4,9 @@ A lexicon of words and word beginnings is learned from a bounded sample of
 labelled rows (counted on Spark, the strongest terms kept); the features are
 densities of that lexicon and of a short fixed list, hits near second-person
 words, capitals, marks, digits and obfuscated words.  Three disjoint parts of
-the sample serve the lexicon, the trees and the calibration.
+the sample serve the lexicon, the trees and the calibration.  Where the last part has
+fewer than ``calibration_rows`` rows, or one label only, the trees learn from it
+too and their own probability is the score.
 
 The sample is chosen by a hash of doc_id: about ``sample_rows / 2`` rows of
 each label (its bound, `sample_rows`, is a parameter); weights restore the
@@ -192,13 +194,13 @@ class Model:
         margin = self.trees.margin(features(data, off, self.lexicon, self.weight, powers))
         raw = 1 / (1 + np.exp(-margin))
         fitted = np.interp(margin, *self.knots) if len(self.knots[0]) else raw
-        return np.clip(0.98 * fitted + 0.02 * raw, 0, 1)  # keeps the order inside a pool
+        return np.clip(fitted + 1e-6 * (raw - 0.5), 0, 1)  # keeps the order inside a pool
 
 
 # --------------------------------------------------------------------- fitting
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, terms: int = 4000, min_rows: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, terms: int = 4000, min_rows: int = 3, calibration_rows: int = 50) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic)."""
     spark = docs.sparkSession
     common.ship(spark)
@@ -262,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, terms: in
     w = np.where(y == 1, 1 / share[1], 1 / share[0])
     w = w / w.mean()
     first = np.array([r.u < 0.8 for r in got])
-    if len(set(y[first])) < 2 or len(set(y[~first])) < 2 or (~first).sum() < 50:
+    if len(set(y[first])) < 2 or len(set(y[~first])) < 2 or (~first).sum() < calibration_rows:
         first[:] = True
     trees = Trees(x[first], y[first], w[first])
     rest = ~first if not first.all() else first
