@@ -125,3 +125,55 @@ def test_comments_and_methodology(spark, tmp_path):
         (tmp_path / f"{n}.json").write_text(json.dumps({"fields": {n: 1}}))
     (m,) = files.methodology(spark, [f"{tmp_path}/one.json", f"{tmp_path}/two.json"], {"aspect": 0.7}, 300).collect()
     assert m.examples == 300 and m.gates == {"aspect": 0.7} and json.loads(m.artifacts["one"])["fields"] == {"one": 1}
+
+
+def test_issue_payloads(spark):
+    rows = [(7, "T", "B", "u", "2024-01-02T03:04:05Z", "https://api/repos/o/r", ("me",), [("bug",), ("slow",)], 3, (5,), None), (8, "P", None, "u", "x", None, None, None, None, None, ("z",)), (9, None, None, "u", "2024-01-02T03:04:05Z", None, None, [], None, None, None)]
+    got = {r.source_id: r for r in files.issue_items(spark.createDataFrame(rows, files.ISSUE_SCHEMA)).collect()}
+    assert set(got) == {"7", "9"} and (got["7"].community_id, got["7"].labels, got["7"].engagement) == ("o/r", ["bug", "slow"], {"comments": 3.0, "reactions": 5.0})
+    assert (got["9"].community_id, got["9"].title, got["9"].engagement) == ("github", "", {"comments": 0.0, "reactions": 0.0})
+
+
+def test_review_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("1", 'two "words",\nand a line', None), ("2", "", "x")], "review_id string, evidence_text string, human_notes string")
+    files.write_review_csv(df, f"{tmp_path}/c", ["review_id", "human_notes", "evidence_text", "human_task_category"])
+    got = files.read_review_csv(spark, f"{tmp_path}/c").fillna("").orderBy("review_id").collect()
+    assert [tuple(r) for r in got] == [("1", "", 'two "words",\nand a line', ""), ("2", "x", "", "")]
+
+
+def test_snapshot_reload_is_idempotent(spark, tmp_path):
+    at, df = f"{tmp_path}/s", spark.createDataFrame([("m", 1.0)], "model_id string, score double")
+    files.write_snapshot(df, at, "a")
+    files.write_snapshot(df, at, "b")
+    files.write_snapshot(df.withColumn("score", F.lit(2.0)), at, "a")
+    assert {(r.snapshot_id, r.score) for r in spark.read.parquet(at).collect()} == {("a", 2.0), ("b", 1.0)}
+
+
+def test_jsonl_schema_is_not_changed(spark, tmp_path):
+    from pyspark.sql import types
+
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nbroken\n')
+    schema = types.StructType([types.StructField("a", types.LongType())])
+    for _ in range(2):
+        got = files.read_jsonl(spark, f"{tmp_path}/x.jsonl", schema).collect()
+        assert [r.a for r in got] == [1, None] and got[1]._corrupt_record == "broken" and schema.names == ["a"]
+
+
+def test_homonyms_by_their_surroundings(spark, catalog):
+    from evidra.operators import linking
+
+    df = spark.createDataFrame([(1, "owl " + "x" * 100 + " bird"), (2, "an owl, that bird"), (3, "owl")], "k long, t string")
+    found = linking.mentions(df, catalog.withColumn("generic", F.lit(False)), "k", "t")
+    kept = linking.in_context(found, df, "k", "t", spark.createDataFrame([("owl", "bird")], "alias string, signal string"))
+    assert sorted(r.k for r in found.collect()) == [1, 2, 3] and sorted(r.k for r in kept.collect()) == [1, 3]
+
+
+def test_window_counts_of_a_stream(spark, tmp_path):
+    from evidra.streaming import extract as stream
+
+    rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b"), ("2024-01-02 00:00:00", "c")]
+    spark.createDataFrame(rows, "ts string, k string").select(F.col("ts").cast("timestamp").alias("ts"), "k").coalesce(1).write.parquet(f"{tmp_path}/in")
+    items = stream.read_items(spark, f"{tmp_path}/in", "ts timestamp, k string", "parquet")
+    stream.append(items, lambda s: stream.window_counts(s, "k").select(F.col("window.start").alias("start"), "k", "n"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(60)
+    got = {(str(r.start), r.k): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("2024-01-01 00:00:00", "a"): 2, ("2024-01-01 01:00:00", "b"): 1}  # the last window is still open
