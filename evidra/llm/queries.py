@@ -67,20 +67,20 @@ from p
 def _op13(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
     """The rounds one after the other, each with all distances."""
     out = [
-        f"v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as q from embeddings where len(embedding) = {dims} and len(list_filter(embedding, x -> x is not null and isfinite(x))) = {dims})",
+        f"v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims})",
         f"c0 as materialized (select row_number() over (order by sha256('3:' || coalesce(cast(vec_id as varchar), ''))) - 1 as k, q from v qualify k < {k})",
     ]
-    near = "a{i} as materialized (select r, min(struct_pack(d := d, k := k)) as b from (select v.r, c.k, cast(list_sum(list_transform(list_zip(v.q, c.q), z -> (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from v, c{i} c) group by r)"
+    near = "a{i} as materialized (select r, min(struct_pack(d := d, k := k)) as b from (select v.r, c.k, cast(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from v, c{i} c) group by r)"
     for i in range(rounds):
         out += [
             near.format(i=i),
-            f"s{i} as (select b.k as k, p, sum(q[p]) as s, count(*) as n from a{i} join v using (r), range(1, {dims + 1}) t(p) group by 1, 2)",
+            f"s{i} as (select (b).k as k, p, sum(q[p]) as s, count(*) as n from a{i} join v using (r), range(1, {dims + 1}) t(p) group by 1, 2)",
             f"c{i + 1} as materialized (select c.k, coalesce(m.q, c.q) as q from c{i} c left join (select k, list(cast((s - ((s % n) + n) % n) // n as bigint) order by p) as q from s{i} group by k) m using (k))",
         ]
     out.append(near.format(i=rounds))
     return (
         "with " + ",\n".join(out) + f" select vec_id, cast(b.k as int) as cluster, b.d as distance, cast(sum(b.d) over (partition by b.k) as bigint) as cluster_inertia, cast(sum(b.d) over () as bigint) as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256"
-        f" from a{rounds} a join v using (r) join c{rounds} c on c.k = a.b.k"
+        f" from a{rounds} a join v using (r) join c{rounds} c on c.k = (a.b).k"
     )
 
 
