@@ -8,7 +8,8 @@ pieces between, and the text is put together again from these.  The
 surrogate of an entity is made from a keyed SHA-512 of (type, normal form,
 attempt), character by character from the end: digits become digits, letters
 become letters of the same case, everything else stays, so length and
-punctuation are kept.  Names come from lists by gender (from the honorific)
+punctuation are kept; in secrets signs become signs.  Entities of more than 256
+characters are made in blocks, each with a stream of its own, in linear time.  Names come from lists by gender (from the honorific)
 and script.  Card numbers that pass the Luhn test get a surrogate that passes.
 
 Coreference: the surrogate depends on the normal form alone (lower case,
@@ -19,8 +20,9 @@ Distinctness: all distinct entities of the corpus are gathered (pre-aggregated,
 so frequent ones cost nothing), and those whose surrogate is taken by another
 entity, or is itself an entity of the corpus, get the next attempt until none
 is left.  Later attempts have more room: names get a second family name, then one
-more syllable an attempt; addresses, tokens and secrets one more character from
-the fifth attempt on, so that short ones do not run out.  Only texts with such an entity are joined with its attempt.
+more syllable an attempt; mail addresses, tokens, secrets and types of the caller's
+patterns one more character from the fifth attempt on, and addresses with
+colons become whole ones of eight groups, so that short ones do not run out.  Only texts with such an entity are joined with its attempt.
 
 Nulls: a null text stays null and has no entities.  Empty texts stay empty.
 Repeated rows get equal texts.  An empty table gives no rows.  Extra columns
@@ -46,7 +48,7 @@ PATTERNS = {
     "token": r"\b(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:ghp|gho|xoxb|sk)[-_][A-Za-z0-9_-]{16,})\b",
     "secret": r"(?<=[=:\"' ])(?<=\b(?i:password|passwd|pwd|secret|api[_-]?key|access_token)[\"']? ?[=:] ?[\"']?)[^\s\"',;]{6,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)|(?<![\w:])(?=[\p{{XDigit}}:]*\d)(?:(?:\p{{XDigit}}{{1,4}}:){{7}}\p{{XDigit}}{{1,4}}|(?:\p{{XDigit}}{{1,4}}:){{1,6}}(?::\p{{XDigit}}{{1,4}}){{1,6}})(?![\w:])",
+    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)|(?<![\w:])(?=[\p{{XDigit}}:]*\d)(?:(?:\p{{XDigit}}{{1,4}}:){{7}}\p{{XDigit}}{{1,4}}|(?=(?:\p{{XDigit}}{{4}}|64:ff9b):)(?=\p{{XDigit}}*[A-Fa-f]|\p{{XDigit}}+:\p{{XDigit}})(?:\p{{XDigit}}{{1,4}}:){{1,6}}(?::\p{{XDigit}}{{1,4}}){{1,6}})(?![\w:])",
     "phone": r"(?:\+\d{1,3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{3}[^\w\n]{1,6}\d{4}|\(\d{3}\)[^\w\n]{0,6}\d{3}[^\w\n]{1,6}\d{4}|\+\d(?:[ .()/-]{0,3}\d){7,14}"
     # National: 555-123-4567, 06 12 34 56 78, 030 1234567, 8 (495) 123-45-67, 612 345 678.
     r"|(?<![\d.,+-])(?:\d{3}[-. ]\d{3}[-. ]\d{4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}|8[ -]?\(?\d{3}\)?[ -]?\d{3}-\d{2}-\d{2}|[67]\d{2}[ -]\d{3}[ -]\d{3}))(?!\d)",
@@ -54,6 +56,8 @@ PATTERNS = {
     "number": r"(?<![\d.])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)",
     "name": rf"(?:{_TITLE}\.? )+\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?:-\p{{Lu}}\p{{Ll}}+)?",
 }
+#: Types whose surrogates never get longer: they have more surrogates than there can be entities, or another way.
+FIXED_LENGTH = ("phone", "iban", "ip", "ssn", "number", "name", "given")
 #: Most texts hold nothing that could start an entity; this is all that is tried on them.
 HINT = r"\d{3}|\+\d|\d\d[ .-]\d\d|[=:](?<=(?i:password|passwd|pwd|secret|key|token)[\"']? ?[=:])|\d\.\d|@|\d[A-Fa-f]|[A-Fa-f]\d|[\dA-Fa-f]::?[\dA-Fa-f]|AKIA|gh[po][-_]|xoxb|sk[-_]|" + _TITLE
 #: Fixed lists of names, by gender and script.
@@ -61,6 +65,10 @@ MALE, FEMALE = "Adam Bruno Carl David Emil Felix Georg Henry Ivan Jonas Karim Lo
 FAMILY = "Abel Bauer Costa Dubois Ebner Fischer Garcia Hansen Ivers Jansen Keller Lopez Moreau Novak Olsen Perrin"
 MALE_CYRILLIC, FEMALE_CYRILLIC, FAMILY_CYRILLIC = "Антон Борис Виктор Глеб Денис Егор Иван Кирилл", "Анна Вера Галина Дарья Елена Ирина Мария Ольга", "Белов Волков Громов Данилов Ершов Зимин Козлов Лебедев"
 SYLLABLES, SYLLABLES_CYRILLIC = "ba be do fa ga ho ja ke la mi no pa ri so ta vu", "ба ве до жа за ки ла ми но па ри со та фу ха ча"
+#: What stands for a sign of a secret.
+_SIGNS = "!#$%&*+-./?@^_~"
+#: Characters of an entity that share one keyed stream (its hex digits); longer ones are made block by block.
+_BLOCK = 128
 _PREFIX = rf"^((?:{_TITLE}\.? )+)"
 _LOWER_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 
@@ -105,21 +113,35 @@ def _pick(alphabet: str, v: Column) -> Column:
     return F.substr(F.lit(alphabet), v % len(alphabet) + 1, F.lit(1))
 
 
-def _mapped(e: Column, stream: Column, keep_from: Column, hexadecimal: Column) -> Column:
-    """Character by character from the end; letters and digits beyond the ``keep_from``-th stay."""
+def _between(c: Column, first: str, last: str) -> Column:
+    """Whether one character lies in a range of code points."""
+    return (c >= first) & (c <= last)
 
-    def step(s: Column, c: Column) -> Column:
-        v = _byte(stream, s["i"])
-        new = (
-            F.when(s["i"] >= keep_from, c).when(c.rlike("[0-9]"), (v % 10).cast("string"))
-            .when(c.rlike("[a-z]"), F.when(hexadecimal, _pick("abcdef", v)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", v)))
-            .when(c.rlike("[A-Z]"), F.when(hexadecimal, _pick("ABCDEF", v)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v)))
-            .when(c.rlike("[а-я]"), _pick(_LOWER_CYRILLIC, v)).when(c.rlike("[А-Я]"), F.upper(_pick(_LOWER_CYRILLIC, v)))
-            .when(c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v)).when(c.rlike(r"[\p{L}\p{N}]"), _pick("abcdefghijklmnopqrstuvwxyz", v)).otherwise(c)
+
+def _mapped(e: Column, stream: Column, keep_from: Column, hexadecimal: Column, signs: Column) -> Column:
+    """Each letter and digit (with ``signs`` every character) by its place from the end; those from the ``keep_from``-th on stay. Linear in the length."""
+    unit = F.when(signs, F.lit("(?s).")).otherwise(F.lit(r"[\p{L}\p{N}]"))
+
+    def step(c: Column, i: Column) -> Column:
+        v = _byte(stream, i)
+        return (
+            F.when(i >= keep_from, c).when(_between(c, "0", "9"), (v % 10).cast("string"))
+            .when(_between(c, "a", "z"), F.when(hexadecimal, _pick("abcdef", v)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", v)))
+            .when(_between(c, "A", "Z"), F.when(hexadecimal, _pick("ABCDEF", v)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v)))
+            .when(_between(c, "а", "я"), _pick(_LOWER_CYRILLIC, v)).when(_between(c, "А", "Я"), F.upper(_pick(_LOWER_CYRILLIC, v)))
+            .when(c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v)).when(c.rlike(r"[\p{L}\p{N}]"), _pick("abcdefghijklmnopqrstuvwxyz", v)).otherwise(_pick(_SIGNS, v))
         )
-        return F.struct((s["i"] + c.rlike(r"[\p{L}\p{N}]").cast("int")).alias("i"), F.concat(new, s["out"]).alias("out"))
 
-    return F.aggregate(F.reverse(F.regexp_extract_all(e, F.lit("(?s)."), F.lit(0))), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step, lambda s: s["out"])
+    new = F.reverse(F.transform(F.reverse(F.regexp_extract_all(e, unit, F.lit(0))), step))
+    return F.array_join(F.zip_with(F.split(e, unit, -1), new, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+
+
+def _mapped_blocks(e: Column, stream: Column, hexadecimal: Column, upper: Column, signs: Column) -> Column:
+    """As `_mapped`, for entities of any length: blocks of `_BLOCK` characters with a stream for each, so that one block at a time is in pieces."""
+    blocks = F.transform(F.regexp_extract_all(e, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)), lambda c, i: F.struct(c.alias("c"), F.sha2(F.concat(stream, i.cast("string")), 512).alias("s")))
+    digits = lambda b: F.substr(b["s"], F.lit(1), F.length(b["c"]))
+    each = lambda b: F.when(hexadecimal & upper, F.upper(digits(b))).when(hexadecimal, digits(b)).otherwise(_mapped(b["c"], b["s"], F.lit(_BLOCK + 1), F.lit(False), signs))
+    return F.array_join(F.transform(blocks, each), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -146,24 +168,26 @@ def with_surrogates(df: DataFrame, key: str) -> DataFrame:
     keep = F.when(t == "phone", 10).when(t == "iban", F.length(F.regexp_replace(e, " ", "")) - 2).otherwise(999)
     two = lambda k: _byte(stream, F.lit(k)) * 256 + _byte(stream, F.lit(k + 1))
     woman, cyrillic = female(e), F.regexp_replace(e, _PREFIX, "").rlike("[А-Яа-я]")
-    hexadecimal = (t.isin("token", "secret") & e.rlike("^[0-9a-fA-F]+$")) | (t == "ip")
-    df = df.withColumns({"_stream": F.sha2(F.concat_ws("|", F.lit(key), t, "norm", n.cast("string")), 512), "_tail": tail})
+    hexadecimal = F.col("_hex")
+    df = df.withColumns({"_stream": F.sha2(F.concat_ws("|", F.lit(key), t, "norm", n.cast("string")), 512), "_tail": tail, "_hex": (t.isin("token", "secret") & e.rlike("^[0-9a-fA-F]+$")) | (t == "ip"), "_upper": e.rlike("[A-F]")})
+    body = F.substr(e, F.lit(1), F.length(e) - F.length("_tail"))
     first = lambda v: F.when(woman & cyrillic, _names(FEMALE_CYRILLIC, v)).when(cyrillic, _names(MALE_CYRILLIC, v)).when(woman, _names(FEMALE, v)).otherwise(_names(MALE, v))
     df = df.withColumns({
-        "_plain": F.concat(_mapped(F.substr(e, F.lit(1), F.length(e) - F.length("_tail")), stream, keep, hexadecimal), "_tail"),
+        "_plain": F.concat(F.when(F.length(e) > 2 * _BLOCK, _mapped_blocks(body, stream, F.col("_hex"), F.col("_upper"), t == "secret")).otherwise(_mapped(body, stream, keep, F.col("_hex"), t == "secret")), "_tail"),
         "_ip": F.concat_ws(".", *[(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]),
         "_given": F.concat(first(two(0)), F.when(n > 0, F.concat(F.lit("-"), first(two(4)))).otherwise(F.lit(""))),
         "_family": F.when(cyrillic, F.concat(_names(FAMILY_CYRILLIC, two(2)), F.when(woman, F.lit("а")).otherwise(F.lit("")))).otherwise(_names(FAMILY, two(2))),
         # The lists are short: later attempts add a second family name, then a syllable each.
         "_more": _more(stream, n - 1, lambda v: F.when(cyrillic, _names(SYLLABLES_CYRILLIC, v)).otherwise(_names(SYLLABLES, v))),
         "_second": F.when(n < 1, F.lit("")).otherwise(F.concat(F.lit("-"), F.when(cyrillic, _names(FAMILY_CYRILLIC, two(4))).otherwise(_names(FAMILY, two(4))))),
-        "_longer": F.when(t.isin("email", "token", "secret"), _more(stream, n - 4, lambda v: F.when(hexadecimal, _pick("abcdef", v)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", v)))).otherwise(F.lit("")),
-        "_valid": _luhn(e) == 0,
+        "_six": F.concat_ws(":", *[F.substr(stream, F.lit(65 + 4 * k), F.lit(4)) for k in range(8)]),
+        "_longer": F.when(~t.isin(*FIXED_LENGTH), _more(stream, n - 4, lambda v: F.when(hexadecimal, _pick("abcdef", v)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", v)))).otherwise(F.lit("")),
+        "_valid": F.when(t == "number", _luhn(e) == 0),
     })
     df = df.withColumn("_open", F.regexp_replace("_plain", r"\d$", ""))
     number = F.when(F.col("_valid"), F.concat("_open", ((10 - _luhn(F.concat("_open", F.lit("0")))) % 10).cast("string"))).otherwise(F.col("_plain"))
-    made = F.when((t == "ip") & ~F.contains(e, F.lit(":")), F.col("_ip")).when(t == "number", number).when(t == "name", F.concat("_family", "_second", "_more")).when(t == "given", F.concat("_given", "_more"))
-    return df.withColumn("made", made.otherwise(F.concat("_longer", "_plain"))).drop("_stream", "_tail", "_plain", "_ip", "_given", "_family", "_second", "_more", "_longer", "_valid", "_open")
+    made = F.when((t == "ip") & ~F.contains(e, F.lit(":")), F.col("_ip")).when((t == "ip") & (n > 4), F.col("_six")).when(t == "number", number).when(t == "name", F.concat("_family", "_second", "_more")).when(t == "given", F.concat("_given", "_more"))
+    return df.withColumn("made", made.otherwise(F.concat("_longer", "_plain"))).drop("_stream", "_tail", "_plain", "_ip", "_given", "_family", "_second", "_more", "_six", "_hex", "_upper", "_longer", "_valid", "_open")
 
 
 def found(docs: DataFrame, patterns: dict[str, str] = PATTERNS, hint: str = HINT) -> DataFrame:

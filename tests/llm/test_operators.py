@@ -516,6 +516,41 @@ def test_surrogates_never_run_out(spark):
     assert all(m.startswith(o.split()[0] + " ") for m, o in zip(made, old, strict=True) if " " in o) and all(m.endswith("@example.com") for m in made[1200:1226])
 
 
+def test_slices_of_code_are_no_addresses(spark):
+    old = [f"take x[{a}::{b}] of it" for a in range(10) for b in range(10)] + ["x[1000::2] and a::b1", "std::f4::g", "[2001:db8::1]", "fe80::1", "64:ff9b::a1"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(df, "k").collect()}
+    assert all(out[k].text == old[k] and out[k].n_pii == 0 for k in range(102))
+    assert all(out[k].pii_types == "ip" and out[k].text != old[k] for k in range(102, 105)) and out[102].text.startswith("[") and out[102].text.endswith("]")
+
+
+def test_dense_types_grow(spark):
+    """All link addresses of one digit after one prefix, and all codes of a caller's own pattern."""
+    old = [f"#{k:02d}" for k in range(100)]
+    out = [r.text for r in pii.replace(spark.createDataFrame([(k, f"see {e}.") for k, e in enumerate(old)], "doc_id long, text string"), "k", {"code": r"#\d{2}"}, "#").collect()]
+    assert len(set(out)) == 100 and not {f"see {e}." for e in old} & set(out)
+    six = spark.createDataFrame([("f00d::1", "ip", "f00d::1", 7)], "e string, type string, norm string, attempt int")
+    assert re.fullmatch(r"[0-9a-f]{4}(:[0-9a-f]{4}){7}", pii.with_surrogates(six, "k").first().made)
+
+
+def test_secrets_of_signs_and_long_entities(spark):
+    """Signs do not stay in clear; millions of characters in one entity are replaced in linear time, with their type, case and length."""
+    rng = random.Random(4)
+    dump = lambda n, of: "".join(rng.choices(of, k=n))
+    old = {0: "password=!@#$%^&*()", 1: "password=******", 2: dump(4_000_000, "0123456789abcdef"), 3: dump(1000, "0123456789ABCDEF"), 4: "password=" + dump(200_000, "abcXYZ019-_"), 5: dump(50_000, "ab1") + "@mail.example.com"}
+    df = spark.createDataFrame([(k, f"one {e} two") for k, e in old.items()], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(df, "k").collect()}
+    kinds = ["secret", "secret", "token", "token", "secret", "email"]
+    for k, e in old.items():
+        new = out[k].text.removeprefix("one ").removesuffix(" two")
+        assert out[k].pii_types == kinds[k] and len(new) == len(e)
+        a, b = (x.removeprefix("password=") for x in (e, new))
+        # About as many characters stay as chance has it, and no run of them.
+        assert sum(x == y for x, y in zip(a, b, strict=True)) <= max(3, 0.45 * len(a)) and a[:40] not in b and a[-60:-30] not in b or k < 2
+    assert re.fullmatch("password=[" + re.escape(pii._SIGNS) + "]{10}", out[0].text.split()[1]) and "!@#" not in out[0].text and "***" not in out[1].text
+    assert re.fullmatch("[0-9a-f]+", out[2].text.split()[1]) and re.fullmatch("[0-9A-F]+", out[3].text.split()[1]) and out[5].text.split()[1].endswith("@mail.example.com")
+
+
 def test_language(spark, docs, empty):
     words = {"en": "the of and that with from this there".split(), "de": "der und nicht mit eine auch zwischen über".split(), "fr": "le que dans pour être français où mais".split()}
     rng = random.Random(2)
