@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import neighbours
+from .staging import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -31,54 +34,16 @@ def rubric_features(df: DataFrame, vector: str, rubrics: DataFrame, key: str, sc
     return df.select(key, F.inline(each))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, least: float, pivots: int = 64, block: int = 2000) -> DataFrame:
-    """(kind, a, b, similarity): every pair of different vectors with a cosine of at least ``least``, exactly, and the class of every row.
+def similar_pairs(df: DataFrame, key: str, vector: str, least: float, recall: float = 0.95, target: int = 1024) -> DataFrame:
+    """(kind, a, b, similarity): pairs of different vectors with a cosine of at least ``least``, and the class of every row with a vector.
 
     Equal vectors are one class (``class`` rows: representative, row, 1); ``link`` rows pair representatives, a < b.
-    Representatives belong to the nearest of ``pivots`` of them (chosen by hash, a bounded table) and are also sent to
-    each pivot that is farther by at most twice the distance of a similar pair: by the triangle inequality a similar
-    pair meets at the pivot of its smaller key, so no pair is lost and none is compared twice there.  Each pivot
-    compares blocks of vectors by matrix products.  Null, empty and zero vectors, and those of another length than
-    the pivots, are in no pair.
+    Pairs meet in the index of `neighbours` and are scored exactly: all of them while there are at most ``target``
+    different vectors (or ``recall`` is 1, at a quadratic cost in blocks), each with the chance ``recall`` beyond that.
+    Null, empty, zero and not finite vectors are in no pair; vectors of different lengths are never similar.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = df.where(F.size(vector) > 0).select(F.col(key).cast("long").alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
-    reps = rows.groupBy("_v").agg(F.min("_k").alias("_rep"))
-    classes = rows.join(reps, "_v").select(F.lit("class").alias("kind"), F.col("_rep").alias("a"), F.col("_k").alias("b"), F.lit(1.0).alias("similarity"))
-    chosen = [r[0] for r in reps.orderBy(F.xxhash64("_rep"), "_rep").limit(pivots).select("_v").collect()]
-    empty = rows.select(F.lit("link").alias("kind"), F.col("_k").alias("a"), F.col("_k").alias("b"), F.lit(1.0).alias("similarity")).where("false")
-    if not chosen or not (dims := max(map(len, chosen))):
-        return classes.unionByName(empty)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    centre = unit(np.array([v for v in chosen if len(v) == dims]))
-    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
-
-    def deal(batches):
-        for b in batches:
-            keep = [i for i, v in enumerate(b.column("_v").to_pylist()) if len(v) == dims and any(v)]
-            if not keep:
-                continue
-            m = unit(np.array([b.column("_v")[i].as_py() for i in keep]))
-            far = np.sqrt(np.maximum(0, 2 - 2 * m @ centre.T))
-            home = far.argmin(1)
-            at, cell = np.nonzero(far <= far.min(1)[:, None] + reach)
-            ids = b.column("_rep").to_numpy()[keep]
-            yield pa.record_batch([pa.array(cell.astype(np.int32)), pa.array(cell == home[at]), pa.array(ids[at]), pa.array([m[i].tobytes() for i in at], pa.binary())], names=["cell", "own", "id", "unit"])
-
-    def compare(t: pa.Table) -> pa.Table:
-        ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
-        m = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, dims)
-        mine, out = np.flatnonzero(own), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for i in range(0, len(mine), block):
-            x = mine[i : i + block]
-            for j in range(0, len(m), block):
-                s = m[x] @ m[j : j + block].T
-                p, q = np.nonzero((s >= least) & (ids[x][:, None] < ids[None, j : j + block]))
-                out.append((ids[x[p]], ids[j + q], s[p, q]))
-        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "similarity": pa.array(s)})
-
-    links = reps.select("_rep", "_v").mapInArrow(deal, "cell int, own boolean, id long, unit binary").groupBy("cell").applyInArrow(compare, "a long, b long, similarity double")
-    return classes.unionByName(links.select(F.lit("link").alias("kind"), "a", "b", "similarity"))
+    units, members = neighbours.classes(df, key, vector)
+    units = cut(units)
+    tables, bits = (1, 0) if recall >= 1 else neighbours.plan(units.count(), least, recall, target)
+    out = members.select(F.lit("class").alias("kind"), F.col("id").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
+    return out.unionByName(neighbours.links(units, least, tables, bits).select(F.lit("link").alias("kind"), "a", "b", "similarity"))

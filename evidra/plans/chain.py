@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import claims, heads, learning, registry, scoring, vectors
+from ..operators import claims, greedy, heads, learning, neighbours, registry, scoring, vectors
 from ..sources import adapters as src
 from .catalog import _board, _CELL_OUT, cells_sql, norm_sql, pair, r6
 
@@ -241,7 +241,26 @@ def typed_rows(spark, d):
 select 'class' as kind, rep as a, vec_id as b, 1e0 as similarity from e join r on e.v = r.v union all
 select 'link', x.rep, y.rep, round(list_cosine_similarity(x.v, y.v), 6) from r x join r y on x.rep < y.rep where list_cosine_similarity(x.v, y.v) >= 0.4""")
 def similar_vectors(spark, d):
-    return r6(vectors.similar_pairs(src.table(spark, d, "embeddings"), "vec_id", "embedding", 0.4, pivots=8), "similarity")  # random vectors: few are nearer
+    return r6(vectors.similar_pairs(src.table(spark, d, "embeddings"), "vec_id", "embedding", 0.4), "similarity")  # random vectors: few are nearer
+
+
+@pair(None)
+def greedy_clusters(spark, d):
+    """Clusters of all vectors in the order of their ids; a test compares the operator with one pass over the rows."""
+    rows = src.table(spark, d, "embeddings")
+    return r6(greedy.numbered(greedy.clusters(rows, "vec_id", "embedding", "vec_id"), rows, "vec_id", "vec_id"), "similarity")
+
+
+@pair("""with e as (select vec_id, cast(label as varchar) as label, vec_id // 10 as g, cast(embedding as double[]) as v from embeddings),
+p as (select a.vec_id, b.label, list_cosine_similarity(a.v, b.v) as s, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as place from e a join e b on a.g <> b.g and b.label is not null),
+c as (select vec_id, label, count(*) as n, sum(s) as s, max(s) as m from p where place <= 5 group by 1, 2),
+t as (select vec_id, sum(n) as neighbours, min(struct_pack(n := -n, l := label)) as top, sum(s) as s, max(m) as m, string_agg(label || '=' || cast(n as varchar), ',' order by label) as votes from c group by 1)
+select vec_id, cast(neighbours as bigint) as neighbours, votes, (top).l as label, round(-(top).n * 1e0 / neighbours, 6) as share, round(1 + (top).n * 1e0 / neighbours, 6) as disagreement, round(s / neighbours, 6) as mean_similarity, round(m, 6) as max_similarity from t""")
+def neighbour_labels(spark, d):
+    rows = src.table(spark, d, "embeddings").withColumn("thread", F.floor(F.col("vec_id") / 10))
+    out = neighbours.label_features(rows, "vec_id", "embedding", "thread", "label", expected=0.5)
+    votes = F.array_join(F.transform(F.map_entries("shares"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * F.col("neighbours")).cast("int").cast("string"))), ",")
+    return r6(out.withColumn("votes", votes).drop("shares"), "share", "disagreement", "mean_similarity", "max_similarity")
 
 
 def _labelled(spark, d):

@@ -80,13 +80,14 @@ def test_typed_rows_and_coverage(spark):
     assert got == {("status", "registry"): 1, ("status", "versioned_unregistered"): 1, ("status", "unknown"): 1, ("status", "unversioned"): 1, ("unspecified", "q"): 1, ("unspecified", "unknown"): 1, ("unregistered", "b-2"): 1}
 
 
-@pytest.mark.parametrize("pivots", [1, 5, 40])
-def test_similar_pairs(spark, pivots):
-    rng = np.random.default_rng(pivots)
+@pytest.mark.parametrize("seed, block", [(1, 2048), (5, 17)])
+def test_similar_pairs(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(vectors.neighbours, "BLOCK", block)
+    rng = np.random.default_rng(seed)
     base = rng.normal(size=(12, 6))
     v = [*(base[rng.integers(12)] + rng.normal(size=6) * 0.3 for _ in range(120)), base[0], base[0], np.zeros(6)]
     rows = [(k, [float(x) for x in y]) for k, y in enumerate(v)] + [(900, []), (901, None), (902, [1.0, 2.0])]
-    got = vectors.similar_pairs(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 0.9, pivots, block=17).collect()
+    got = vectors.similar_pairs(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 0.9).collect()
     links, classes = [(r.a, r.b) for r in got if r.kind == "link"], {r.b: r.a for r in got if r.kind == "class"}
     unit = {k: y / np.linalg.norm(y) for k, y in enumerate(v) if k != 122}
     reps = sorted({classes[k] for k in unit})
