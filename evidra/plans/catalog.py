@@ -598,4 +598,4 @@ def exclusion_reasons(spark, d):
     return _flagged(spark, d).select("doc_id", extract.exclusion(rules).alias("reason"))
 
 
-from . import chain, more  # noqa: E402, F401  register further queries
+from . import chain, heads, more  # noqa: E402, F401  register further queries
