@@ -1,8 +1,11 @@
 """Scores of entities from weighted observations.
 
 All functions take observations (see `sources.adapters`) and the columns that
-make up a cell; caps run as windows that share the cell as partition prefix,
-so one exchange serves all stages and the aggregation after them.
+make up a cell.  No step holds the rows of a cell together: rows that share a
+cell, all capped keys and a value become one row of sums, partly before the
+shuffle; a cap needs the sums of (cell, key) and of the cell; and a cap can hold
+for fewer than 1 / cap keys of a cell, so the factors of a stage are a small
+table.  Those sums are checkpointed once and read by every stage.
 """
 
 from __future__ import annotations
@@ -12,6 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import cut
+
+#: Factors of a stage up to this number are broadcast (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Share of a cell's weight that one key may hold, in the order of application.
 CAPS = (("thread_id", 0.12), ("author_id", 0.15), ("community_id", 0.35), ("platform", 0.60))
 #: Warnings are raised above these shares of the capped weight, in this order.
@@ -31,39 +38,57 @@ def score_value() -> Column:
     return F.when(zero, 0.0).otherwise((F.col("polarity") + 2) * 25.0)
 
 
-def capped(obs: DataFrame, cell: Sequence[str] = CELL, caps=CAPS) -> DataFrame:
-    """Adds ``capped``: the weight after the caps, applied one after the other.
+def _with(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the other columns of ``other``, joined on columns that may be null."""
+    right = other.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in other.columns])
+    return df.join(right, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on], how).drop(*[f"_r_{c}" for c in on])
+
+
+def _lowered(df: DataFrame, factors: DataFrame, on: Sequence[str], small: bool) -> DataFrame:
+    out = _with(df, F.broadcast(factors) if small else factors, on, "left")
+    return out.withColumn("factor", F.col("factor") * F.coalesce("_f", F.lit(1.0))).drop("_f")
+
+
+def cap_factors(sums: DataFrame, cell: Sequence[str], caps=CAPS) -> tuple[DataFrame, list[tuple[DataFrame, list[str], bool]]]:
+    """(``sums`` with ``factor``; the factors of each stage that lowers something): caps one after the other over sums (*cell, *keys, weight, ...).
 
     A null key is not capped but counts in the total; a stage with at most one
     key in the cell is skipped; nothing is normalised afterwards.
     """
-    out = obs.withColumn("capped", F.col("weight"))
-    whole = Window.partitionBy(*cell)
+    spark, stages = sums.sparkSession, []
+    out = sums.withColumn("factor", F.lit(1.0))
     for key, cap in caps:
-        group = Window.partitionBy(*cell, key)
-        out = (
-            out.withColumn("_total", F.sum("capped").over(whole)).withColumn("_group", F.sum("capped").over(group))
-            .withColumn("_several", F.min(key).over(whole) < F.max(key).over(whole))
-            .withColumn("capped", F.when(F.col(key).isNotNull() & F.coalesce("_several", F.lit(False)) & (F.col("_group") > cap * F.col("_total")), F.col("capped") * cap * F.col("_total") / F.col("_group")).otherwise(F.col("capped")))
-        )
-    return out.drop("_total", "_group", "_several")
+        group = out.groupBy(*cell, key).agg(F.sum(F.col("weight") * F.col("factor")).alias("_g"))
+        total = group.groupBy(*cell).agg(F.sum("_g").alias("_t"), (F.min(key) < F.max(key)).alias("_several"))
+        over = _with(group, total, cell).where(F.col(key).isNotNull() & F.col("_several") & (F.col("_g") > cap * F.col("_t"))).select(*cell, key, (cap * F.col("_t") / F.col("_g")).alias("_f"))
+        rows = over.limit(BROADCAST_ROWS + 1).collect()
+        small = len(rows) <= BROADCAST_ROWS
+        if not rows:
+            continue
+        over = spark.createDataFrame(rows, over.schema) if small else cut(over)
+        stages.append((over, [*cell, key], small))
+        out = _lowered(out, *stages[-1])
+    return out, stages
+
+
+def _sums(obs: DataFrame, cell: Sequence[str], caps=CAPS, value: Column | None = None, **more: Column) -> DataFrame:
+    """(*cell, *keys, v, weight, squares, n, *more): what caps and moments need of the rows, checkpointed."""
+    keys = [k for k, _ in caps if k not in cell]
+    rows = obs.withColumn("v", F.lit(None).cast("double") if value is None else value)
+    return cut(rows.groupBy(*cell, *keys, "v").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("weight")).alias("squares"), F.count("*").alias("n"), *[c.alias(n) for n, c in more.items()]))
 
 
-def collapsed(obs: DataFrame, cell: Sequence[str] = CELL, caps=CAPS) -> DataFrame:
-    """`capped` for cells of any size: rows that share all keys of a cell have one factor, so they are summed first and the factor joined back.
-
-    Use it where one cell is larger than a task should hold.
-    """
-    keys = [*cell, *(k for k, _ in caps)]
-    sums = capped(obs.groupBy(*keys).agg(F.sum("weight").alias("weight")), cell, caps).withColumn("_factor", F.when(F.col("weight") != 0, F.col("capped") / F.col("weight")).otherwise(1.0))
-    factors = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], "_factor")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return obs.join(factors, on).withColumn("capped", F.col("weight") * F.col("_factor")).drop("_factor", *[f"_{k}" for k in keys])
+def capped(obs: DataFrame, cell: Sequence[str] = CELL, caps=CAPS) -> DataFrame:
+    """Adds ``capped``: the weight after the caps, applied one after the other (see `cap_factors`)."""
+    out = obs.withColumn("factor", F.lit(1.0))
+    for stage in cap_factors(_sums(obs, cell, caps), cell, caps)[1]:
+        out = _lowered(out, *stage)
+    return out.withColumn("capped", F.col("weight") * F.col("factor")).drop("factor")
 
 
-def ess(w: str) -> Column:
-    """Effective sample size (sum w)^2 / sum w^2."""
-    return F.coalesce(F.try_divide(F.sum(w) * F.sum(w), F.sum(F.col(w) * F.col(w))), F.lit(0.0))
+def ess(w: Column, squares: Column) -> Column:
+    """Effective sample size (sum w)^2 / sum w^2, from the two sums."""
+    return F.coalesce(F.try_divide(w * w, squares), F.lit(0.0))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -81,17 +106,22 @@ def tier(n: Column, provisional: float = 30, ranked: float = 150) -> Column:
 
 def cell_scores(obs: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     """Score, weights, effective size, interval, warnings and blockers of each cell."""
-    rows = capped(obs, cell).withColumn("v", score_value())
-    whole = Window.partitionBy(*cell)
-    rows = rows.withColumn("_w", F.sum("capped").over(whole)).withColumn("_mean", F.coalesce(F.try_divide(F.sum(F.col("capped") * F.col("v")).over(whole), F.col("_w")), F.lit(0.0)))
-    for key, _ in WARN:
-        rows = rows.withColumn(f"_{key}", F.when(F.col(key).isNotNull(), F.sum("capped").over(Window.partitionBy(*cell, key))))
-    share = lambda key: F.coalesce(F.try_divide(F.max(f"_{key}"), F.first("_w")), F.lit(0.0)).alias(f"{key}_share")
-    out = rows.groupBy(*cell).agg(
-        F.first("_mean").alias("score"), F.sum("weight").alias("weighted_n"), F.sum("capped").alias("capped_n"), ess("capped").alias("ess"),
-        F.sum(F.col("capped") * F.pow(F.col("v") - F.col("_mean"), 2)).alias("_ss"), *[share(k) for k, _ in WARN],
-        F.count("*").alias("observations"), F.countDistinct("thread_id").alias("threads"), F.countDistinct("author_id").alias("authors"), F.avg(F.col("firsthand_flag").cast("double")).alias("firsthand_ratio"),
+    sums, _ = cap_factors(_sums(obs, cell, CAPS, score_value(), firsthand=F.sum(F.col("firsthand_flag").cast("long")), flagged=F.count("firsthand_flag")), cell)
+    w = F.col("weight") * F.col("factor")
+    levels = sums.groupBy(*cell, "v").agg(
+        F.sum(w).alias("w"), F.sum(F.col("squares") * F.col("factor") * F.col("factor")).alias("s"), F.sum("weight").alias("weight"), F.sum("n").alias("n"), F.sum("firsthand").alias("firsthand"), F.sum("flagged").alias("flagged")
+    )
+    # A value has few levels: their deviations are exact where a difference of large moments would not be.
+    level = F.struct("v", "w", (F.col("w") * F.col("v")).alias("wv"))
+    out = levels.groupBy(*cell).agg(
+        F.sum("weight").alias("weighted_n"), F.sum("w").alias("capped_n"), F.sum("s").alias("_s"), F.sum(F.col("w") * F.col("v")).alias("_wv"), F.collect_list(level).alias("_levels"), F.sum("n").alias("observations"), F.try_divide(F.sum("firsthand"), F.sum("flagged")).alias("firsthand_ratio")
     )
+    out = out.withColumn("score", F.coalesce(F.try_divide("_wv", "capped_n"), F.lit(0.0))).withColumn("ess", ess(F.col("capped_n"), F.col("_s")))
+    out = out.withColumn("_ss", F.aggregate("_levels", F.lit(0.0), lambda t, x: t + F.coalesce(x["w"] * F.pow(x["v"] - F.col("score"), 2), F.lit(0.0))))
+    for key, _ in WARN:
+        per = sums.groupBy(*cell, key).agg(F.sum(w).alias("_w")).groupBy(*cell).agg(F.max(F.when(F.col(key).isNotNull(), F.col("_w"))).alias(f"_{key}"), F.count(key).alias(f"_n_{key}"))
+        out = _with(out, per, cell).withColumn(f"{key}_share", F.coalesce(F.try_divide(f"_{key}", "capped_n"), F.lit(0.0)))
+    out = out.select(*cell, "score", "weighted_n", "capped_n", "ess", "_ss", *[f"{k}_share" for k, _ in WARN], "observations", F.col("_n_thread_id").alias("threads"), F.col("_n_author_id").alias("authors"), "firsthand_ratio")
     half = F.when(F.col("ess") > 1, 1.96 * F.sqrt(F.try_divide(F.col("_ss"), F.col("capped_n")) / F.col("ess"))).otherwise(0.0)
     out = out.withColumn("ci_low", F.greatest(F.lit(0.0), F.col("score") - half)).withColumn("ci_high", F.least(F.lit(100.0), F.col("score") + half)).withColumn("tier", tier(F.col("ess")))
     warn = [F.when(F.col("ess") < 30, "low_sample"), *[F.when(F.col(f"{k}_share") > s, f"{k}_concentration") for k, s in WARN]]
@@ -110,12 +140,15 @@ def overall(scores: DataFrame, entity: str = "model_id", weights=OVERALL) -> Dat
 
 def pool_tier(obs: DataFrame, entity: str) -> DataFrame:
     """Effective size and tier of the whole pool of an entity, capped over the pool."""
-    return capped(obs, (entity,)).groupBy(entity).agg(ess("capped").alias("ess")).withColumn("tier", tier(F.col("ess"), 15, 50))
+    sums, _ = cap_factors(_sums(obs, (entity,)), (entity,))
+    f = F.col("factor")
+    return sums.groupBy(entity).agg(ess(F.sum(F.col("weight") * f), F.sum(F.col("squares") * f * f)).alias("ess")).withColumn("tier", tier(F.col("ess"), 15, 50))
 
 
 def source_mix(obs: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
     """Share of the capped weight of each platform of a cell, one row each."""
-    per = capped(obs, cell).groupBy(*cell, "platform").agg(F.sum("capped").alias("w"))
+    sums, _ = cap_factors(_sums(obs, cell), cell)
+    per = sums.groupBy(*cell, "platform").agg(F.sum(F.col("weight") * F.col("factor")).alias("w"))
     return per.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(*cell))).drop("w")
 
 

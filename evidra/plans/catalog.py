@@ -91,7 +91,7 @@ def provider_rollup(spark, d):
 
 @pair(f"with {OBS}, {caps_sql('model_id, aspect')} select model_id, aspect, count(*) as n, count(*) filter (capped < weight) as lowered, round(sum(capped), 6) as capped_n from c4 group by 1, 2")
 def contribution_caps(spark, d):
-    out = scoring.collapsed(src.observations(spark, d)).groupBy("model_id", "aspect").agg(F.count("*").alias("n"), F.count_if(F.col("capped") < F.col("weight")).alias("lowered"), F.sum("capped").alias("capped_n"))
+    out = scoring.capped(src.observations(spark, d)).groupBy("model_id", "aspect").agg(F.count("*").alias("n"), F.count_if(F.col("capped") < F.col("weight")).alias("lowered"), F.sum("capped").alias("capped_n"))
     return r6(out, "capped_n")
 
 
