@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The five entities that have a built-in replacement; ``&amp;`` last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: A character reference of HTML: decimal, hexadecimal, or up to 32 characters of a name.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names that may also stand without a semicolon are at most this long: they count where they begin a longer word.
+SHORT_NAME = max(len(n) for n in html5 if not n.endswith(";"))
+#: Numbers 128 to 159 mean the characters of Windows-1252, by the standard; five of them have none there and stay.
+WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 #: Who speaks, what shows use, and phrases that show it alone.
 FIRST_PERSON = "i|we|i've|we've|i'd|we'd|i'm|we're"
 USAGE_VERBS = (
@@ -38,29 +41,40 @@ def nz(c: Column | str) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def unescape(c: Column) -> Column:
-    """All named and numeric entities, by the standard table; Arrow batches, as no built-in function has that table."""
+def _numbered(n: Column) -> Column:
+    """The character of a number in a reference: none for control characters and the like, U+FFFD where there is no such character."""
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    control = ((n < 32) & ~n.isin(9, 10, 12, 13)) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    return (
+        F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(n == 13, "\r").when(n.between(128, 159), F.substring(F.lit(WINDOWS), (n - 127).cast("int"), 1)).when(control, "").otherwise(char)
+    )
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
 
-    return run(c)
+def _entity(e: Column) -> Column:
+    """What one reference stands for; an unknown name stays as it is."""
+    table = F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in html5.items())), F.lit("\x01"), F.lit("\x02"))
+    digits = F.regexp_replace(e, r"^&#[xX]?0*|;$", "")
+    # A number of more than nine digits is no character; the rest fits.
+    number = F.when(F.length(digits) > 9, F.lit(0x110000).cast("long")).when(digits == "", F.lit(0).cast("long")).otherwise(F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+    name = F.substring(e, 2, 40)
+    begun = [F.concat(F.try_element_at(table, F.left(name, F.lit(k))), F.substring(name, k + 1, 40)) for k in range(SHORT_NAME, 1, -1)]
+    return F.when(e.startswith("&#"), _numbered(number)).otherwise(F.coalesce(F.try_element_at(table, name), *begun, e))
 
 
-def strip_html(c: Column, all_entities: bool = False) -> Column:
-    """Tags become spaces, then entities are unescaped: the five common ones, or all of them."""
-    out = F.regexp_replace(c, "<[^>]+>", " ")
-    if all_entities:
-        return unescape(out)
-    for a, b in ENTITIES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+def unescape(c: Column) -> Column:
+    """All named and numeric references, once each, by the standard table; texts without ``&`` are not searched."""
+    parts = F.zip_with(F.split(c, ENTITY, -1), F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), _entity), lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
+def strip_html(c: Column) -> Column:
+    """Tags become spaces, then references are unescaped."""
+    return unescape(F.regexp_replace(c, "<[^>]+>", " "))
 
 
-def normalize(c: Column, all_entities: bool = False) -> Column:
+def normalize(c: Column) -> Column:
     """Without tags, white space collapsed, trimmed; null is empty."""
-    return F.trim(F.regexp_replace(strip_html(F.coalesce(c, F.lit("")), all_entities), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(strip_html(F.coalesce(c, F.lit(""))), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def hash_identifier(c: Column, salt: str) -> Column:

@@ -8,6 +8,7 @@ rounded to six digits on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -317,12 +318,29 @@ def label_set_difference(spark, d):
 
 # --------------------------------------------------------------- text and linking
 
-_STRIP = "replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _unescape_sql() -> str:
+    """`text.unescape` of a column x: the standard table as a map, numbers by their rules; texts without & are not searched."""
+    names = f"map([{', '.join(map(_quoted, html5))}], [{', '.join(map(_quoted, html5.values()))}])"
+    digits = "regexp_replace(regexp_replace(e, '^&#[xX]?0*', ''), ';$', '')"
+    n = f"case when length({digits}) > 9 then 1114112 when {digits} = '' then 0 when regexp_matches(e, '^&#[xX]') then cast('0x' || {digits} as bigint) else cast({digits} as bigint) end"
+    number = f"list_transform([{n}], lambda n: case when n = 0 or n between 55296 and 57343 or n > 1114111 then chr(65533) when n = 13 then chr(13) when n between 128 and 159 then substr({_quoted(T.WINDOWS)}, cast(n as int) - 127, 1) when (n < 32 and n not in (9, 10, 12)) or n = 127 or n between 64976 and 65007 or n % 65536 >= 65534 then '' else chr(cast(n as int)) end)[1]"
+    begun = ", ".join(f"m[left(substr(e, 2), {k})] || substr(e, {k + 2})" for k in range(T.SHORT_NAME, 1, -1))
+    parts = f"list_transform(regexp_extract_all(x, {_quoted(T.ENTITY)}), lambda e: case when starts_with(e, '&#') then {number} else list_transform([{names}], lambda m: coalesce(m[substr(e, 2)], {begun}, e))[1] end)"
+    return f"case when contains(x, '&') then list_reduce(list_transform(list_zip(regexp_split_to_array(x, {_quoted(T.ENTITY)}), {parts}), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), lambda a, b: a || b) else x end"
+
+
+_UNESCAPE = _unescape_sql()
 _SPACE = r"[\s\x0B\x{85}\p{Z}\x1C-\x1F]+"
 
 
 def norm_sql(x: str) -> str:
-    return f"trim(regexp_replace({_STRIP.format(x=f'coalesce({x}, {chr(39)}{chr(39)})')}, '{_SPACE}', ' ', 'g'))"
+    """A list of one text, so that the text is written once."""
+    stripped = f"regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g')"
+    return f"trim(regexp_replace(list_transform([{stripped}], lambda x: {_UNESCAPE})[1], '{_SPACE}', ' ', 'g'))"
 
 
 @pair(f"select page_id, {norm_sql('html')} as text from pages")

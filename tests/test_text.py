@@ -1,3 +1,6 @@
+import html
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
@@ -8,6 +11,18 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first().y
 
 
+def test_every_reference_as_the_standard_has_it(spark):
+    """All names with and without a semicolon and before letters, numbers of all kinds, and what is no reference."""
+    texts = [f"a &{n} b &{n}x &{n.rstrip(';')}y;" for n in html5]
+    texts += [f"&#{n}; &#x{n:x} &#X{n:X};z" for n in [*range(400), 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0x1FFFE, 0x10FFFF, 0x110000, 10**12, 0x1F600, 8364]]
+    texts += ["&", "&&&\nThe", "&#;", "&#x;", "&amp;lt;", "&#0000000000065;", "&notit; &notin; &ampx &AMPx&&lt;<b>", "I&#x27;ve &#x2F; &nbsp;&eacute", ""]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", T.unescape(F.col("t")).alias("u")).collect()}
+    assert got.pop(-1) is None and got == {i: html.unescape(t) for i, t in enumerate(texts)}
+    row = df.limit(1).select(T.is_firsthand(T.normalize(F.lit("I&#x27;ve&nbsp;used it"))).alias("a"), (T.fingerprint(F.lit("a &lt;b")) == T.fingerprint(F.lit("A\u00a0&#60;b"))).alias("b")).first()
+    assert row.a and row.b
+
+
 def test_normalize(spark):
     assert one(spark, "<p>a &lt;b&gt;</p>\n\t c &amp;amp; ", T.normalize) == "a <b> c &amp;"
     assert one(spark, None, T.normalize) == ""
