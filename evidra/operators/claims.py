@@ -168,7 +168,7 @@ def features(rows: DataFrame, rules: Rules, names: str) -> DataFrame:
         - if_(T.starts_with(lower, REPORTED), 4) - if_(F.col("_hard"), 6)
     )
     out = settled(out, **{
-        "exclusion": reason, "evidence_type": evidence[0], "claim_type": F.when(F.col("polarity") > 0, "praise").when(F.col("polarity") < 0, "complaint").otherwise("neutral"),
+        "exclusion": reason, "evidence_type": evidence[0], "claim_type": extract.claim_type(F.col("polarity")),
         "severity": extract.severity(F.col("polarity"), F.lit(1)), "confidence": extract.confidence(n > 0, F.col("_terms"), F.col("firsthand_flag"), F.col("both_parts")), "span_score": score,
     })
     return out.withColumn("relevant", (n > 0) & F.col("exclusion").isNull()).drop(*lists, "_hard", "_terms")

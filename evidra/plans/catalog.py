@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import decisions, dedup, evaluation, extract, learning, linking, review, scoring, vectors
+from ..operators.staging import cut
 from ..sources import adapters as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -409,7 +410,7 @@ def _n(terms) -> str:
 @pair(f"""with a as (select doc_id, lower(text) as l from documents), n as (select doc_id, {_n(_LEXICON['article'])} as a, {_n(_LEXICON['join'])} as j, {_n(_LEXICON['place'])} as p, {_n(_POSITIVE)} as pos, {_n(_NEGATIVE)} as neg from a),
 q as (select *, greatest(-2, least(2, pos - neg)) as polarity from n)
 select doc_id, a as n_article, j as n_join, p as n_place, case when greatest(a, j, p) = 0 then 'none' when a = greatest(a, j, p) then 'article' when j = greatest(a, j, p) then 'join' else 'place' end as category, polarity,
-case when polarity > 0 then 'positive' when polarity < 0 then 'negative' else 'neutral' end as claim_type, round(least(1e0, abs(polarity) / 2e0 + 0.15 * ((a > 0)::int + (j > 0)::int + (p > 0)::int)), 6) as severity from q""")
+case when polarity > 0 then 'praise' when polarity < 0 then 'complaint' else 'neutral' end as claim_type, round(least(1e0, abs(polarity) / 2e0 + 0.15 * ((a > 0)::int + (j > 0)::int + (p > 0)::int)), 6) as severity from q""")
 def lexicon_labels(spark, d):
     spans = src.table(spark, d, "documents").select("doc_id", F.col("text").alias("span"))
     out = extract.labelled(spans, _LEXICON, ("article", "join", "place"), _POSITIVE, _NEGATIVE, "none")
@@ -437,6 +438,12 @@ def simhash_pairs(spark, d):
     return dedup.signature_links(dedup.simhash(src.table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
+@pair(None)
+def simhash_groups(spark, d):
+    """The group of near copies of every document; a test compares the operator with all pairs."""
+    return dedup.near_groups(cut(dedup.simhash(src.table(spark, d, "documents"), "doc_id", "text")), "doc_id")
+
+
 @pair("with c as (select label, list(m order by k) as centroid from (select label, k, avg(x::double) as m from (select label, unnest(embedding) as x, unnest(range(1, len(embedding) + 1)) as k from embeddings) group by 1, 2) group by 1) select e.vec_id, c.label, round(list_cosine_similarity(e.embedding::double[], c.centroid), 6) as feature from embeddings e, c")
 def rubric_features(spark, d):
     e = src.table(spark, d, "embeddings")
