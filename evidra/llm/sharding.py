@@ -54,15 +54,17 @@ def capacity(units: DataFrame, shards: int, steps: int = 50) -> DataFrame:
     )
 
 
-def minimax(rows: DataFrame, shards: int, unit_bits: int = 14, split: int = 256, rounds: int = 100, scope: str = "") -> tuple[int, list[int]]:
+def minimax(rows: DataFrame, shards: int, unit_bits: int = 14, split: int = 256, scope: str = "") -> tuple[int, list[int]]:
     """(capacity, cuts) of rows (h long, size long): the smallest capacity for groups of equal ``h`` in their order, and the first ``h`` of each later shard.
 
-    Each round refines at most ``shards`` ranges and those above the capacity;
-    after ``rounds`` of them the result is the minimax of the ranges so far.
+    Each round refines at most ``shards`` ranges and those above the capacity,
+    until none of them can change the result.  A range that is refined becomes
+    up to ``split`` narrower ones, and a range of one hash is not refined, so
+    the rounds end.
     """
     sums = F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("size").alias("bytes")
     units = common.staged(rows.groupBy(F.shiftright("h", 64 - unit_bits).alias("u")).agg(*sums).drop("u"), "units", scope)  # at most 2^unit_bits rows
-    for _ in range(rounds):
+    while True:
         best = capacity(units.select(F.col("lo").alias("unit"), "bytes"), shards).first()  # at most ``shards`` numbers
         tight = F.array(*map(F.lit, best.tight)).cast("array<bigint>")
         open_ = units.where((F.col("lo") < F.col("hi")) & (F.array_contains(tight, F.col("lo")) | (F.col("bytes") >= best.capacity)))
