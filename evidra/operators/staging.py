@@ -1,13 +1,34 @@
-"""Cutting lineage, and numbering rows, in ways that hold for tables of any size."""
+"""Sending the package to executors, cutting lineage, and numbering rows, in ways that hold for tables of any size."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the whole package to the executors, once for each application, so that tasks can import any part of it.
+
+    One archive: of two that hold parts of one package a worker would see the first alone.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_evidra_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    to = os.path.join(tempfile.mkdtemp(prefix="evidra-"), "evidra_package.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, names in sorted(os.walk(top)):
+            for f in sorted(names):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join("evidra", os.path.relpath(folder, top), f))
+    sc.addPyFile(to)
+    sc._evidra_shipped = True
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
     """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
