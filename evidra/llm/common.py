@@ -12,7 +12,6 @@ import itertools
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import staging
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Text handled at once inside a task; longer documents are handled alone.
 BLOCK_BYTES = 1 << 20
@@ -96,26 +97,15 @@ def open_fs(path: str):
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each application, so that tasks can import it.
+    """Sends the package to the executors once for each application, so that tasks can import it.
 
     Texts are long: Arrow batches of the default size are made smaller, for
     this session; sizes that the user has set stay.
     """
-    sc = spark.sparkContext
     for key, default, size in (("maxRecordsPerBatch", ("10000",), "1000"), ("maxBytesPerBatch", (None, "64MB", "67108864b", "67108864"), "2m")):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in default:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", size)
-    if _STAGED.get("_shipped") == [sc.applicationId]:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    to = os.path.join(tempfile.mkdtemp(prefix="evidra-"), "evidra_llm.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for sub in ("", "llm"):
-            for f in sorted(os.listdir(os.path.join(top, sub))):
-                if f.endswith(".py"):
-                    z.write(os.path.join(top, sub, f), os.path.join("evidra", sub, f))
-    sc.addPyFile(to)
-    _STAGED["_shipped"] = [sc.applicationId]
+    staging.ship(spark)
 
 
 # ------------------------------------------------------------- bytes and words
