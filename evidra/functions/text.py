@@ -181,12 +181,22 @@ def model_text(evidence: Column, context: Column, **fields: Column) -> Column:
 
 def trimmed_span(s: Column, preface: Callable[[Column], Column], question: Callable[[Column], Column]) -> Column:
     """Sentences without those at the start that are a preface, then without questions at both ends while more than one is left; null stays null."""
-    size = F.size(s)
-    kept = F.array_position(F.transform(s, lambda x: ~preface(x)), True).cast("int")
-    s = F.when(kept > 0, F.slice(s, F.greatest(kept, F.lit(1)), F.greatest(size, F.lit(0)))).when(s.isNotNull(), F.slice(s, 1, 0))
-    size = F.size(s)
-    plain = F.transform(s, lambda x: ~question(x))
-    first = F.array_position(plain, True).cast("int")
-    last = size + 1 - F.array_position(F.reverse(plain), True).cast("int")
-    # If all are questions, the last one stays.
+    s = after_preface(s, first_true(F.transform(s, lambda x: ~preface(x))))
+    return between_questions(s, F.transform(s, lambda x: ~question(x)))
+
+
+def first_true(a: Column) -> Column:
+    """The 1-based place of the first true value, 0 if there is none."""
+    return F.array_position(a, True).cast("int")
+
+
+def after_preface(s: Column, kept: Column) -> Column:
+    """Sentences from the place ``kept`` on, none if that is 0; null stays null."""
+    return F.when(kept > 0, F.slice(s, F.greatest(kept, F.lit(1)), F.greatest(F.size(s), F.lit(0)))).when(s.isNotNull(), F.slice(s, 1, 0))
+
+
+def between_questions(s: Column, plain: Column) -> Column:
+    """Sentences from the first to the last that is ``plain``, as long as more than one is left; if none is, the last one stays."""
+    size, first = F.size(s), first_true(plain)
+    last = size + 1 - first_true(F.reverse(plain))
     return F.when(size < 2, s).when(first > 0, F.slice(s, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0)))).otherwise(F.slice(s, -1, 1))

@@ -453,7 +453,7 @@ def rubric_features(spark, d):
 
 # ----------------------------------------------------------------------- learning
 
-_TOKENS = "tok as (select doc_id, lang, token, count(*) as n from (select doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents) group by 1, 2, 3)"
+_TOKENS = "tok as (select doc_id, lang, token, count(*) as n from (select doc_id, lang, lower(unnest(regexp_extract_all(text, '[a-zA-Z][a-zA-Z0-9_+-]+'))) as token from documents) group by 1, 2, 3)"
 
 
 @pair(f"with {_TOKENS} select lang, token, sum(n)::bigint as n from tok group by 1, 2")
@@ -623,4 +623,4 @@ def exclusion_reasons(spark, d):
     return _flagged(spark, d).select("doc_id", extract.exclusion(rules).alias("reason"))
 
 
-from . import chain, heads, more  # noqa: E402, F401  register further queries
+from . import chain, heads, more, reports  # noqa: E402, F401  register further queries

@@ -91,8 +91,59 @@ _CLEAN = f"case platform when 'issues' then {norm_sql(f'array_to_string({_LINES}
 _ITEMS = f"""items as (select doc_id as source_item_id, ['forum', 'qa', 'issues', 'video', 'review'][doc_id % 5 + 1] as platform, {norm_sql("substring(split_part(coalesce(text, ''), chr(10), 1), 1, 80)")} as title, coalesce(text, '') as raw,
   doc_id % 97 as thread_id, doc_id % 211 as author_id, source as community_id, doc_id % 3 = 0 as root, n_chars from documents),
 clean as (select * exclude (raw), {_CLEAN} as body from items)"""
-_OBSERVED = f"""{_ITEMS},
-sent as (select *, case when len({_split('body')}) > 0 then {_split('body')} when body <> '' then [body] else cast([] as varchar[]) end as s, title <> '' and body <> '' as both_parts, {_named('title')} as named from clean),
+#: What stands around names in these texts; `that` and `que` are the generic names of their providers.
+CONTEXT = claims.Context(
+    homonyms=(claims.Homonym(("und",), ("nicht", "sch "), 20), claims.Homonym(("with",), ("clown", "idiot"))),
+    products=(("is", "prod-is"), ("la", "prod-la"), ("die", "prod-die")), profiles=(("des", "deep"), ("was", "fast")), not_after=(" de", " th"),
+)
+_GENERIC = {"that": ("with",), "que": ("avec",)}
+
+
+def _places(x: str, alias: str, more: str = "true") -> str:
+    """Places of a whole alias in a lower-cased text that meet a condition on i."""
+    k, edge = len(alias), "'[a-z0-9]'"
+    test = f"substring({x}, i, {k}) = '{alias}' and (i = 1 or not regexp_matches(substring({x}, i - 1, 1), {edge})) and not regexp_matches(substring({x}, i + {k}, 1), {edge}) and {more}"
+    return f"case when contains({x}, '{alias}') then list_filter(range(1, length({x}) + 1), lambda i: {test}) else [] end"
+
+
+def _meant(x: str) -> str:
+    """Names of a lower-cased text in order, without homonyms."""
+    parts = []
+    for a, *_ in _ALIASES:
+        other = [_any(x if h.width is None else f"substring({x}, greatest(i - {h.width}, 1), least(i - 1, {h.width}) + {len(a) + h.width})", h.signals) for h in CONTEXT.homonyms if a in h.aliases]
+        parts.append(f"list_transform({_places(x, a, f'not ({chr(32) + (' or '.join(other) or 'false')})')}, lambda i: struct_pack(i := i, a := '{a}'))")
+    return f"list_transform(list_sort(flatten([{', '.join(parts)}])), lambda m: m.a)"
+
+
+def _product(x: str) -> str:
+    out = "case"
+    for alias, product in CONTEXT.products:
+        before, after = f"substring({x}, greatest(i - 24, 1), least(i - 1, 24))", f"substring({x}, i + {len(alias)}, 24)"
+        used = f"not contains({before}, '/') and not contains({after}, '/') and not {_any(after, CONTEXT.not_after)} and ({_any(before, CONTEXT.cues)} or {_any(after, CONTEXT.cues)})"
+        out += f" when len({_places(x, alias, used)}) > 0 then '{product}'"
+    return out + " end"
+
+
+def _linked_names(x: str) -> str:
+    out = _meant(x)
+    for general, special in _GENERIC.items():
+        out = f"list_filter({out}, lambda n: n <> '{general}' or not {_any_of(_meant(x), special)})"
+    return out
+
+
+def _any_of(names: str, wanted) -> str:
+    return "(" + " or ".join(f"list_contains({names}, '{w}')" for w in wanted) + ")"
+
+
+def _observed_sql(linked: bool) -> str:
+    """CTEs up to obs; ``linked``: names, products and profiles by what stands around them."""
+    named = (lambda x: f"(len({_meant(f'lower({x})')}) > 0)") if linked else _named
+    names = _linked_names("l") if linked else r"regexp_extract_all(' ' || regexp_replace(l, '([^a-z0-9])', '\1\1', 'g') || ' ', '[^a-z0-9](" + _NAMES + ")[^a-z0-9]', 1)"
+    profile = "case " + " ".join(f"when len({_places('l', a)}) > 0 then '{p}'" for a, p in CONTEXT.profiles) + " end"
+    places = f", {_product('l')} as product_id, {profile} as inference_profile" if linked else ""
+    key, order = (", product_id, inference_profile", ", product_id nulls first, inference_profile nulls first") if linked else ("", "")
+    return f"""{_ITEMS},
+sent as (select *, case when len({_split('body')}) > 0 then {_split('body')} when body <> '' then [body] else cast([] as varchar[]) end as s, title <> '' and body <> '' as both_parts, {named('title')} as named from clean),
 each as (select * exclude (s), s, unnest(range(1, len(s) + 1)) as i from sent),
 cand as (select source_item_id, platform, thread_id, author_id, community_id, n_chars, title, both_parts, named, 0 as place, title as raw from sent
     where title <> '' and not {_begins('lower(title)', T.LOW_SIGNAL_TITLES)} and not (platform = 'forum' and body = '' and root and not {_begins('lower(title)', claims.ROOT_TITLES)})
@@ -104,10 +155,10 @@ t2 as (select *, case when k > 0 then sp[k : len(sp)] else cast([] as varchar[])
 t3 as (select *, list_transform(s1, lambda x: not {_question('x')}) as plain from t2),
 t4 as (select *, coalesce(list_position(plain, true), 0) as f1, len(s1) + 1 - coalesce(list_position(list_reverse(plain), true), 0) as l1 from t3),
 t5 as (select *, case when place = 0 then raw else array_to_string(case when len(s1) < 2 then s1 when f1 > 0 then s1[f1 : l1] else s1[len(s1) : len(s1)] end, ' ') end as t from t4),
-t6 as (select *, case when place > 0 and named and not {_named('t')} then title || '. ' || t else t end as span from t5 where place = 0 or (length(t) >= 12 and ({_named('t')} or {_any('lower(t)', _QUALITY)}))),
+t6 as (select *, case when place > 0 and named and not {named('t')} then title || '. ' || t else t end as span from t5 where place = 0 or (length(t) >= 12 and ({named('t')} or {_any('lower(t)', _QUALITY)}))),
 once as (select * from (select *, row_number() over (partition by source_item_id, lower(span) order by place) as rn from t6) where rn = 1),
-l0 as (select source_item_id, platform, thread_id, author_id, community_id, n_chars, both_parts, cast(place as int) as place, span, lower(span) as l, replace(lower(span), 'for the', ' ') as q from once where not {_question('span')} and not {_instruction('span')} and ({_any('lower(span)', _QUALITY)} or {_named('span')})),
-l1 as (select *, regexp_extract_all(' ' || regexp_replace(l, '([^a-z0-9])', '\\1\\1', 'g') || ' ', '[^a-z0-9]({_NAMES})[^a-z0-9]', 1) as names, {_count('l', _R.hardware)} >= 2 as hard,
+l0 as (select source_item_id, platform, thread_id, author_id, community_id, n_chars, both_parts, cast(place as int) as place, span, lower(span) as l, replace(lower(span), 'for the', ' ') as q from once where not {_question('span')} and not {_instruction('span')} and ({_any('lower(span)', _QUALITY)} or {named('span')})),
+l1 as (select *, {names} as names{places}, {_count('l', _R.hardware)} >= 2 as hard,
   {' + '.join('(' + ' or '.join(f"contains({x}, '{t}')" for x in sorted(where)) + ')::int' for t, where in _TERMS.items())} as terms,
   greatest(-2, least(2, {_count('q', _R.positive)} - {_count('q', _R.negative)})) as polarity, {_primary(_R.tasks, _R.default_task)} as task, {_primary(_R.aspects, _R.default_aspect)} as aspect_category,
   {', '.join(f"{_any('l', _R.flags[k])}" + (f" or regexp_matches(l, '{_FIRSTHAND_SQL}')" if k == 'firsthand' else '') + f' as {k}_flag' for k in claims.FLAGS)},
@@ -119,22 +170,38 @@ l3 as (select *, words + 5e0 * n + 2e0 * terms + 3e0 * abs(polarity) + 6 * {_any
   least(0.95, 0.25 + 0.25 + least(0.25, 0.03 * terms) + 0.15 * firsthand_flag::int + 0.05 * both_parts::int) as confidence from l2 where n > 0 and exclusion is null),
 e1 as (select l3.* exclude (names), unnest(names) as alias, generate_subscripts(names, 1) as pos from l3),
 e2 as (select *, 'm-' || alias as model_id, case alias {' '.join(f"when '{a}' then '{p}'" for a, _, p in _ALIASES)} end as provider_id from e1),
-e3 as (select * from (select *, row_number() over (partition by source_item_id, model_id, evidence_type order by span_score desc, place, pos) as rn from e2) where rn = 1),
+e3 as (select * from (select *, row_number() over (partition by source_item_id, model_id, evidence_type{key} order by span_score desc, place, pos) as rn from e2) where rn = 1),
 obs as (select *, case aspect_category {' '.join(f"when '{a}' then {k}" for k, a in enumerate(_R.aspects))} end as aspect,
   (case platform {' '.join(f"when '{p}' then {w}e0" for p, w in _R.platform_weights.items())} end) * (case when firsthand_flag then 1.25e0 else 0.75e0 end) * least(1.4e0, 1e0 + ln(1e0 + greatest(0e0, coalesce(n_chars, 0))) / 20e0) as weight
-  from (select *, row_number() over (partition by source_item_id order by aspect_category, model_id, place, evidence_type) as nn from e3) where nn <= 24)"""
+  from (select *, row_number() over (partition by source_item_id order by aspect_category, model_id, place, evidence_type{order}) as nn from e3) where nn <= 24)"""
+
+
+_OBSERVED = _observed_sql(False)
 
 
 def observed(spark, d):
     return claims.observations(items(spark, d), catalog(spark), RULES)
 
 
+def linked(spark, d):
+    """Observations whose names, products and profiles are told by what stands around them."""
+    known = catalog(spark).withColumn("generic", F.col("alias").isin(*_GENERIC))
+    return claims.observations(items(spark, d), known, RULES, context=CONTEXT)
+
+
 @pair(f"with {_OBSERVED} select source_item_id, model_id, provider_id, task, aspect_category, evidence_type, case when polarity > 0 then 'praise' when polarity < 0 then 'complaint' else 'neutral' end as claim_type, polarity, round(least(1e0, abs(polarity) / 2e0 + 0.15), 6) as severity, round(confidence, 6) as confidence, firsthand_flag, place, round(span_score, 6) as span_score, md5(span) as span, round(weight, 6) as weight from obs")
 def extracted_observations(spark, d):
     out = observed(spark, d).select("source_item_id", "model_id", "provider_id", "task", "aspect_category", "evidence_type", "claim_type", "polarity", "severity", "confidence", "firsthand_flag", "place", "span_score", F.md5("span").alias("span"), "weight")
     return r6(out, "severity", "confidence", "span_score", "weight")
 
 
+@pair(f"with {_observed_sql(True)} select source_item_id, model_id, provider_id, product_id, inference_profile, task, aspect_category, evidence_type, polarity, round(confidence, 6) as confidence, place, round(span_score, 6) as span_score, md5(span) as span from obs")
+def linked_observations(spark, d):
+    """Homonyms and generic names do not count; product and profile are part of the key of a claim."""
+    out = linked(spark, d).select("source_item_id", "model_id", "provider_id", "product_id", "inference_profile", "task", "aspect_category", "evidence_type", "polarity", "confidence", "place", "span_score", F.md5("span").alias("span"))
+    return r6(out, "confidence", "span_score")
+
+
 @pair(f"with {_OBSERVED}, {cells_sql('model_id, aspect')} select model_id, aspect, {_CELL_OUT} from cells")
 def extracted_scores(spark, d):
     """Raw items to observations to scores, one plan."""
