@@ -8,7 +8,7 @@ from evidra.operators import corrections, intervals, learning, linking, snapshot
 
 
 def test_leave_one_out_equals_refitting(spark):
-    rows = [(1, "a b b", "x"), (2, "b c", "x"), (3, "c c d", "y"), (4, "d a", "y"), (5, "e", "z"), (6, "", "y"), (7, "a d", None)]
+    rows = [(1, "aa bb bb", "x"), (2, "bb cc", "x"), (3, "cc cc dd", "y"), (4, "dd aa", "y"), (5, "ee", "z"), (6, "", "y"), (7, "aa dd", None)]
     df = spark.createDataFrame(rows, "id int, text string, label string")
     got = {r.id: (r.predicted, round(r.confidence, 9)) for r in learning.leave_one_out(df, learning.tokens(df, "id", "text", "label"), "id", "label").collect()}
     labelled = [(i, t.split(), c) for i, t, c in rows if c is not None]
