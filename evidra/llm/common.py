@@ -295,20 +295,26 @@ class PieceEncoder:
     The vocabularies cut a text before a single space between other
     characters, between an ASCII letter and an ASCII mark, and around a single
     line end, so the ids of a text are those of its pieces in order.  Pieces
-    are found and counted by numpy; only new ones reach the tokenizer.  Texts
-    with rare kinds of space are encoded whole.  ``keep`` bounds what is
-    remembered: beyond it, pieces that were seen once are forgotten.
+    are found and counted by numpy; only new ones reach the tokenizer.  Where
+    it keeps spaces, words behind one space go there many to a text, as their
+    ids tell their bytes.  Texts with rare kinds of space are encoded whole.
+    ``keep`` bounds what is remembered: beyond it, pieces that were seen once
+    are forgotten.
     """
 
-    def __init__(self, path: str, keeps_space: bool, keep: int = 300_000):
+    def __init__(self, path: str, keeps_space: bool, keep: int = 300_000, together: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u4" if self.tok.get_vocab_size() > 65536 else "<u2")
-        self.keeps_space, self.keep = keeps_space, keep
-        self.at: dict[int, int] = {}
+        self.keeps_space, self.keep, self.together = keeps_space, keep, together
+        if keeps_space:  # a vocabulary of bytes: each sign of a token stands for one
+            vocab = self.tok.get_vocab()
+            self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.width[list(vocab.values())] = [len(t) for t in vocab]
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their rows below
         self.flat, self.base, self.size, self.times = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.powers: list[np.ndarray] = []
 
@@ -318,18 +324,45 @@ class PieceEncoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(size.sum())), size
 
-    def _store(self, hashes: list[int], texts: list[str]) -> None:
-        flat, size = self._encode(texts)
-        self.at.update(zip(hashes, range(len(self.size), len(self.size) + len(size)), strict=True))
+    def _encode_words(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `_encode`, for words that each begin with one space and end without: ``together`` of them are one text."""
+        long = stop - start
+        end = np.cumsum(long)
+        raw = data[np.repeat(start - end + long, long) + np.arange(end[-1])].tobytes()
+        cuts = [0, *end[self.together - 1 : -1 : self.together].tolist(), len(raw)]
+        ids, _ = self._encode([raw[a:z].decode() for a, z in itertools.pairwise(cuts)])
+        at = np.cumsum(self.width[ids])
+        last = np.minimum(np.searchsorted(at, end), len(at) - 1)
+        if at[-1] == end[-1] and (at[last] == end).all():
+            return ids, np.diff(last, prepend=-1)
+        return self._encode([raw[a:z].decode() for a, z in zip((end - long).tolist(), end.tolist(), strict=True)])
+
+    def _store(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Encodes and remembers new pieces, whose hashes ascend; returns their rows."""
+        word = np.zeros(len(hashes), bool)
+        if self.keeps_space:
+            long = stop - start
+            word = (data[start] == 32) & (long > 1) & (long <= 256) & ~_SPACE[data[np.minimum(start + 1, stop - 1)]] & ~_SPACE[data[stop - 1]]
+        raw = data.tobytes()
+        done = [self._encode([raw[a:z].decode() for a, z in zip(start[~word].tolist(), stop[~word].tolist(), strict=True)])]
+        words = np.flatnonzero(word)
+        done += [self._encode_words(data, start[w], stop[w]) for w in np.split(words, range(1 << 14, len(words), 1 << 14)) if len(w)]
+        flat, size = (np.concatenate(x) for x in zip(*done, strict=True))
+        rows = np.empty(len(hashes), np.int64)
+        rows[np.argsort(word, kind="stable")] = len(self.size) + np.arange(len(hashes))
+        place = np.searchsorted(self.keys, hashes)
+        self.keys, self.rows = np.insert(self.keys, place, hashes), np.insert(self.rows, place, rows)
         self.base = np.concatenate([self.base, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
         self.times = np.concatenate([self.times, np.zeros(len(size), np.int32)])
+        return rows
 
     def _forget(self) -> None:
         kept = np.flatnonzero(self.times > 1)[-self.keep // 2 :]
         place = np.full(len(self.size), -1)
         place[kept] = np.arange(len(kept))
-        self.at = {h: p for h, i in self.at.items() if (p := place[i].item()) >= 0}
+        rows = place[self.rows]
+        self.keys, self.rows = self.keys[rows >= 0], rows[rows >= 0]
         size = self.size[kept]
         end = np.cumsum(size)
         self.flat = self.flat[np.repeat(self.base[kept] - end + size, size) + np.arange(size.sum())]
@@ -378,19 +411,23 @@ class PieceEncoder:
         if len(odd):
             whole = np.isin(doc, odd)
             start, stop, doc = start[~whole], stop[~whole], doc[~whole]
-        hashes, first, piece = np.unique(word_hashes(data, start, stop, self.powers), return_index=True, return_inverse=True)
-        if len(self.at) > self.keep:
+        hashes = word_hashes(data, start, stop, self.powers)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        lead = np.ones(len(hashes), bool)
+        lead[1:] = hashes[1:] != hashes[:-1]
+        piece = np.empty(len(hashes), np.int64)
+        piece[order] = np.cumsum(lead) - 1
+        hashes, first = hashes[lead], order[lead]
+        if len(self.size) > self.keep:
             self._forget()
-        hashes = hashes.tolist()
-        rows = list(map(self.at.get, hashes))
-        new = [i for i, r in enumerate(rows) if r is None]
-        if new:
-            raw = data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)]
-            self._store([hashes[i] for i in new], texts)
-            for i, r in zip(new, range(len(self.size) - len(new), len(self.size)), strict=True):
-                rows[i] = r
-        rows = np.array(rows, np.int64)
+        rows = np.full(len(hashes), -1, np.int64)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            rows = np.where(self.keys[place] == hashes, self.rows[place], -1)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self._store(hashes[new], data, start[first[new]], stop[first[new]])
         self.times[rows] += 1
         whole_ids, whole_size = self._encode([data[off[d] : off[d + 1]].tobytes().decode() for d in odd.tolist()])
         top = len(self.flat)
