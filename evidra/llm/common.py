@@ -100,8 +100,12 @@ def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once for each application, so that tasks can import it.
 
     Texts are long: Arrow batches of the default size are made smaller, for
-    this session; sizes that the user has set stay.
+    this session; sizes that the user has set stay.  So are reads of Parquet:
+    a vectored one copies a whole column of a row group through memory outside
+    the heap, which each reading thread then keeps.
     """
+    if spark.conf.get("parquet.hadoop.vectored.io.enabled", None) is None:
+        spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
     for key, default, size in (("maxRecordsPerBatch", ("10000",), "1000"), ("maxBytesPerBatch", (None, "64MB", "67108864b", "67108864"), "2m")):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) in default:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", size)
@@ -371,7 +375,7 @@ class PieceEncoder:
     def encode_column(self, col: pa.Array, end: int):
         """(i, j, ids, offsets) for runs of rows i to j of a text column, each text followed by ``end``; null is empty."""
         data, off = column_bytes(col)
-        for i, j in blocks(off):
+        for i, j in blocks(off, BLOCK_BYTES // 2):  # a block takes some fifty times its bytes
             ids, size = self._block(data[off[i] : off[j]], off[i : j + 1] - off[i], end)
             yield i, j, ids, np.concatenate([[0], np.cumsum(size)])
 

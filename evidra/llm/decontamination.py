@@ -66,7 +66,9 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, scope: str
                 yield pa.record_batch([pa.array([number], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[x.split()[0] for x in INDEX.split(", ")])
                 number += 1
 
-    return common.staged(docs.select("doc_id", "text").mapInArrow(run, INDEX), "index", scope, **{"parquet.block.size": str(4 << 20)})
+    # Rows are large: sizes are looked at after each row, else a page and a row group hold a hundred of them.
+    small = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+    return common.staged(docs.select("doc_id", "text").mapInArrow(run, INDEX), "index", scope, **small)
 
 
 def rows_of(batches):
