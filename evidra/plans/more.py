@@ -253,4 +253,4 @@ e as (select *, exp(l - max(l) over (partition by doc_id)) as e from b), p as (s
 select doc_id, arg_max(c, p) as predicted, round(max(p), 6) as confidence from p group by 1""")
 def bayes_leave_one_out(spark, d):
     docs = src.table(spark, d, "documents")
-    return r6(learning.leave_one_out(docs, learning.tokens(docs, "doc_id", "text", "lang"), "doc_id", "lang"), "confidence")
+    return r6(learning.leave_one_out(docs, learning.bags(docs, "doc_id", "text", "lang"), "doc_id", "lang"), "confidence")
