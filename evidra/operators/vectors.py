@@ -44,6 +44,8 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, recall: fl
     """
     units, members = neighbours.classes(df, key, vector)
     units = cut(units)
-    tables, bits = (1, 0) if recall >= 1 else neighbours.plan(units.count(), least, recall, target)
+    rows = units.count()
+    tables, bits = (1, 0) if recall >= 1 else neighbours.plan(rows, least, recall, target)
+    links = neighbours.links(units, least, tables, bits) if bits else neighbours.all_links(units, least, rows)
     out = members.select(F.lit("class").alias("kind"), F.col("id").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
-    return out.unionByName(neighbours.links(units, least, tables, bits).select(F.lit("link").alias("kind"), "a", "b", "similarity"))
+    return out.unionByName(links.select(F.lit("link").alias("kind"), "a", "b", "similarity"))
