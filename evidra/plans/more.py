@@ -150,9 +150,9 @@ _PRIORITY = "min(case alias when 'und' then 0 when 'the' then 1 else 2 end)"
 _NAMED = f"case {_PRIORITY} when 0 then 'u' when 1 then 't' else 'a' end as entity"
 
 
-def _found(spark, d):
+def _found(spark, d, width=0):
     catalog = spark.createDataFrame([(a, a, "p", False) for a, _, _ in _PRODUCTS], "alias string, model_id string, provider_id string, generic boolean")
-    return linking.mentions(src.table(spark, d, "documents"), catalog, "doc_id", "text")
+    return linking.mentions(src.table(spark, d, "documents"), catalog, "doc_id", "text", width)
 
 
 def _priorities(spark):
@@ -161,7 +161,7 @@ def _priorities(spark):
 
 @pair(f"with {_PLACES} select doc_id, {_NAMED} from m where ({' or '.join(f'''contains(a, '{c}') or contains(b, '{c}')''' for c in _CUES)}) and not contains(a, '/') and not contains(b, '/') and not ({' or '.join(f'''contains(a, '{c}')''' for c in _NOT_AFTER)}) group by 1")
 def product_detection(spark, d):
-    near = linking.with_cue(_found(spark, d), src.table(spark, d, "documents"), "doc_id", "text", _CUES, _NOT_AFTER)
+    near = linking.with_cue(_found(spark, d, 24), src.table(spark, d, "documents"), "doc_id", "text", _CUES, _NOT_AFTER)
     return linking.first_by_priority(near, "doc_id", _priorities(spark))
 
 
